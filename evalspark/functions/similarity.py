@@ -15,6 +15,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 CLAUSES = ("select", "from", "where", "group_by", "having", "order_by", "limit")
 _OPENERS = {
@@ -141,7 +142,7 @@ def _list_ratio(a, b) -> float:
     return text_ratio(str(list(a)), str(list(b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _detail_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([
         None if x is None or y is None else _list_ratio(x, y) for x, y in zip(a, b)

@@ -58,7 +58,10 @@ def clean_query(text: Column) -> Column:
 
 
 def extract_sql(response: Column) -> Column:
-    """SQL of a repair response: brackets, then the labelled SELECT, then any SELECT, then all."""
+    """SQL of a repair response: brackets, then the labelled SELECT, then any SELECT, then all.
+
+    No response is ERROR.
+    """
     text = strip(response)
     bracket = r"(?s)\[(.*?)\]"
     until = r"(?:\z|```|;|\n\n)"
@@ -74,7 +77,8 @@ def extract_sql(response: Column) -> Column:
     sql = F.regexp_replace(sql, f"^```{WS}*", "")
     sql = F.regexp_replace(sql, f"{WS}*```\\z", "")
     sql = F.translate(strip(sql), "\n", " ")
-    return F.when((sql == "") | F.endswith(sql, F.lit(";")), sql).otherwise(F.concat(sql, F.lit(";")))
+    closed = F.when((sql == "") | F.endswith(sql, F.lit(";")), sql).otherwise(F.concat(sql, F.lit(";")))
+    return F.coalesce(closed, F.lit("ERROR"))
 
 
 def first_bracket(response: Column) -> Column:

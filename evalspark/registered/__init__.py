@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from .base import ORACLES, QUERIES
-from . import clinical  # noqa: F401
+from . import catalogue, clinical, prep, profile, sensitivity, tables, workload  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

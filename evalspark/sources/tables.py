@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOG_SCHEMA = "id string, question string, true_query string, generated_sql string"
@@ -55,10 +57,10 @@ def read_model_registry(spark: SparkSession, path: str, flag: str | None = None)
     return df.where(F.col(f"`{flag}`") != 0) if flag else df
 
 
-def model_of_file(path, suffix: str = "_results.csv"):
-    """Model name in a result file name: the suffix off, underscores as blanks."""
-    name = F.url_decode(F.element_at(F.split(path, "/"), -1))
-    return F.translate(F.replace(name, F.lit(suffix), F.lit("")), "_", " ")
+def model_of_file(path: Column, suffix: str = "_results.csv") -> Column:
+    """Model named by a result file, or by a folder of part files: suffix off, underscores as blanks."""
+    named = F.regexp_extract(F.url_decode(path), f"([^/]*?){re.escape(suffix)}", 1)
+    return F.translate(named, "_", " ")
 
 
 def read_result_dir(

@@ -27,7 +27,7 @@ if __name__ == "__main__":
                 problem = oracle.difference(df, con, oracles[name])
                 state = "ok" if problem is None else f"DIFF {problem}"
             else:
-                state = f"rows {df.count()}"
+                state = f"rows {len(df.collect())}"
         except Exception as error:
             state = f"ERROR {str(error)[:1500]}"
         bad += state.startswith(("DIFF", "ERROR"))
