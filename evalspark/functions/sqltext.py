@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, all_groups, concat_all, contains_any, count_of, found, strip
+from .text import WS, all_groups, contains_any, count_of, found, let, strip
 from .times import CLOCK, CLOCK_DATE, CLOCK_TIME
 
 _WORD = "[a-zA-Z0-9_]+"
@@ -62,7 +62,10 @@ def extract_sql(response: Column) -> Column:
 
     No response is ERROR.
     """
-    text = strip(response)
+    return F.coalesce(let(strip(response), _extracted), F.lit("ERROR"))
+
+
+def _extracted(text: Column) -> Column:
     bracket = r"(?s)\[(.*?)\]"
     until = r"(?:\z|```|;|\n\n)"
     labelled = f"(?is)Fixed SQL query:{WS}*(SELECT.*?){until}"
@@ -77,15 +80,14 @@ def extract_sql(response: Column) -> Column:
     sql = F.regexp_replace(sql, f"^```{WS}*", "")
     sql = F.regexp_replace(sql, f"{WS}*```\\z", "")
     sql = F.translate(strip(sql), "\n", " ")
-    closed = F.when((sql == "") | F.endswith(sql, F.lit(";")), sql).otherwise(F.concat(sql, F.lit(";")))
-    return F.coalesce(closed, F.lit("ERROR"))
+    return let(sql, lambda s: F.when((s == "") | F.endswith(s, F.lit(";")), s).otherwise(F.concat(s, F.lit(";"))))
 
 
 def first_bracket(response: Column) -> Column:
     """SQL of a generation response: first one-line bracket, else the text; no response is ERROR."""
-    text = strip(response)
     bracket = r"\[([^\n]*?)\]"
-    sql = F.when(found(text, bracket), strip(F.regexp_extract(text, bracket, 1))).otherwise(text)
+    sql = let(strip(response), lambda text: F.when(
+        found(text, bracket), strip(F.regexp_extract(text, bracket, 1))).otherwise(text))
     return F.coalesce(sql, F.lit("ERROR"))
 
 
@@ -96,35 +98,45 @@ def normalise_query(query: Column) -> Column:
     sql = strip(sql)
     for split_op, op in (("> =", ">="), ("< =", "<="), ("! =", "!=")):
         sql = F.replace(sql, F.lit(split_op), F.lit(op))
-    for func, sign in (("DATE_SUB", "-"), ("DATE_ADD", "+")):
-        for unit in ("MONTH", "YEAR", "DAY"):
-            call = func + r"\(([\p{L}\p{N}_]+\(\)|'[^']+')[, ]+ INTERVAL "
-            one = f"datetime($1, '{sign}1 {unit.lower()}')"
-            many = f"datetime($1, '{sign}$2 {unit.lower()}s')"
-            sql = F.regexp_replace(sql, f"{call}1 {unit}\\)", one)
-            sql = F.regexp_replace(sql, f"{call}([0-9]+) {unit}\\)", many)
+    sql = let(sql, lambda s: F.when(F.contains(s, F.lit("DATE_")), _date_calls(s)).otherwise(s))
     for word, value in (
         ("current_time", CLOCK), ("current_date", CLOCK_DATE), ("'now'", CLOCK),
         ("NOW()", CLOCK), ("CURDATE()", CLOCK_DATE), ("CURTIME()", CLOCK_TIME),
     ):
         sql = F.replace(sql, F.lit(word), F.lit(f"'{value}'"))
-    sql = _fill_vital_range(sql)
+    sql = let(sql, lambda s: F.when(F.contains(s, F.lit("_lower")), _fill_vital_range(s)).otherwise(s))
     sql = F.replace(sql, F.lit("%y"), F.lit("%Y"))
     return F.replace(sql, F.lit("%j"), F.lit("%J"))
 
 
+def _date_calls(sql: Column) -> Column:
+    for func, sign in (("DATE_SUB", "-"), ("DATE_ADD", "+")):
+        for unit in ("MONTH", "YEAR", "DAY"):
+            call = func + r"\(([\p{L}\p{N}_]+\(\)|'[^']+')[, ]+ INTERVAL "
+            one = f"datetime($1, '{sign}1 {unit.lower()}')"
+            many = f"datetime($1, '{sign}$2 {unit.lower()}s')"
+            sql = F.regexp_replace(sql, f"{call}1 {unit}\\)", one)
+            sql = F.regexp_replace(sql, f"{call}([0-9]+) {unit}\\)", many)
+    return sql
+
+
 def _fill_vital_range(sql: Column) -> Column:
-    lower = F.regexp_extract(sql, f" +({_WORD}_lower)", 1)
-    upper = F.regexp_extract(sql, f" +({_WORD}_upper)", 1)
-    name = F.regexp_extract(lower, f"({_WORD})_lower", 1)
-    same = (lower != "") & (upper != "") & (name == F.regexp_extract(upper, f"({_WORD})_upper", 1))
-    vital = F.translate(name, "_", " ")
-    low = high = F.lit(None).cast("string")
-    for key, (lo, hi) in VITAL_RANGES.items():
-        low = F.when(vital == key, str(lo)).otherwise(low)
-        high = F.when(vital == key, str(hi)).otherwise(high)
-    filled = F.replace(F.replace(sql, lower, low), upper, high)
-    return F.when(same & low.isNotNull(), filled).otherwise(sql)
+    """Put the range of the one vital that the text names as ``<vital>_lower`` and ``<vital>_upper``."""
+    bounds = F.array(
+        F.regexp_extract(sql, f" +({_WORD}_lower)", 1), F.regexp_extract(sql, f" +({_WORD}_upper)", 1))
+
+    def fill(pair: Column) -> Column:
+        lower, upper = pair[0], pair[1]
+        name = F.regexp_replace(lower, "_lower$", "")
+        same = (lower != "") & (name == F.regexp_replace(upper, "_upper$", ""))
+        vital = F.translate(name, "_", " ")
+        filled = sql
+        for key, (low, high) in VITAL_RANGES.items():
+            text = F.replace(F.replace(sql, lower, F.lit(str(low))), upper, F.lit(str(high)))
+            filled = F.when(same & (vital == key), text).otherwise(filled)
+        return filled
+
+    return let(bounds, fill)
 
 
 # --- W4, W5: tables and columns -----------------------------------------------
@@ -164,9 +176,8 @@ def _top_level_parts(clause: Column) -> Column:
     )
 
 
-def select_columns(sql: Column) -> Column:
-    """First token of each item of the first SELECT list; any star leaves only the star."""
-    clause = strip(F.regexp_extract(sql, f"(?is)SELECT{WS}+(.*?)(?:FROM|\\z)", 1))
+def _select_items(clause: Column) -> Column:
+    """First token of each item of a SELECT list; any star leaves only the star."""
     tokens = F.transform(_top_level_parts(clause), lambda p: F.regexp_extract(p, "([a-zA-Z0-9_.*]+)", 1))
     return (
         F.when(F.contains(clause, F.lit("*")), F.array(F.lit("*")))
@@ -174,19 +185,26 @@ def select_columns(sql: Column) -> Column:
     )
 
 
-def where_columns(sql: Column) -> Column:
-    """Identifiers right before a comparison in the first WHERE."""
-    clause = F.regexp_extract(sql, f"(?is)WHERE{WS}+(.*?)(?:GROUP BY|ORDER BY|LIMIT|\\z)", 1)
-    return all_groups(clause, f"({_WORD})(?:{WS}*[=<>])")
+def select_columns(texts: Column) -> Column:
+    """Column tokens of the first SELECT list of each text of an array."""
+    clauses = F.transform(
+        texts, lambda t: strip(F.regexp_extract(t, f"(?is)SELECT{WS}+(.*?)(?:FROM|\\z)", 1)))
+    return F.flatten(F.transform(clauses, _select_items))
+
+
+def where_columns(texts: Column) -> Column:
+    """Identifiers right before a comparison in the first WHERE of each text of an array."""
+    clauses = F.transform(
+        texts, lambda t: F.regexp_extract(t, f"(?is)WHERE{WS}+(.*?)(?:GROUP BY|ORDER BY|LIMIT|\\z)", 1))
+    return F.flatten(F.transform(clauses, lambda c: all_groups(c, f"({_WORD})(?:{WS}*[=<>])")))
 
 
 def column_refs(query: Column) -> Column:
     """Sorted column references of the query and of its parenthesised sub-selects."""
     sql = _without_strings(query)
     subs = all_groups(sql, f"(?is)(\\({WS}*SELECT{WS}+.+?FROM.+?\\))")
-    texts = F.concat(F.array(sql), subs)
     dotted = all_groups(sql, f"({_NAME}\\.{_NAME})")
-    inner = F.flatten(F.transform(texts, lambda t: F.concat(select_columns(t), where_columns(t))))
+    inner = let(F.concat(F.array(sql), subs), lambda texts: F.concat(select_columns(texts), where_columns(texts)))
     return F.array_sort(F.array_union(dotted, inner))
 
 
@@ -253,10 +271,3 @@ def categorise_error(error: Column) -> Column:
     for name, pieces in ERROR_CLASSES.items():
         out = out.when(contains_any(text, pieces), name)
     return out.otherwise("other")
-
-
-__all__ = [
-    "COMPLEXITY_WEIGHTS", "ERROR_CLASSES", "VITAL_RANGES", "categorise_error", "clean_query", "column_refs",
-    "complexity_score", "component_counts", "concat_all", "extract_sql", "first_bracket", "normalise_query",
-    "select_columns", "set_overlap", "table_refs", "where_columns",
-]

@@ -19,7 +19,8 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Split on runs of white space; no empty words."""
-    return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
+    # a one-character separator spares compiling a pattern per row
+    return F.filter(F.split(F.regexp_replace(text, f"{WS}+", " "), " "), lambda w: w != "")
 
 
 def count_of(text: Column, piece: str) -> Column:
@@ -49,3 +50,12 @@ def concat_all(*parts) -> Column:
     return F.concat(*[
         F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts
     ])
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it.
+
+    Branches of CASE and lambda bodies are outside Spark's own elimination of
+    common subexpressions.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import VITAL_RANGES
-from ..functions.times import CLOCK, julian_day_diff, moment, shift, since
+from ..functions.times import CLOCK, moment, shift, since
 from .ranking import first_rows, top_k_with_ties, weight_before
 
 
@@ -76,10 +76,11 @@ def frequent_within_months_after(
     Counts (index, event) pairs: index events before the event, less those whose
     window had closed before it.  Both are running sums, so no pair is built.
     """
-    opened = index.select(patient, at, F.lit(1).alias("w"))
-    closed = index.select(patient, shift(F.col(at), months).alias(at), F.lit(-1).alias("w"))
+    opened = F.struct(F.col(at).alias(at), F.lit(1).alias("w"))
+    closed = F.struct(shift(F.col(at), months).alias(at), F.lit(-1).alias("w"))
+    windows = index.select(patient, F.inline(F.array(opened, closed)))
     probes = events.groupBy(patient, at, code).agg(F.count("*").alias("_n"))
-    live = weight_before(probes, opened.unionByName(closed), [patient], at, "w", "_live")
+    live = weight_before(probes, windows, [patient], at, "w", "_live")
     counted = (
         live.where(F.col("_live") > 0)
         .groupBy(code).agg(F.sum(F.col("_n") * F.col("_live")).alias("n"))
@@ -117,9 +118,9 @@ def outcome_rate_rank(
     Only events at least ``days`` before the clock count; a patient without an
     outcome time counts as free of it.  Lowest share first, dense rank <= ``k``.
     """
-    old = events.where(julian_day_diff(moment(as_of), F.col(at)) >= days)
+    old = events.where(F.col(at) <= shift(moment(as_of), days=-days))
     firsts = first_occurrence(old, [patient, code], at)
-    free = F.when(julian_day_diff(F.col(outcome_at), F.col(at)) < days, 0).otherwise(1)
+    free = F.when(F.col(outcome_at) < shift(F.col(at), days=days), 0).otherwise(1)
     rates = (
         firsts.join(outcomes.select(patient, outcome_at), patient)
         .groupBy(code).agg(F.avg(free).alias("free_rate"))

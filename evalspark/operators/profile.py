@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from ..functions import sqltext as sql
 from ..functions.results import result_structure
-from ..functions.text import contains_any, strip, words
+from ..functions.text import contains_any, let, words
 from .ranking import exact_quantiles, first_rows
 
 # fixed values: first words that type a question
@@ -58,7 +58,7 @@ def null_share(df: DataFrame, query: str = "true_query") -> DataFrame:
 
 def question_type(question: Column) -> Column:
     first = F.get(words(F.lower(question)), F.lit(0))
-    return F.when(first.isin(*QUESTION_STARTERS), first).otherwise("other")
+    return let(first, lambda w: F.when(w.isin(*QUESTION_STARTERS), w).otherwise("other"))
 
 
 def question_features(df: DataFrame, question: str = "question") -> DataFrame:
@@ -78,12 +78,12 @@ def length_histogram(df: DataFrame, by: list[str], value: str = "question_length
 
 
 def five_numbers(df: DataFrame, by: list[str], value: str = "question_word_count") -> DataFrame:
-    """Minimum, quartiles, maximum and mean per group."""
-    names = ("minimum", "q1", "median", "q3", "maximum")
-    box = exact_quantiles(df, list(by), value, [0.0, 0.25, 0.5, 0.75, 1.0])
-    box = box.select(*by, *[F.col("quantiles")[i].alias(n) for i, n in enumerate(names)])
-    means = df.groupBy(*by).agg(F.avg(value).alias("mean"))
-    return box.join(means, list(by))
+    """Minimum, quartiles, maximum and mean per group, of a value of small domain such as a word count."""
+    return df.groupBy(*by).agg(
+        F.min(value).cast("double").alias("minimum"),
+        *[F.percentile(value, share).alias(name) for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))],
+        F.max(value).cast("double").alias("maximum"), F.avg(value).alias("mean"),
+    )
 
 
 def word_frequency(df: DataFrame, by: list[str], text: str, stop_words: list[str], k: int = 15) -> DataFrame:
@@ -138,19 +138,26 @@ def complexity_level_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles, maximum."""
-    by = list(by)
-    key = by or ["_all"]
-    data = df if by else df.withColumn("_all", F.lit(1))
-    moments = data.groupBy(*key).agg(
+def describe(df: DataFrame, value: str, by: list[str] = (), wide: bool = False) -> DataFrame:
+    """Count, mean, sample deviation, minimum, exact quartiles, maximum.
+
+    A score has few distinct values, so its quartiles ride along in one pass;
+    ``wide`` is for values of any variety, whose quartiles are ranked in slices.
+    """
+    by, shares = list(by), {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    names = ["count", "mean", "std", "min", *shares, "max"]
+    moments = [
         F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"),
-    )
-    cuts = exact_quantiles(data, key, value, [0.25, 0.5, 0.75])
-    cuts = cuts.select(*key, *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
-    out = moments.join(cuts, key, "left").select(*key, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
-    return out if by else out.drop("_all")
+    ]
+    if not wide:
+        cuts = [F.percentile(value, share).alias(name) for name, share in shares.items()]
+        return df.groupBy(*by).agg(*moments, *cuts).select(*by, *names)
+    key = by or ["_all"]
+    data = df if by else df.withColumn("_all", F.lit(1))
+    cuts = exact_quantiles(data, key, value, list(shares.values()))
+    cuts = cuts.select(*key, *[F.col("quantiles")[i].alias(name) for i, name in enumerate(shares)])
+    return data.groupBy(*key).agg(*moments).join(cuts, key, "left").select(*by, *names)
 
 
 def component_means(df: DataFrame, components: tuple[str, ...] = MEAN_COMPONENTS) -> DataFrame:
@@ -161,14 +168,15 @@ def component_means(df: DataFrame, components: tuple[str, ...] = MEAN_COMPONENTS
 
 def question_intent(question: Column) -> Column:
     """First intent with a phrase in the question, else by its first word."""
-    text = strip(F.lower(question))
-    out = F.when(question.isNull(), "Unknown")
-    for intent, phrases in INTENTS.items():
-        out = out.when(contains_any(text, phrases), intent)
-    first = F.get(words(text), F.lit(0))
-    for word, intent in FIRST_WORD_INTENTS.items():
-        out = out.when(first == word, intent)
-    return out.otherwise("General Query")
+    by_word = F.create_map(*[F.lit(x) for pair in FIRST_WORD_INTENTS.items() for x in pair])
+
+    def intent_of(text: Column) -> Column:
+        out = F.when(text.isNull(), "Unknown")
+        for intent, phrases in INTENTS.items():
+            out = out.when(contains_any(text, phrases), intent)
+        return out.otherwise(F.coalesce(F.try_element_at(by_word, F.get(words(text), F.lit(0))), F.lit("General Query")))
+
+    return let(F.lower(question), intent_of)
 
 
 def intent_counts(df: DataFrame, question: str = "question") -> DataFrame:

@@ -23,7 +23,8 @@ def top_k_with_ties(df: DataFrame, score: str, k: int, descending: bool = True,
     """Rows whose score has dense rank <= ``k``, with that rank.
 
     The ``k`` leading distinct scores are found by a per-task top-k, ranked (k
-    rows), and joined back, so ties of any number never meet in one task.
+    rows), and joined back, so ties of any number never meet in one task.  The
+    score must come out the same each time: a count, or a mean of whole numbers.
     """
     def level_order():
         return F.desc_nulls_last("_level") if descending else F.asc_nulls_first("_level")
@@ -38,14 +39,15 @@ def top_k_with_ties(df: DataFrame, score: str, k: int, descending: bool = True,
 
 
 def weight_before(
-    probes: DataFrame, points: DataFrame, keys: list[str], at: str, weight: str, out: str, bucket_seconds: int = 3600
+    probes: DataFrame, points: DataFrame, keys: list[str], at: str, weight: str, out: str,
+    hot_rows: int = 2_000_000, bucket_seconds: int = 3600,
 ) -> DataFrame:
     """For each probe, the total weight of points with the same keys at a strictly earlier time.
 
     Stands in for a ``t1 < t2`` self-join without making its pairs: points are
-    summed per instant, time is cut into buckets, and the running sum is taken
-    over the buckets of a key and then within each bucket.  A hot key is thus
-    spread over its buckets; the one group per key holds a row per bucket only.
+    summed per instant, and a running sum in time order meets every probe.  Keys
+    with more than ``hot_rows`` rows are cut into buckets of time; what earlier
+    buckets hold is carried into each as one more point at its start.
     """
     summed = (
         points.where(F.col(at).isNotNull()).dropna(subset=keys)
@@ -56,28 +58,63 @@ def weight_before(
         .withColumn("_probe", F.lit(True))
         .unionByName(summed, allowMissingColumns=True)
         .withColumn("_us", micros(F.col(at)))
-        .withColumn("_bucket", F.floor(F.col("_us") / (bucket_seconds * 1_000_000)))
     )
-    running = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    earlier_buckets = (
-        tagged.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_sum"))
-        .withColumn("_base", F.coalesce(F.sum("_sum").over(running), F.lit(0)))
-        .drop("_sum")
+    hot = tagged.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
+    size = bucket_seconds * 1_000_000
+    # broadcast: at most one key per hot_rows rows
+    placed = tagged.join(F.broadcast(hot), list(keys), "left").withColumn(
+        "_bucket", F.when(F.col("_rows").isNotNull(), F.floor(F.col("_us") / size)))
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        placed.where("_bucket IS NOT NULL")
+        .groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_sum"))
+        .select(*keys, "_bucket", F.sum("_sum").over(earlier).alias("_w"), (F.col("_bucket") * size - 1).alias("_us"))
     )
-    within = (
+    before = (
         Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
     )
     return (
-        tagged.join(earlier_buckets, [*keys, "_bucket"])
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum("_w").over(within), F.lit(0)))
+        placed.unionByName(carried, allowMissingColumns=True)
+        .withColumn(out, F.coalesce(F.sum("_w").over(before), F.lit(0)))
         .where("_probe")
-        .drop("_probe", "_w", "_us", "_bucket", "_base")
+        .drop("_probe", "_w", "_us", "_bucket", "_rows")
     )
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
-    """Exact interpolated quantiles per group, from one count per distinct value."""
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], slices: int = 200) -> DataFrame:
+    """Exact interpolated quantiles per group, for values of any variety.
+
+    Distinct values are counted, cut into slices of like size at approximate
+    quantiles, and ranked by running counts over the slices and within each, so
+    a hot group is spread over its slices.  (For values of a small domain, such
+    as word counts, the ``percentile`` aggregate does the same in one pass.)
+    """
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    return counted.groupBy(*by).agg(
-        F.percentile(value, shares, F.col("_n")).alias("quantiles")
+    steps = [i / slices for i in range(1, slices)]
+    cuts = counted.groupBy(*by).agg(
+        F.percentile_approx(value, steps, 10 * slices).alias("_cuts"), F.sum("_n").alias("_total"))
+    placed = (
+        counted.join(cuts, list(by))
+        .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+        .repartition(*by, "_slice")
+    )
+    lower = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        placed.groupBy(*by, "_slice").agg(F.sum("_n").alias("_sum"))
+        .withColumn("_base", F.coalesce(F.sum("_sum").over(lower), F.lit(0))).drop("_sum")
     )
+    smaller = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_base") + F.coalesce(F.sum("_n").over(smaller), F.lit(0))
+    ranked = placed.join(bases, [*by, "_slice"]).withColumn("_first", first)
+
+    def at(position: Column) -> Column:
+        here = (F.col("_first") <= position) & (position < F.col("_first") + F.col("_n"))
+        return F.max(F.when(here, F.col(value).cast("double")))
+
+    def quantile(share: float) -> Column:
+        place = F.col("_total").cast("double") * share - share
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.max(place - F.floor(place))
+        return F.when(part == 0, low).otherwise((1 - part) * low + part * high)
+
+    return ranked.groupBy(*by).agg(F.array(*[quantile(s) for s in shares]).alias("quantiles"))

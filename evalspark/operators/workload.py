@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import results as res
 from ..functions import sqltext as sql
-from ..functions.similarity import CLAUSES, compare_plans, similarities, spread
+from ..functions.similarity import compare_plans, similarities
 
 # fixed values: share of each measure in the composite score
 SCORE_WEIGHTS = {
@@ -170,7 +170,7 @@ def compare_result_tables(true_rows: DataFrame, gen_rows: DataFrame, key: str, r
 def with_text_similarity(df: DataFrame, true: str = "true_query", gen: str = "generated_sql") -> DataFrame:
     """Ratio of the whole queries and of each of the seven clauses."""
     return (
-        spread(df).withColumn("_sim", similarities(F.col(true), F.col(gen)))
+        df.withColumn("_sim", similarities(F.col(true), F.col(gen)))
         .select("*", "_sim.*").drop("_sim")
     )
 
@@ -179,7 +179,7 @@ def with_edit_similarity(df: DataFrame, a: str, b: str, out: str = "edit_similar
     """A native (Levenshtein) text measure; another measure than W8, not a stand-in for it."""
     x, y = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
     longest = F.greatest(F.length(x), F.length(y))
-    ratio = F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein(x, y) / longest)
+    ratio = F.when(x == y, 1.0).otherwise(1.0 - F.levenshtein(x, y) / longest)
     return df.withColumn(out, ratio)
 
 

@@ -165,7 +165,7 @@ def d10(spark, sf):
           .replace("quantile_cont(o_totalprice, 0.75)", "round(quantile_cont(o_totalprice, 0.75), 6)"))
 def d10_orders(spark, sf):
     return rounded(
-        p.describe(table(spark, sf, "orders"), "o_totalprice", ["o_orderpriority"]), "mean", "std", "p25", "p50", "p75")
+        p.describe(table(spark, sf, "orders"), "o_totalprice", ["o_orderpriority"], wide=True), "mean", "std", "p25", "p50", "p75")
 
 
 @register("D11_component_means", over_log(

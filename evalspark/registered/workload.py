@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import results as res
 from ..functions import sqltext as sql
-from ..functions.similarity import CLAUSES, clauses_of, compare_plans, similarities, spread
+from ..functions.similarity import CLAUSES, clauses_of, compare_plans, similarities
 from ..functions.text import concat_all
 from ..operators import workload as w
-from ..operators.profile import sql_components
 from ..operators.statements import run_statements
 from ..plans.evaluation import compare_queries, repair_round, score_models
 from ..session import work_path
@@ -229,7 +228,7 @@ def w5(spark, sf):
 
 @register("W6_split_clauses")
 def w6(spark, sf):
-    rows = spread(query_log(spark, sf).select("id", "true_query"))
+    rows = query_log(spark, sf).select("id", "true_query")
     return rows.withColumn("c", clauses_of("true_query")).select(
         "id", *[f"c.{c}_clause" for c in CLAUSES], joined("c.subqueries").alias("subqueries"))
 
@@ -248,7 +247,7 @@ def w7(spark, sf):
 
 @register("W8_text_similarity")
 def w8(spark, sf):
-    pairs = spread(query_log(spark, sf).select("id", "true_query", "generated_sql"))
+    pairs = query_log(spark, sf).select("id", "true_query", "generated_sql")
     return pairs.select("id", similarities("true_query", "generated_sql").alias("s")).select("id", "s.*")
 
 
@@ -278,7 +277,7 @@ def w9(spark, sf):
 
 @register("W9_plan_similarity")
 def w9_full(spark, sf):
-    pairs = spread(w.truth_join(query_log(spark, sf), truth_runs(spark, sf)))
+    pairs = w.truth_join(query_log(spark, sf), truth_runs(spark, sf))
     return w.with_plan_comparison(pairs, "execution_plan_true", "execution_plan").select(
         "id", "operation_match", "sequence_similarity", "plan_similarity")
 
@@ -560,5 +559,3 @@ def w28(spark, sf):
     outcomes, _ = run_statements(statements, work_path(spark, "statements"), time_limit=600.0)
     return outcomes.select("id", "success", "row_count", F.col("error").isNotNull().alias("failed"))
 
-
-__all__ = ["SCORED_SQL", "native_scores", "sql_components"]
