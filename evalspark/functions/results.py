@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import concat_all, contains_any
+from .text import concat_all, contains_any, let
 
 _ROWS = "array<map<string,string>>"
 
@@ -24,36 +24,48 @@ def row_texts(rows: Column) -> Column:
 
 
 def compare_results(true_results: Column, gen_results: Column) -> Column:
-    """Struct(equal, reason, diff_count, diff_percentage, example_diff_row).
+    """Struct(equal, reason, true_rows, gen_rows, diff_count, diff_percentage, example_diff_row).
 
     Row counts and the columns of the first rows must agree; then rows compare
     as sets of texts, in any order and without regard to repeats.
     """
-    first, second = parse_rows(true_results), parse_rows(gen_results)
-    texts1, texts2 = row_texts(first), row_texts(second)
-    n1, n2 = F.size(first), F.size(second)
-    cols1 = F.array_sort(F.map_keys(F.get(first, F.lit(0))))
-    cols2 = F.array_sort(F.map_keys(F.get(second, F.lit(0))))
-    only1 = F.array_except(texts1, texts2)
-    diff = F.size(only1) + F.size(F.array_except(texts2, texts1))
-    comparable = (n1 > 0) & (n1 == n2) & (cols1 == cols2)
+    rows = F.struct(parse_rows(true_results).alias("a"), parse_rows(gen_results).alias("b"))
+    texts = let(rows, lambda r: F.struct(
+        row_texts(r["a"]).alias("texts1"), row_texts(r["b"]).alias("texts2"),
+        _first_columns(r["a"]).alias("cols1"), _first_columns(r["b"]).alias("cols2")))
+    parts = let(texts, lambda t: F.struct(
+        F.size(t["texts1"]).alias("n1"), F.size(t["texts2"]).alias("n2"),
+        (t["cols1"] == t["cols2"]).alias("same_columns"),
+        F.array_except(t["texts1"], t["texts2"]).alias("only1"),
+        F.size(F.array_except(t["texts2"], t["texts1"])).alias("n_only2")))
+    return let(parts, _verdict)
+
+
+def _first_columns(rows: Column) -> Column:
+    return F.array_sort(F.map_keys(F.get(rows, F.lit(0))))
+
+
+def _verdict(p: Column) -> Column:
+    n1, n2 = p["n1"], p["n2"]
+    diff = F.size(p["only1"]) + p["n_only2"]
+    both_empty = (n1 == 0) & (n2 == 0)
+    comparable = (n1 > 0) & (n1 == n2) & p["same_columns"]
+    differs = comparable & (diff > 0)
     reason = (
-        F.when((n1 == 0) & (n2 == 0), "Both results are empty")
+        F.when(both_empty, "Both results are empty")
         .when(n1 == 0, "First result is empty, second has data")
         .when(n2 == 0, "Second result is empty, first has data")
         .when(n1 != n2, "Different number of rows")
-        .when(cols1 != cols2, "Different columns")
+        .when(~p["same_columns"], "Different columns")
         .when(diff == 0, "Results are identical (same rows, possibly different order)")
         .otherwise(concat_all(diff, " rows differ between results"))
     )
-    equal = ((n1 == 0) & (n2 == 0)) | (comparable & (diff == 0))
-    differs = comparable & (diff > 0)
     return F.struct(
-        equal.alias("equal"),
-        reason.alias("reason"),
+        (both_empty | F.coalesce(comparable & (diff == 0), F.lit(False))).alias("equal"),
+        reason.alias("reason"), n1.alias("true_rows"), n2.alias("gen_rows"),
         F.when(differs, diff).alias("diff_count"),
         F.when(differs, diff / n1 * 100).alias("diff_percentage"),
-        F.when(differs, F.get(only1, F.lit(0))).alias("example_diff_row"),
+        F.when(differs, F.get(p["only1"], F.lit(0))).alias("example_diff_row"),
     )
 
 

@@ -9,7 +9,6 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TEXT_LIMIT = 500
 TIME_LIMIT = 20.0
 
 
@@ -55,7 +54,7 @@ def _run_one(spark: SparkSession, statement: str, query: str, rows_path: str, li
 
 
 def run_statements(
-    statements: DataFrame, path: str, query: str = "true_query", text_limit: int | None = TEXT_LIMIT,
+    statements: DataFrame, path: str, query: str = "true_query", text_limit: int | None = None,
     time_limit: float = TIME_LIMIT, batch: int = 200,
 ) -> tuple[DataFrame, DataFrame]:
     """Run a table of (id, statement); return (outcomes by id, result rows by statement).
@@ -64,8 +63,7 @@ def run_statements(
     partition at a time, result rows are written by Spark under ``path/rows`` as
     (statement, row JSON), outcomes under ``path/outcomes`` every ``batch``
     statements.  A NULL text counts as success, an empty one as not provided.
-    Texts are cut to ``text_limit`` characters, as published runs were; ``None``
-    runs them whole.
+    Texts run whole; ``text_limit=500`` cuts them as the published runs did.
     """
     spark = statements.sparkSession
     rows_path, outcomes_path = f"{path}/rows", f"{path}/outcomes"

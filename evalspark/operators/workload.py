@@ -125,20 +125,18 @@ def composite_score(measures: dict[str, Column] | None = None, legacy: bool = Fa
     return sum(terms[1:], terms[0]) if terms else F.lit(0.0)
 
 
-def match_result(success: Column, true_results: Column, gen_results: Column) -> dict[str, Column]:
-    """W11 on a row: a failed query never matches; empties are told apart by side."""
-    cmp = res.compare_results(true_results, gen_results)
+def with_result_match(df: DataFrame, success: str, true_results: Column, gen_results: Column) -> DataFrame:
+    """W11 on each row: a failed query never matches; empties are told apart by side."""
     ran = F.coalesce(success, F.lit(False))
-    true_empty = F.size(res.parse_rows(true_results)) == 0
-    gen_empty = F.size(res.parse_rows(gen_results)) == 0
-    return {
+    true_empty, gen_empty = F.col("_cmp.true_rows") == 0, F.col("_cmp.gen_rows") == 0
+    return df.withColumn("_cmp", res.compare_results(true_results, gen_results)).withColumns({
         "true_empty_result": true_empty,
         "gen_empty_result": gen_empty,
         "both_empty": true_empty & gen_empty,
-        "results_match": F.when(ran, cmp["equal"].cast("int")).otherwise(0),
-        "result_reason": F.when(ran, cmp["reason"]).otherwise("Generated query failed to execute"),
-        "result_diff_percentage": F.when(ran, cmp["diff_percentage"]),
-    }
+        "results_match": F.when(ran, F.col("_cmp.equal").cast("int")).otherwise(0),
+        "result_reason": F.when(ran, F.col("_cmp.reason")).otherwise("Generated query failed to execute"),
+        "result_diff_percentage": F.when(ran, F.col("_cmp.diff_percentage")),
+    }).drop("_cmp")
 
 
 def compare_result_tables(true_rows: DataFrame, gen_rows: DataFrame, key: str, row: str) -> DataFrame:

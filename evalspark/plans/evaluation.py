@@ -35,8 +35,8 @@ def compare_queries(
             col("row_count_true", "bigint"), F.col("row_count"), true_time, gen_time),
         "true_error_category": categorise_error(col("error_true", "string")),
         "gen_error_category": categorise_error(F.col("error")),
-        **w.match_result(F.col("success"), true_results, F.col("results")),
     })
+    out = w.with_result_match(out, "success", true_results, F.col("results"))
     out = w.with_access_overlap(out, "true_query", gen)
     if text_similarity:
         out = w.with_text_similarity(out, "true_query", gen)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as c
+from ..session import work_path
+from ..sources.catalogues import read_dictionary_map, read_schema_catalog
 from .base import joined, over_log, query_log, register, table
 
 # (table, column) for every dotted name in the true and generated SQL, with how often it is used
@@ -93,6 +95,38 @@ def c4(spark, sf):
     return c.column_info(described, "orders", "o_orderdate")
 
 
+@register("S3_read_schema_catalog", over_log(
+    """SELECT "table", "column", CAST(uses AS VARCHAR) AS type, concat('column ', "column") AS description FROM used""", _USED))
+def s3(spark, sf):
+    """The workload's catalogue as one JSON file of nested maps, read back as rows."""
+    path = work_path(spark, "schema-json")
+    column = F.struct(
+        F.col("uses").cast("string").alias("type"), F.lit(True).alias("null"), F.lit(False).alias("primary_key"),
+        F.lit(False).alias("foreign_key"), F.lit("").alias("relation"),
+        F.concat(F.lit("column "), "column").alias("description"))
+    tables = _used(spark, sf).groupBy("table").agg(
+        F.map_from_entries(F.collect_list(F.struct("column", column))).alias("columns"))
+    entry = F.struct(F.concat("table", F.lit(".json")), F.struct(F.col("table").alias("name"), "columns"))
+    whole = tables.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    whole.coalesce(1).write.text(path)
+    return read_schema_catalog(spark, f"{path}/part-*").select("table", "column", "type", "description")
+
+
+@register("S4_read_dictionary_map", over_log(
+    """SELECT "table" AS fact_table, "column" AS code_column, concat('d_', "table") AS dict_table, "column" AS dict_code_column,
+      'label' AS dict_desc_column FROM used WHERE "column" LIKE '%key'""", _USED))
+def s4(spark, sf):
+    path = work_path(spark, "dictionary-json")
+    entry = F.struct(
+        F.col("column").alias("code_column"), F.concat(F.lit("d_"), "table").alias("dict_table"),
+        F.col("column").alias("dict_code_column"), F.lit("label").alias("dict_desc_column"))
+    coded = _used(spark, sf).where(F.endswith("column", F.lit("key")))
+    tables = coded.groupBy("table").agg(F.collect_list(entry).alias("entries"))
+    whole = tables.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("table", "entries")))).alias("value"))
+    whole.coalesce(1).write.text(path)
+    return read_dictionary_map(spark, f"{path}/part-*")
+
+
 def _sample_sql(name: str, columns: list[str], n: int) -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{name}' AS \"table\", '{col}' AS \"column\", CAST(position AS INT) AS position, value FROM (SELECT value, ROW_NUMBER() OVER "

@@ -61,8 +61,8 @@ def q3_overall(spark, sf):
         c.lookup(events(spark, sf), "itemid", items(spark, sf), "itemid", F.col("label") == "no such label"))
 
 
-def _subject_events(spark, sf):
-    return c.join_on(events(spark, sf), (admissions(spark, sf).select("hadm_id", "subject_id"), ["hadm_id"]))
+def _owned(rows, spark, sf):
+    return c.join_on(rows, (admissions(spark, sf).select("hadm_id", "subject_id"), ["hadm_id"]))
 
 
 @register("Q4_extreme_then_latest", with_ctes(
@@ -74,7 +74,7 @@ def q4(spark, sf):
     # the least row of each admission first: it is all the join needs
     tie = ["hadm_id", "line", "itemid"]
     local = c.extreme_then_latest(events(spark, sf), "valuenum", "charttime", ["hadm_id"], tie)
-    owned = c.join_on(local, (admissions(spark, sf).select("hadm_id", "subject_id"), ["hadm_id"]))
+    owned = _owned(local, spark, sf)
     best = c.extreme_then_latest(owned, "valuenum", "charttime", ["subject_id"], tie)
     return best.select("subject_id", "valuenum", "charttime", "hadm_id", "line")
 
@@ -126,7 +126,7 @@ def q8(spark, sf):
         admissions(spark, sf).where("admission_type = '1-URGENT'")
         .select("subject_id", F.col("admittime").alias("charttime"))
     )
-    later = _subject_events(spark, sf).where(in_years(F.col("charttime"), 1997))
+    later = _owned(events(spark, sf).where(in_years(F.col("charttime"), 1997)), spark, sf)
     return c.frequent_within_months_after(index, later, "subject_id", "charttime", "itemid", 2, 5)
 
 
@@ -146,7 +146,9 @@ def q9(spark, sf):
        ROW_NUMBER() OVER (PARTITION BY a.subject_id, e.icd_code ORDER BY e.charttime, e.hadm_id) AS rn
        FROM e JOIN a USING (hadm_id) WHERE e.charttime IS NOT NULL) WHERE rn = 1""", _EVENTS, _ADM))
 def q10(spark, sf):
-    return c.first_occurrence(_subject_events(spark, sf), ["subject_id", "icd_code"], "charttime", ["hadm_id"])
+    # one row per admission and code before the join, so a hot admission is small by then
+    local = c.first_occurrence(events(spark, sf), ["hadm_id", "icd_code"], "charttime")
+    return c.first_occurrence(_owned(local, spark, sf), ["subject_id", "icd_code"], "charttime", ["hadm_id"])
 
 
 @register("Q11_outcome_rate_rank", with_ctes(
@@ -159,8 +161,11 @@ def q10(spark, sf):
        GROUP BY f.itemid)) WHERE rank <= 4""", _EVENTS, _ADM))
 def q11(spark, sf):
     outcome = admissions(spark, sf).groupBy("subject_id").agg(F.max("admittime").alias("outcome"))
+    # the first of each item per admission is all the join needs
+    old = events(spark, sf).where(F.col("charttime") <= shift(moment(AS_OF), days=-(365 // 2)))
+    local = c.first_occurrence(old, ["hadm_id", "itemid"], "charttime")
     ranked = c.outcome_rate_rank(
-        _subject_events(spark, sf), outcome, "subject_id", "itemid", "charttime", "outcome",
+        _owned(local, spark, sf), outcome, "subject_id", "itemid", "charttime", "outcome",
         days=365 // 2, k=4, as_of=AS_OF)
     return rounded(ranked, "free_rate")
 
@@ -256,7 +261,7 @@ def q18(spark, sf):
 def q19(spark, sf):
     tie = ["hadm_id", "line", "itemid"]
     local = c.latest(events(spark, sf), "charttime", ["hadm_id"], tie)
-    owned = c.join_on(local, (admissions(spark, sf).select("hadm_id", "subject_id"), ["hadm_id"]))
+    owned = _owned(local, spark, sf)
     return c.latest(owned, "charttime", ["subject_id"], tie).select("subject_id", "itemid", "charttime")
 
 

@@ -543,7 +543,9 @@ def w27(spark, sf):
         query_log(spark, sf), truth_runs(spark, sf), "results").select("id", "generated_sql", "true_result")
 
 
-@register("W28_run_statements")
+@register("W28_run_statements", """SELECT c_mktsegment AS id, c_mktsegment NOT IN ('BUILDING', 'FURNITURE') AS success,
+  CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE', 'MACHINERY') THEN 0 ELSE COUNT(DISTINCT o_orderpriority) END AS row_count,
+  c_mktsegment IN ('BUILDING', 'FURNITURE') AS failed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_mktsegment""")
 def w28(spark, sf):
     """One statement per segment over the order tables, one broken, one empty, one missing."""
     folder = sf.rstrip("/")

@@ -77,7 +77,7 @@ def test_table_refs(spark, text, want):
     (None, []),
     (NESTED, [
         "*", "admissions.hadm_id", "admissions.subject_id", "d_icd_procedures.icd_code", "d_icd_procedures.long_title",
-        "hadm_id" if False else "icd_code", "long_title", "procedures_icd.hadm_id", "procedures_icd.icd_code",
+        "icd_code", "long_title", "procedures_icd.hadm_id", "procedures_icd.icd_code",
         "subject_id"]),
     (RANKED, ["C1", "DENSE_RANK", "T1.C1", "T1.itemid", "labevents.itemid", "max"]),
     ("SELECT a, f(b, c), (d) x WHERE e >= 1 AND g<2", ["a", "d", "e", "f", "g"]),
