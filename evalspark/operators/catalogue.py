@@ -106,7 +106,14 @@ def _smallest_per_column(n: int):
         kept: dict[str, pa.Array] = {}
         for batch in batches:
             for name, column in zip(batch.schema.names, batch.columns):
-                seen = pa.concat_arrays([kept[name], column.drop_null()]) if name in kept else column.drop_null()
+                seen = column.drop_null()
+                if name in kept:
+                    held = kept[name]
+                    if len(held) == n:  # only values below the greatest one held can still matter
+                        seen = seen.filter(pc.less(seen, held[-1]))
+                    seen = pa.concat_arrays([held, seen]) if len(seen) else held
+                    if seen is held:
+                        continue
                 seen = pc.unique(seen)
                 kept[name] = seen.take(pc.array_sort_indices(seen)[:n])
         for name, values in kept.items():

@@ -263,6 +263,14 @@ def stage_union(stages: dict[str, DataFrame], order: tuple[str, ...] = STAGE_ORD
     return out
 
 
+def stage_lines(stages: DataFrame, metrics: tuple[str, ...] = STAGE_METRICS, model: str = "model") -> DataFrame:
+    """One row per model, stage and metric, under readable names."""
+    present = [m for m in metrics if m in stages.columns]
+    names = F.create_map(*[F.lit(x) for m in present for x in (m, METRIC_LABELS[m])])
+    long = stages.unpivot(["experiment", "stage_rank", "display_stage", model], present, "metric", "value")
+    return long.withColumn("metric", names[F.col("metric")])
+
+
 def stage_averages(stages: DataFrame, metrics: tuple[str, ...] = STAGE_METRICS) -> DataFrame:
     """Mean of each metric per stage."""
     present = [m for m in metrics if m in stages.columns]

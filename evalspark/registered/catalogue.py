@@ -98,7 +98,7 @@ def c4(spark, sf):
 @register("S3_read_schema_catalog", over_log(
     """SELECT "table", "column", CAST(uses AS VARCHAR) AS type, concat('column ', "column") AS description FROM used""", _USED))
 def s3(spark, sf):
-    """The workload's catalogue as one JSON file of nested maps, read back as rows."""
+    """The workload's catalogue as nested JSON maps, a table to a line, read back as rows."""
     path = work_path(spark, "schema-json")
     column = F.struct(
         F.col("uses").cast("string").alias("type"), F.lit(True).alias("null"), F.lit(False).alias("primary_key"),
@@ -106,10 +106,9 @@ def s3(spark, sf):
         F.concat(F.lit("column "), "column").alias("description"))
     tables = _used(spark, sf).groupBy("table").agg(
         F.map_from_entries(F.collect_list(F.struct("column", column))).alias("columns"))
-    entry = F.struct(F.concat("table", F.lit(".json")), F.struct(F.col("table").alias("name"), "columns"))
-    whole = tables.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
-    whole.coalesce(1).write.text(path)
-    return read_schema_catalog(spark, f"{path}/part-*").select("table", "column", "type", "description")
+    entry = F.create_map(F.concat("table", F.lit(".json")), F.struct(F.col("table").alias("name"), "columns"))
+    tables.select(F.to_json(entry).alias("value")).write.text(path)
+    return read_schema_catalog(spark, path, lines=True).select("table", "column", "type", "description")
 
 
 @register("S4_read_dictionary_map", over_log(
@@ -122,9 +121,8 @@ def s4(spark, sf):
         F.col("column").alias("dict_code_column"), F.lit("label").alias("dict_desc_column"))
     coded = _used(spark, sf).where(F.endswith("column", F.lit("key")))
     tables = coded.groupBy("table").agg(F.collect_list(entry).alias("entries"))
-    whole = tables.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("table", "entries")))).alias("value"))
-    whole.coalesce(1).write.text(path)
-    return read_dictionary_map(spark, f"{path}/part-*")
+    tables.select(F.to_json(F.create_map("table", "entries")).alias("value")).write.text(path)
+    return read_dictionary_map(spark, path, lines=True)
 
 
 def _sample_sql(name: str, columns: list[str], n: int) -> str:

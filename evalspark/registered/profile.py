@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sqltext as sql
 from ..operators import profile as p
+from ..sources.tables import spread_scan
 from .base import over_log, query_log, register, rounded, table
 
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -94,7 +95,7 @@ def d5(spark, sf):
 
 @register("D5_word_frequency_documents", _frequency("lang", "text", "documents"))
 def d5_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("lang", "text")
+    docs = spread_scan(table(spark, sf, "documents").select("lang", "text"))
     return p.word_frequency(docs, ["lang"], "text", _STOP_WORDS).withColumn("position", F.col("position").cast("int"))
 
 
@@ -110,7 +111,7 @@ def _count(piece: str) -> str:
 
 
 _LISTED = f"regexp_extract(q, 'select{_WS}+([^\\n]*?){_WS}+from', 1)"
-_COUNTS = f"""counts AS (SELECT *, {_count('select')} AS select_count, {_count('from')} AS from_count,
+_PARTS = f"""{_count('select')} AS select_count, {_count('from')} AS from_count,
   {_count('where')} AS where_count, {_count(' join ')} + {_count(' inner join ')} + {_count(' left join ')}
   + {_count(' right join ')} AS join_count, {_count('group by')} AS group_by_count, {_count('order by')} AS order_by_count,
   {_count('limit')} AS limit_count, {_count('distinct')} AS distinct_count, {_count('(select')} AS subquery_count,
@@ -118,10 +119,17 @@ _COUNTS = f"""counts AS (SELECT *, {_count('select')} AS select_count, {_count('
     || regexp_extract_all(q, 'join{_WS}+([a-z0-9_]+)', 1))) AS INT) AS table_count,
   CAST(len(list_distinct(CASE WHEN contains({_LISTED}, '*') THEN [] ELSE
     regexp_extract_all({_LISTED}, '([a-z0-9_.]+)(?:{_WS}*,|{_WS}*\\z|{_WS}+as)', 1) END
-    || regexp_extract_all(q, 'where{_WS}+([a-z0-9_.]+){_WS}*[=<>]', 1))) AS INT) AS column_count
-  FROM (SELECT *, lower(true_query) AS q FROM log WHERE true_query IS NOT NULL))"""
-_SCORES = "complexity AS (SELECT *, " + " + ".join(
-    f"{n} * CAST({w} AS DOUBLE)" for n, w in sql.COMPLEXITY_WEIGHTS.items()) + " AS query_complexity FROM counts)"
+    || regexp_extract_all(q, 'where{_WS}+([a-z0-9_.]+){_WS}*[=<>]', 1))) AS INT) AS column_count"""
+
+
+def complexity_ctes(source: str) -> tuple[str, str]:
+    """Counted parts and weighted score of the true queries of a CTE; no query counts as nothing."""
+    counts = f"counts AS (SELECT *, {_PARTS} FROM (SELECT *, lower(coalesce(true_query, '')) AS q FROM {source}))"
+    score = " + ".join(f"{n} * CAST({w} AS DOUBLE)" for n, w in sql.COMPLEXITY_WEIGHTS.items())
+    return counts, f"complexity AS (SELECT *, {score} AS query_complexity FROM counts)"
+
+
+_COUNTS, _SCORES = complexity_ctes("(SELECT * FROM log WHERE true_query IS NOT NULL)")
 _LEVEL = """CASE WHEN query_complexity < 5 THEN 'Simple' WHEN query_complexity < 10 THEN 'Moderate'
   WHEN query_complexity < 15 THEN 'Complex' ELSE 'Very Complex' END"""
 
@@ -193,7 +201,7 @@ def d12(spark, sf):
 
 @register("D12_question_intent_conversations", f"SELECT conv_id, turn, {_intent('text')} AS intent FROM conversations")
 def d12_conversations(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", p.question_intent(F.col("text")).alias("intent"))
+    return spread_scan(table(spark, sf, "conversations")).select("conv_id", "turn", p.question_intent(F.col("text")).alias("intent"))
 
 
 # the log's results, and results of other shapes

@@ -9,9 +9,11 @@ from ..functions import sqltext as sql
 from ..functions.similarity import CLAUSES, clauses_of, compare_plans, similarities
 from ..functions.text import concat_all
 from ..operators import workload as w
+from ..operators.profile import sql_components
 from ..operators.statements import run_statements
 from ..plans.evaluation import compare_queries, repair_round, score_models
 from ..session import work_path
+from .profile import complexity_ctes
 from .base import joined, over_log, query_log, register, rounded, table, truth_runs
 
 # --- SQL pieces of the oracles --------------------------------------------------
@@ -414,15 +416,15 @@ def w17(spark, sf):
     return w.error_distribution(df, ["model_name"], "category")
 
 
-_BIN = """CASE WHEN c <= 0 THEN NULL WHEN c <= 5 THEN 'Simple' WHEN c <= 10 THEN 'Moderate' WHEN c <= 15 THEN 'Complex'
-  ELSE 'Very Complex' END"""
+_BIN = """CASE WHEN query_complexity <= 0 THEN NULL WHEN query_complexity <= 5 THEN 'Simple' WHEN query_complexity <= 10
+  THEN 'Moderate' WHEN query_complexity <= 15 THEN 'Complex' ELSE 'Very Complex' END"""
 
 
 @register("W18_match_by_complexity", over_log(
-    f"""SELECT model_name, {_BIN} AS complexity_bin, round(AVG(results_match), 6) AS match_rate FROM (
-      SELECT *, length(coalesce(true_query, '')) / 12.0 AS c FROM scored) WHERE {_BIN} IS NOT NULL GROUP BY ALL""", *SCORED_SQL))
+    f"""SELECT model_name, {_BIN} AS complexity_bin, round(AVG(results_match), 6) AS match_rate FROM complexity
+      WHERE {_BIN} IS NOT NULL GROUP BY ALL""", *SCORED_SQL, *complexity_ctes("scored")))
 def w18(spark, sf):
-    df = native_scores(spark, sf).withColumn("query_complexity", F.length(F.coalesce("true_query", F.lit(""))) / 12.0)
+    df = sql_components(native_scores(spark, sf), "true_query")
     return rounded(w.match_by_complexity(df, ["model_name"]), "match_rate")
 
 
@@ -464,6 +466,17 @@ def w21(spark, sf):
         "experiment", "stage_rank", "display_stage", "model_name", "total_queries", "execution_success_rate")
 
 
+@register("W21_stage_lines", over_log(
+    """SELECT experiment, stage_rank, display_stage, model_name, CASE metric WHEN 'execution_success_rate' THEN 'Execution Success Rate'
+      WHEN 'avg_table_access_accuracy' THEN 'Table Access Accuracy' ELSE 'Composite Score' END AS metric, round(value, 6) AS value
+      FROM (UNPIVOT (SELECT experiment, stage_rank, display_stage, model_name, execution_success_rate, avg_table_access_accuracy,
+      avg_composite_score FROM stages) ON execution_success_rate, avg_table_access_accuracy, avg_composite_score
+      INTO NAME metric VALUE value)""", *SCORED_SQL, _METRICS, _STAGES))
+def w21_lines(spark, sf):
+    wanted = ("execution_success_rate", "avg_table_access_accuracy", "avg_composite_score")
+    return rounded(w.stage_lines(_stages(spark, sf), wanted, "model_name"), "value")
+
+
 _AVERAGED = [
     "execution_success_rate", "result_match_rate", "avg_table_access_accuracy", "avg_column_access_accuracy",
     "avg_query_similarity", "avg_composite_score"]

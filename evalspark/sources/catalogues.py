@@ -16,9 +16,12 @@ _DICTIONARY = (
 )
 
 
-def read_schema_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """S3: one row per table and column; positions keep the order of the file."""
-    files = spark.read.text(path, wholetext=True)
+def read_schema_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """S3: one row per table and column; positions keep the order of the file.
+
+    Each file holds one JSON map of tables, or with ``lines`` each line does.
+    """
+    files = spark.read.text(path, wholetext=not lines)
     tables = files.select(F.posexplode(F.from_json("value", _SCHEMA)).alias("table_position", "file", "t"))
     columns = tables.select(
         F.regexp_replace("file", r"\.json$", "").alias("table"), "table_position",
@@ -30,9 +33,9 @@ def read_schema_catalog(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_dictionary_map(spark: SparkSession, path: str) -> DataFrame:
+def read_dictionary_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per coded column of a fact table and the dictionary that explains it."""
-    files = spark.read.text(path, wholetext=True)
+    files = spark.read.text(path, wholetext=not lines)
     entries = files.select(F.explode(F.from_json("value", _DICTIONARY)).alias("fact_table", "entries"))
     return entries.select("fact_table", F.inline("entries"))
 
