@@ -22,7 +22,8 @@ _OPENERS = {
     "select": r"SELECT", "from": r"FROM", "where": r"WHERE", "group_by": r"GROUP\s+BY",
     "having": r"HAVING", "order_by": r"ORDER\s+BY", "limit": r"LIMIT",
 }
-_MEMO_ENTRIES = 20_000
+_MEMO_ENTRIES = 20_000  # of at most _MEMO_CHARS characters, so a memo stays within tens of MB
+_MEMO_CHARS = 2_000
 
 
 def _clause_patterns() -> dict[str, re.Pattern]:
@@ -92,7 +93,9 @@ def split_clauses(query: str | None) -> dict:
 def text_ratio(a: str | None, b: str | None) -> float:
     """Ratcliff-Obershelp ratio; two empty texts are equal."""
     a, b = a or "", b or ""
-    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+    if a == b:
+        return 1.0
+    return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
 def query_ratios(true: str | None, gen: str | None) -> dict:
@@ -112,9 +115,14 @@ def _struct_udf(fn: Callable[..., dict], schema: str):
 
     def rows(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         memo = lru_cache(maxsize=_MEMO_ENTRIES)(fn)
+
+        def once(*texts):
+            short = sum(len(t) for t in texts if t) <= _MEMO_CHARS
+            return memo(*texts) if short else fn(*texts)
+
         for batch in batches:
             columns = [s.where(s.notna(), None) for s in batch]
-            yield pd.DataFrame([memo(*values) for values in zip(*columns)], columns=names)
+            yield pd.DataFrame([once(*texts) for texts in zip(*columns)], columns=names)
 
     def apply(*cols: Column) -> Column:
         if len(cols) == 1:

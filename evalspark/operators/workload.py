@@ -213,8 +213,10 @@ def complexity_bin(score: Column) -> Column:
 
 def match_by_complexity(df: DataFrame, by: list[str] = ("model",), score: str = "query_complexity") -> DataFrame:
     """Match rate per model and complexity bin."""
+    # exploding drops rows without a bin; a filter would be pushed down and score every row twice
+    known = F.array_compact(F.array(complexity_bin(F.col(score))))
     return (
-        df.withColumn("complexity_bin", complexity_bin(F.col(score))).where("complexity_bin IS NOT NULL")
+        df.select(*by, "results_match", F.explode(known).alias("complexity_bin"))
         .groupBy(*by, "complexity_bin").agg(F.avg("results_match").alias("match_rate"))
     )
 
