@@ -13,6 +13,10 @@ from .times import CLOCK, CLOCK_DATE, CLOCK_TIME
 
 _WORD = "[a-zA-Z0-9_]+"
 _NAME = "[a-zA-Z_][a-zA-Z0-9_]*"
+# A word that does not match from its first letter does not match from a later one either: start once per
+# word and (with a + after the pattern) never give letters back.
+_WORD_START = "(?<![a-zA-Z0-9_])"
+_NAME_START = "(?<![a-zA-Z_])"
 
 # fixed values: normal range of each vital sign
 VITAL_RANGES = {
@@ -149,7 +153,7 @@ def table_refs(query: Column) -> Column:
     """Sorted names after FROM/JOIN plus the prefixes of dotted names (so aliases count)."""
     sql = _without_strings(query)
     named = all_groups(sql, f"(?i)(?:FROM|JOIN){WS}+({_NAME})")
-    dotted = all_groups(sql, f"({_NAME})\\.{_NAME}")
+    dotted = all_groups(sql, f"{_NAME_START}({_NAME}+)\\.{_NAME}")
     return F.array_sort(F.array_union(named, dotted))
 
 
@@ -196,14 +200,14 @@ def where_columns(texts: Column) -> Column:
     """Identifiers right before a comparison in the first WHERE of each text of an array."""
     clauses = F.transform(
         texts, lambda t: F.regexp_extract(t, f"(?is)WHERE{WS}+(.*?)(?:GROUP BY|ORDER BY|LIMIT|\\z)", 1))
-    return F.flatten(F.transform(clauses, lambda c: all_groups(c, f"({_WORD})(?:{WS}*[=<>])")))
+    return F.flatten(F.transform(clauses, lambda c: all_groups(c, f"{_WORD_START}({_WORD}+){WS}*[=<>]")))
 
 
 def column_refs(query: Column) -> Column:
     """Sorted column references of the query and of its parenthesised sub-selects."""
     sql = _without_strings(query)
     subs = all_groups(sql, f"(?is)(\\({WS}*SELECT{WS}+.+?FROM.+?\\))")
-    dotted = all_groups(sql, f"({_NAME}\\.{_NAME})")
+    dotted = all_groups(sql, f"{_NAME_START}({_NAME}+\\.{_NAME})")
     inner = let(F.concat(F.array(sql), subs), lambda texts: F.concat(select_columns(texts), where_columns(texts)))
     return F.array_sort(F.array_union(dotted, inner))
 

@@ -23,8 +23,7 @@ _KEYED = """keyed AS (SELECT DISTINCT event_type AS "table", unnest([concat(even
 # events in the clinical naming: table names the summary knows, columns it takes as keys
 _CLINICAL = """clinical AS (SELECT DISTINCT CASE event_type WHEN 'view' THEN 'patients' WHEN 'click' THEN 'd_icd_diagnoses'
   WHEN 'signup' THEN 'd_items' WHEN 'purchase' THEN 'chartevents' ELSE 'transfers' END AS "table",
-  CASE CAST(user_id % 4 AS INT) WHEN 0 THEN 'subject_id' WHEN 1 THEN 'itemid' WHEN 2 THEN 'icd_code' ELSE 'label' END AS "column" FROM events
-  WHERE event_type IN ('view', 'signup', 'purchase') OR user_id % 4 = 3)"""
+  CASE CAST(user_id % 4 AS INT) WHEN 0 THEN 'subject_id' WHEN 1 THEN 'itemid' WHEN 2 THEN 'icd_code' ELSE 'label' END AS "column" FROM events)"""
 
 
 def _used(spark, sf):
@@ -50,8 +49,7 @@ def _clinical(spark, sf):
         F.when(kind == "view", "patients").when(kind == "click", "d_icd_diagnoses").when(kind == "signup", "d_items")
         .when(kind == "purchase", "chartevents").otherwise("transfers"))
     column = F.when(slot == 0, "subject_id").when(slot == 1, "itemid").when(slot == 2, "icd_code").otherwise("label")
-    rows = table(spark, sf, "events").where(kind.isin("view", "signup", "purchase") | (slot == 3))
-    return rows.select(name.alias("table"), column.alias("column")).distinct()
+    return table(spark, sf, "events").select(name.alias("table"), column.alias("column")).distinct()
 
 
 @register("C1_join_paths", over_log(
