@@ -20,7 +20,7 @@ def parse_rows(results: Column) -> Column:
 
 def row_texts(rows: Column) -> Column:
     """One canonical text per row (entries by name), so rows compare and hash as strings."""
-    return F.transform(rows, lambda r: F.to_json(F.array_sort(F.map_entries(r))))
+    return F.transform(rows, lambda r: F.to_json(F.sort_array(F.map_entries(r))))
 
 
 def compare_results(true_results: Column, gen_results: Column) -> Column:
@@ -42,7 +42,7 @@ def compare_results(true_results: Column, gen_results: Column) -> Column:
 
 
 def _first_columns(rows: Column) -> Column:
-    return F.array_sort(F.map_keys(F.get(rows, F.lit(0))))
+    return F.sort_array(F.map_keys(F.get(rows, F.lit(0))))
 
 
 def _verdict(p: Column) -> Column:

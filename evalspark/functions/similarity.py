@@ -178,9 +178,9 @@ def compare_plans(true_plan: Column, gen_plan: Column, with_sequence: bool = Tru
     match = F.when(~missing, F.size(F.array_intersect(first, second)) / every).when(~neither, 0.0)
     out = {
         "operation_match": match,
-        "common_operations": F.when(~missing, F.array_sort(F.array_intersect(first, second))),
-        "only_in_true": F.when(~missing, F.array_sort(F.array_except(first, second))),
-        "only_in_generated": F.when(~missing, F.array_sort(F.array_except(second, first))),
+        "common_operations": F.when(~missing, F.sort_array(F.array_intersect(first, second))),
+        "only_in_true": F.when(~missing, F.sort_array(F.array_except(first, second))),
+        "only_in_generated": F.when(~missing, F.sort_array(F.array_except(second, first))),
     }
     if with_sequence:
         sequence = _detail_ratio(first, second)

@@ -154,7 +154,7 @@ def table_refs(query: Column) -> Column:
     sql = _without_strings(query)
     named = all_groups(sql, f"(?i)(?:FROM|JOIN){WS}+({_NAME})")
     dotted = all_groups(sql, f"{_NAME_START}({_NAME}+)\\.{_NAME}")
-    return F.array_sort(F.array_union(named, dotted))
+    return F.sort_array(F.array_union(named, dotted))
 
 
 def _top_level_parts(clause: Column) -> Column:
@@ -205,11 +205,14 @@ def where_columns(texts: Column) -> Column:
 
 def column_refs(query: Column) -> Column:
     """Sorted column references of the query and of its parenthesised sub-selects."""
-    sql = _without_strings(query)
+    return let(_without_strings(query), _column_refs)
+
+
+def _column_refs(sql: Column) -> Column:
     subs = all_groups(sql, f"(?is)(\\({WS}*SELECT{WS}+.+?FROM.+?\\))")
     dotted = all_groups(sql, f"{_NAME_START}({_NAME}+\\.{_NAME})")
     inner = let(F.concat(F.array(sql), subs), lambda texts: F.concat(select_columns(texts), where_columns(texts)))
-    return F.array_sort(F.array_union(dotted, inner))
+    return F.sort_array(F.array_union(dotted, inner))
 
 
 def set_overlap(a: Column, b: Column) -> Column:

@@ -48,7 +48,7 @@ def join_paths(catalogue: DataFrame) -> DataFrame:
     """Shared columns of every ordered table pair that has any."""
     return (
         _column_pairs(catalogue).groupBy("t1", "t2")
-        .agg(F.array_sort(F.collect_set("column")).alias("columns"))
+        .agg(F.sort_array(F.collect_set("column")).alias("columns"))
     )
 
 
@@ -172,7 +172,7 @@ def schema_summary(catalogue: DataFrame) -> DataFrame:
         kind = F.when(F.contains("table", F.lit(piece)), text).otherwise(kind)
     known = F.array_position(F.array(*map(F.lit, KEY_COLUMNS)), F.col("column"))
     at = F.col("position") if "position" in catalogue.columns else known
-    keys = F.array_sort(F.collect_set(F.when(F.col("column").isin(*KEY_COLUMNS), F.struct(at.alias("at"), "column"))))
+    keys = F.sort_array(F.collect_set(F.when(F.col("column").isin(*KEY_COLUMNS), F.struct(at.alias("at"), "column"))))
     place = F.min("table_position") if "table_position" in catalogue.columns else F.lit(0)
     joined = F.array_join(F.transform("_keys", lambda k: k["column"]), ", ")
     return (

@@ -88,9 +88,13 @@ def repair_chat_rows(examples: DataFrame, schema: str, database: str = "clinical
     return examples.withColumn("text", _chat(FIXER, user, F.col("fixed_query")))
 
 
-def split(df: DataFrame, key: str = "id", share: float = 0.1, seed: int = 42) -> DataFrame:
-    """Tag rows ``train`` or ``validation`` by a seeded hash of their id, whatever the partitioning."""
-    slot = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10_000))
+def split(df: DataFrame, key: str = "id", share: float = 0.1, seed: int = 42, draw: Column | None = None) -> DataFrame:
+    """Tag rows ``train`` or ``validation`` by a seeded hash of their id, whatever the partitioning.
+
+    ``draw`` replaces the hash by another whole number, e.g. one another engine can repeat.
+    """
+    draw = F.xxhash64(F.col(key), F.lit(seed)) if draw is None else draw
+    slot = F.pmod(draw, F.lit(10_000))
     return df.withColumn("part", F.when(slot < int(share * 10_000), "validation").otherwise("train"))
 
 

@@ -94,8 +94,8 @@ def with_access_overlap(df: DataFrame, true: str = "true_query", gen: str = "gen
     added = {}
     for kind, score in (("tables", "table_access_accuracy"), ("columns", "column_access_accuracy")):
         a, b = F.col(f"true_{kind}"), F.col(f"gen_{kind}")
-        added[f"{kind}_union"] = F.array_sort(F.array_union(a, b))
-        added[f"{kind}_intersection"] = F.array_sort(F.array_intersect(a, b))
+        added[f"{kind}_union"] = F.sort_array(F.array_union(a, b))
+        added[f"{kind}_intersection"] = F.sort_array(F.array_intersect(a, b))
         added[score] = sql.set_overlap(a, b)
     return out.withColumns(added)
 
@@ -288,11 +288,12 @@ def route_failures(df: DataFrame, success: str = "success") -> DataFrame:
 
 def apply_fix(df: DataFrame, fixes: DataFrame, fixed: str = "fixed_query", gen: str = "generated_sql") -> DataFrame:
     """Default ``valid_sql`` to the generated SQL; take a fix that is a SELECT; drop old outcomes."""
+    fix = fixes.groupBy("id").agg(F.max(fixed).alias("_fix"))  # one fix per row
     good = (F.col("_fix") != "ERROR") & F.startswith(F.upper(sql.strip(F.col("_fix"))), F.lit("SELECT"))
     good = F.coalesce(good, F.lit(False))
     return (
         df.drop(*OUTCOME_COLUMNS)
-        .join(fixes.select("id", F.col(fixed).alias("_fix")), "id", "left")
+        .join(fix, "id", "left")
         .withColumn("valid_sql", F.when(good, F.col("_fix")).otherwise(F.col(gen)))
         .withColumn("validated", good.cast("int"))
         .drop("_fix")

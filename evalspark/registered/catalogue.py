@@ -154,9 +154,12 @@ def c6(spark, sf):
     return c.random_pick(table(spark, sf, "orders"), ["o_orderpriority"], "o_custkey", exclude=[1, 2, 3], key=key)
 
 
-@register("C6_random_column")
+@register("C6_random_column", over_log(
+    """SELECT "table", arg_min("column", md5(concat("column", '-7'))) AS "column" FROM used WHERE "column" <> 'o_custkey'
+      GROUP BY "table" """, _USED))
 def c6_column(spark, sf):
-    return c.random_pick(_used(spark, sf), ["table"], "column", seed=7, exclude=["o_custkey"])
+    key = F.md5(F.concat("column", F.lit("-7")))
+    return c.random_pick(_used(spark, sf), ["table"], "column", exclude=["o_custkey"], key=key)
 
 
 @register("C7_schema_summary", "WITH " + _CLINICAL + """ SELECT "table", CASE WHEN contains("table", 'patients') THEN 'patient demographic information'

@@ -72,8 +72,16 @@ def p3(spark, sf):
     return p.repair_chat_rows(p.repair_examples(query_log(spark, sf)), _schema(spark, sf)).select("id", "text")
 
 
-@register("P4_split")
+@register("P4_split", over_log(
+    """SELECT id, question, true_query, CASE WHEN (id * 7919 + 42 * 104729) % 10007 % 10000 < 1000 THEN 'validation' ELSE 'train' END
+      AS part FROM log"""))
 def p4(spark, sf):
+    draw = (F.col("id") * 7919 + 42 * 104729) % 10007
+    return p.split(query_log(spark, sf).select("id", "question", "true_query"), draw=draw)
+
+
+@register("P4_split_by_hash")
+def p4_hash(spark, sf):
     return p.split(query_log(spark, sf).select("id", "question", "true_query"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sensitivity as v
-from ..operators.workload import SCORE_WEIGHTS, with_plan_comparison  # noqa: F401
+from ..operators.workload import SCORE_WEIGHTS
 from .base import over_log, register, rounded
 from .workload import SCORED_SQL, native_scores
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.workload import model_metrics  # noqa: F401
 from ..session import work_path
 from ..sources import tables as s
 from .base import over_log, query_log, register, table

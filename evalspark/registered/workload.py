@@ -228,7 +228,25 @@ def w5(spark, sf):
         joined(sql.column_refs(F.col("generated_sql"))).alias("gen_columns"))
 
 
-@register("W6_split_clauses")
+# the log's queries hold at most one sub-select, whose brackets nest no deeper than three
+_SUB = "\\([ ]*SELECT(?:[^()]|\\((?:[^()]|\\([^()]*\\))*\\))*\\)"
+_STOPS = {
+    "select": ["FROM"], "from": ["WHERE", "GROUP BY", "HAVING", "ORDER BY", "LIMIT"],
+    "where": ["GROUP BY", "HAVING", "ORDER BY", "LIMIT"], "group_by": ["HAVING", "ORDER BY", "LIMIT"],
+    "having": ["ORDER BY", "LIMIT"], "order_by": ["LIMIT"], "limit": [],
+}
+
+
+def _clause(name: str) -> str:
+    stops = "".join(f"[ ]+{stop}\\b|" for stop in _STOPS[name])
+    text = f"regexp_extract(o, '(?is){name.replace('_', ' ').upper()}[ ]+(.*?)(?:{stops}\\z)', 1)"
+    return f"replace(trim({text}), 'SUBQUERY_0', concat('SELECT ', s[2:-2])) AS {name}_clause"
+
+
+@register("W6_split_clauses", over_log(
+    f"""SELECT id, {', '.join(_clause(c) for c in CLAUSES)}, s[2:-2] AS subqueries FROM (
+      SELECT id, s, CASE WHEN s = '' THEN q ELSE replace(q, s, '(SUBQUERY_0)') END AS o FROM (
+      SELECT id, q, regexp_extract(q, '{_SUB}') AS s FROM (SELECT id, coalesce(true_query, '') AS q FROM log)))"""))
 def w6(spark, sf):
     rows = query_log(spark, sf).select("id", "true_query")
     return rows.withColumn("c", clauses_of("true_query")).select(

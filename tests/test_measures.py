@@ -183,3 +183,39 @@ def test_no_spread_means_no_rank_change(spark):
     assert len(rhos) == 20 and {r["rho"] for r in rhos} == {1.0}
     steps = v.tornado(df, steps=5, weights=weights)
     assert steps.count() == 3 * 2 * 5 and {r[0] for r in steps.select("rank").distinct().collect()} == {1, 2, 3}
+
+
+def test_registered_similarity_matches_brute_force(spark):
+    """Every row of the derived log at the smallest size, scored by the standard library."""
+    import __spark_entry__ as entry
+    from evalspark.registered.base import query_log
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r["id"]: (r["true_query"] or "", r["generated_sql"] or "") for r in query_log(spark, folder).collect()}
+    got = entry.queries()["W8_text_similarity"](spark, folder).collect()
+    assert len(got) == len(texts)
+    for row in got:
+        assert row["query_similarity"] == difflib.SequenceMatcher(None, *texts[row["id"]]).ratio()
+        left, right = map(split_clauses, texts[row["id"]])
+        for clause in CLAUSES:
+            key = f"{clause}_clause"
+            assert row[f"{key}_similarity"] == difflib.SequenceMatcher(None, left[key], right[key]).ratio()
+
+
+def test_registered_scores_are_the_means_of_the_rows(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    rows = entry.queries()["W15_compare_queries"](spark, folder).collect()
+    assert len({r["id"] for r in rows}) == len(rows)
+    for r in rows:
+        want = (
+            0.3 * r["results_match"] + 0.2 * r["table_access_accuracy"] + 0.2 * r["column_access_accuracy"]
+            + 0.1 * r["query_similarity"] + 0.2 * (r["plan_similarity"] or 0.0))
+        assert r["composite_score"] == pytest.approx(want)
+    for m in entry.queries()["W16_score_models"](spark, folder).collect():
+        mine = [r for r in rows if r["model_name"] == m["model_name"]]
+        assert m["total_queries"] == len(mine) and m["experiment"] == "derived log"
+        assert m["avg_composite_score"] == pytest.approx(sum(r["composite_score"] for r in mine) / len(mine))
+        assert m["avg_from_similarity"] == pytest.approx(sum(r["from_clause_similarity"] for r in mine) / len(mine))
+        assert m["empty_results_both"] == sum(r["both_empty"] for r in mine)
