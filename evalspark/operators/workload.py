@@ -203,6 +203,12 @@ def error_distribution(df: DataFrame, by: list[str] = ("model",), category: str
     return df.groupBy(*by, category).agg(F.count("*").alias("n"))
 
 
+def error_matrix(df: DataFrame, by: list[str] = ("model",), category: str = "gen_error_category") -> DataFrame:
+    """W17 in wide form: one column per error class, 0 where a model has none."""
+    classes = [*sql.ERROR_CLASSES, "other", "No error"]
+    return df.groupBy(*by).pivot(category, classes).agg(F.count("*")).na.fill(0, classes)
+
+
 def complexity_bin(score: Column) -> Column:
     """(0,5], (5,10], (10,15], (15,inf); a score of 0 or less has no bin."""
     return (

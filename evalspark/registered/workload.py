@@ -435,6 +435,17 @@ def w17(spark, sf):
     return w.error_distribution(df, ["model_name"], "category")
 
 
+_CLASSES = [*sql.ERROR_CLASSES, "other", "No error"]
+
+
+@register("W17_error_matrix", over_log(
+    "SELECT model_name, " + ", ".join(f"COUNT(*) FILTER (c = '{x}') AS \"{x}\"" for x in _CLASSES)
+    + f" FROM (SELECT model_name, {_error_class('e')} AS c FROM (SELECT model_name, {_ERROR} AS e FROM log)) GROUP BY model_name"))
+def w17_matrix(spark, sf):
+    errors = query_log(spark, sf).selectExpr("model_name", f"{_ERROR} AS e")
+    return w.error_matrix(errors.withColumn("category", sql.categorise_error(F.col("e"))), ["model_name"], "category")
+
+
 _BIN = """CASE WHEN query_complexity <= 0 THEN NULL WHEN query_complexity <= 5 THEN 'Simple' WHEN query_complexity <= 10
   THEN 'Moderate' WHEN query_complexity <= 15 THEN 'Complex' ELSE 'Very Complex' END"""
 
