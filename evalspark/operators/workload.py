@@ -206,7 +206,7 @@ def error_distribution(df: DataFrame, by: list[str] = ("model",), category: str
 def error_matrix(df: DataFrame, by: list[str] = ("model",), category: str = "gen_error_category") -> DataFrame:
     """W17 in wide form: one column per error class, 0 where a model has none."""
     classes = [*sql.ERROR_CLASSES, "other", "No error"]
-    return df.groupBy(*by).pivot(category, classes).agg(F.count("*")).na.fill(0, classes)
+    return df.groupBy(*by).pivot(category, classes).agg(F.count(F.lit(1))).na.fill(0, classes)
 
 
 def complexity_bin(score: Column) -> Column:
