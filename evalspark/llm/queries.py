@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import quality, simhash, toxicity
+from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,3 +23,23 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 def op9_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _scores(docs: DataFrame, score, parts: int, out: int) -> DataFrame:
+    held_out = F.coalesce(fold(F.col("doc_id"), parts) == out, F.lit(True))
+    return score(docs.select("doc_id", "text")).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op4_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, fold(F.col("doc_id"), 4) != 2)
+    return _scores(docs, lambda d: quality.score(d, model), 4, 2)
+
+
+@query
+def op5_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, fold(F.col("doc_id"), 3) != 1)
+    return _scores(docs, lambda d: toxicity.score(d, model), 3, 1)
