@@ -112,7 +112,7 @@ def _prefix(fp: Column, depth: Column | int) -> Column:
     return F.when(F.lit(depth) == 0, F.lit(0)).otherwise(F.call_function("shiftrightunsigned", fp, (F.lit(BITS) - depth).cast("int")))
 
 
-def near_links(fps: DataFrame, budget: int = 2, node_rows: int = 50_000, step: int = 4) -> DataFrame:
+def near_links(fps: DataFrame, budget: int = 2, node_rows: int = 8_000, step: int = 2) -> DataFrame:
     """(a, b): links that connect whatever fingerprints of ``fps`` (fp, distinct) lie within ``budget`` bits.
 
     The top of the trie is walked by Spark: a table of node pairs starts at (root, root), every round replaces each
