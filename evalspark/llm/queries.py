@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, toxicity
+from . import quality, secrets, simhash, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,15 @@ def op5_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, fold(F.col("doc_id"), 3) != 1)
     return _scores(docs, lambda d: toxicity.score(d, model), 3, 1)
+
+
+@query
+def op1_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.train(secrets.ordinary_samples(docs).unionByName(secrets.generated_samples(spark)))
+    found = secrets.scan(docs, model)
+    of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("secrets", lambda x: x["kind"] < 3)
+    return found.select(
+        "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
