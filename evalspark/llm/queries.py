@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secrets, simhash, toxicity
+from . import decontaminate, quality, secrets, segment, simhash, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +61,15 @@ def op1_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_segment_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    vocab = segment.Vocabulary(model)
+    source = F.translate(F.coalesce("text", F.lit("")), segment.BLANK, " ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(source).alias("source"))
+    cuts = segment.decode(segment.encode(docs, model, vocab=vocab, keep=("source",)), model, vocab)
+    return cuts.select(
+        "doc_id", "sample", F.size("ids").alias("n_ids"), "log_prob", "gumbel", "inclusion", "ids",
+        (F.xxhash64("text") == F.col("source")).alias("decodes"))
