@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secrets, segment, simhash, toxicity
+from . import decontaminate, quality, secret_spans, segment, simhash, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,13 +49,13 @@ def op5_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = secrets.train(secrets.ordinary_samples(docs).unionByName(secrets.generated_samples(spark)))
-    found = secrets.scan(docs, model)
+    model = secret_spans.train(secret_spans.ordinary_samples(docs).unionByName(secret_spans.generated_samples(spark)))
+    found = secret_spans.scan(docs, model)
     of = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("secrets", lambda x: x["kind"] < 3)
     return found.select(
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
-        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+        F.sha2(secret_spans.joined(base), 256).alias("base_sha256"), secret_spans.joined(F.col("secrets")).alias("spans"))
 
 
 @query

@@ -18,27 +18,48 @@ SEED = 42
 _CHUNK = 1 << 18  # shingles whose bits are counted at once
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """Bit i is 1 if more than half of the shingles' hashes have it; a text without words gives 0.
+def shingles(text: str | None, words: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text's words joined by blanks, and where each run of ``words`` words begins and ends in them.
 
-    Words are runs without ASCII white space, A-Z lower-cased; a text of fewer than ``words`` words is one shingle.
+    Words are runs without ASCII white space, A-Z lower-cased; a text of fewer words is one shingle, of none has none.
     """
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
     line = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
+    starts = np.concatenate([np.zeros(min(1, len(parts)), np.int64), ends[:-1] + 1])
     width = min(words, len(parts))
-    starts, ends = starts[:len(parts) - width + 1], ends[width - 1:]
-    digest, count = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    return line, starts[:len(parts) - width + 1], ends[max(0, width - 1):]
+
+
+def fingerprint(text: str | None, words: int = 3, wide: int = 1) -> int:
+    """Bit i is 1 if more than half of the shingles' hashes have it; a text without words gives 0.
+
+    The first 64 bits come from XXH64; each of ``wide`` - 1 further blocks of 64 bits from multiples of it, hashed again.
+    """
+    line, starts, ends = shingles(text, words)
+    if not len(starts):
+        return 0
+    digest, count = xxhash.xxh64_intdigest, np.zeros(BITS * wide, np.int64)
     for at in range(0, len(starts), _CHUNK):
         spans = zip(starts[at:at + _CHUNK].tolist(), ends[at:at + _CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(line[a:b], SEED) for a, b in spans], dtype=">u8")
-        count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        hashes = np.array([digest(line[a:b], SEED) for a, b in spans], dtype=np.uint64)
+        for block in range(wide):
+            if block:
+                hashes = _again(hashes)
+            bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            count[block * BITS:(block + 1) * BITS] += bits.sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(count * 2 > len(starts)).tobytes(), "big")
 
 
+def _again(x: np.ndarray) -> np.ndarray:
+    """splitmix64 of each value."""
+    with np.errstate(over="ignore"):
+        x = x + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id_col, fp): one row per row of ``docs``; fp holds the 64 bits as a signed long.  NULL text counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,8 +72,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) in two sorted arrays of fingerprints that differ in at most ``budget`` bits.
+def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int, depth: int = 0, levels: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) in two sorted arrays whose first ``levels`` bits differ in at most ``budget``.
 
     Both tries are walked together, level by level.  A pair of nodes is two slices and the bits in which their
     prefixes differ; a pair over the budget is dropped with all that hangs below it.
@@ -62,15 +83,15 @@ def trie_pairs(left: np.ndarray, right: np.ndarray, budget: int, depth: int = 0)
     if depth:
         used = np.array([(int(left[0] ^ right[0]) >> (BITS - depth)).bit_count()])
     found = []
-    for level in range(depth, BITS + 1):
-        small = (hi_a - lo_a) * (hi_b - lo_b) <= 16 if level < BITS else np.ones(len(used), bool)
+    for level in range(depth, levels + 1):
+        small = (hi_a - lo_a) * (hi_b - lo_b) <= 16 if level < levels else np.ones(len(used), bool)
         if small.any():  # few enough to compare one by one
             n_b = (hi_b - lo_b)[small]
             sizes = (hi_a - lo_a)[small] * n_b
             pair = np.repeat(np.arange(len(sizes)), sizes)
             inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             i, j = lo_a[small][pair] + inner // n_b[pair], lo_b[small][pair] + inner % n_b[pair]
-            near = np.bitwise_count(left[i] ^ right[j]) <= budget
+            near = np.bitwise_count((left[i] ^ right[j]) >> np.uint64(BITS - levels)) <= budget
             found.append((i[near], j[near]))
         lo_a, hi_a, lo_b, hi_b, used = (x[~small] for x in (lo_a, hi_a, lo_b, hi_b, used))
         if not len(used):
@@ -187,3 +208,116 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
+
+
+def _closest_forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the links (i, j) that make up a spanning forest of least total distance (Boruvka's rounds)."""
+    root, kept = np.arange(n), []
+    key = far.astype(np.int64) * (len(i) + 1) + np.arange(len(i))  # no two links tie
+    while True:
+        a, b = root[i], root[j]
+        live = np.flatnonzero(a != b)
+        if not len(live):
+            return np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
+        least = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(least, a[live], key[live])
+        np.minimum.at(least, b[live], key[live])
+        best = np.unique(least[least < np.iinfo(np.int64).max] % (len(i) + 1))
+        kept.append(best)
+        root = _forest(a[best], b[best], n)[root]
+
+
+def _jaccard(a: str | None, b: str | None, words: int) -> float:
+    sets = []
+    for text in (a, b):
+        line, starts, ends = shingles(text, words)
+        sets.append({line[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)})
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 24, prefix: int = 8, budget: int = 2,
+           spread: float = 0.28, seed: int = 11) -> DataFrame:
+    """(row, root, least): the group of each row of ``docs`` (row, doc_id, text), row being a unique long.
+
+    Two texts belong together if the Jaccard similarity of their sets of ``words``-word shingles is at least
+    ``similarity``.  At 0.8 two SimHash values differ in 15 % of their bits on average, too many for one trie walk, so
+    128-bit values are read in ``tables`` seeded bit orders.  In each order, values that agree in ``prefix`` bits share
+    a task, which walks their trie with ``budget`` errors over about log2 of the values' number more bits; found pairs
+    must differ in at most ``spread`` of all 128 bits.  Of a task's links the closest spanning forest goes on, and each
+    of these is verified on the whole texts.  A pair at 0.8 is found with a chance of 0.9 and more, closer ones surely.
+    Texts of equal values are one class from the start, so copies of a text cost no pairs.  root names the group,
+    least is its row to keep: the smallest doc_id (NULL last), then the smallest row.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [fingerprint(t.as_py(), words, 2) for t in batch.column(2)]
+            high, low = (np.array([(v >> s) & ((1 << 64) - 1) for v in values], np.uint64).view(np.int64) for s in (64, 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(high), pa.array(low)], names=["row", "doc_id", "high", "low"])
+
+    kept = docs.select("row", "doc_id", "text")
+    id_type = kept.schema["doc_id"].dataType.simpleString()
+    marked = cut(kept.mapInArrow(read, f"row long, doc_id {id_type}, high long, low long"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
+    classes = cut(marked.groupBy("high", "low").agg(F.min(order).alias("first")))
+    # the class is named by the row that stands for it, and so is the text that is compared
+    values = classes.select(F.col("first.row").alias("node"), "high", "low")
+    levels = prefix + max(8, int(np.ceil(np.log2(max(2, classes.count())))) - prefix + 4)
+    orders = [np.random.default_rng([seed, t]).permutation(2 * BITS)[:BITS] for t in range(tables)]
+
+    def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (1, 2)], axis=1)
+            bits = np.unpackbits(both.astype(">u8").view(np.uint8).reshape(-1, 16), axis=1)
+            for t, bit in enumerate(orders):
+                key = np.ascontiguousarray(np.packbits(bits[:, bit], axis=1)).view(">u8").ravel().astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([
+                    *batch.columns, pa.array(np.full(len(key), t, np.int32)), pa.array((key >> np.uint64(BITS - prefix)).astype(np.int32)),
+                    pa.array(key.view(np.int64))], names=["node", "high", "low", "t", "bucket", "key"])
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.iloc[np.argsort(group.key.to_numpy().view(np.uint64), kind="stable")]
+        key, node, high, low = (group[c].to_numpy() for c in ("key", "node", "high", "low"))
+        key, high, low = (x.view(np.uint64) for x in (key, high, low))
+        found = [(np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint8),)]
+        for at in range(0, len(key), 4_096):  # a dense cluster is worked off in slices
+            i, j = trie_pairs(key[at:at + 4_096], key, budget, 0, levels)
+            i = i + at
+            i, j = i[i < j], j[i < j]
+            far = np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j])
+            near = far <= spread * 2 * BITS
+            i, j, far = i[near], j[near], far[near]
+            best = _closest_forest(i, j, far, len(key))
+            found.append((i[best], j[best], far[best]))
+        i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
+        best = _closest_forest(i, j, far, len(key))
+        return pd.DataFrame({"a": np.minimum(node[i[best]], node[j[best]]), "b": np.maximum(node[i[best]], node[j[best]])})
+
+    spread_out = values.mapInArrow(reorder, "node long, high long, low long, t int, bucket int, key long")
+    links = cut(spread_out.groupBy("t", "bucket").applyInPandas(walk, "a long, b long").distinct())
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [_jaccard(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
+
+    texts = kept.select("row", "text")
+    pairs = links.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    roots = components(pairs.mapInArrow(verify, "a long, b long"))
+    rooted = classes.join(roots, F.col("first.row") == F.col("node"), "left").select(
+        "high", "low", "first", F.coalesce("root", "first.row").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.row").alias("least"))
+    named = rooted.select("high", "low", "root").join(best, "root")
+    return marked.select("row", "high", "low").join(named, ["high", "low"]).select("row", "root", "least")
+
+
+def without_copies(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` (needs doc_id, text) with one row of each group of ``copies``; columns and other rows are kept.
+
+    NULL and empty texts have no words and are copies of each other.
+    """
+    numbered = docs.withColumn("row", F.monotonically_increasing_id()) if "row" not in docs.columns else docs.withColumnRenamed(
+        "row", "_own_row").withColumn("row", F.monotonically_increasing_id())
+    keep = copies(numbered, **how).filter("row = least").select("row")
+    out = numbered.join(keep, "row", "left_semi").drop("row")
+    return out.withColumnRenamed("_own_row", "row").select(*docs.columns) if "row" in docs.columns else out.select(*docs.columns)
