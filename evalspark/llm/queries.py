@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, secret_spans, segment, simhash, toxicity
+from . import decontaminate, extract, quality, secret_spans, segment, simhash, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ def op8_segment_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.select(
         "doc_id", "sample", F.size("ids").alias("n_ids"), "log_prob", "gumbel", "inclusion", "ids",
         (F.xxhash64("text") == F.col("source")).alias("decodes"))
+
+
+@query
+def op10_html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
