@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, quality, secret_spans, segment, simhash, toxicity
-from .common import fold, table
+from . import decontaminate, extract, quality, secret_spans, segment, simhash, token_files, toxicity
+from .common import fold, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +80,10 @@ def op8_segment_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extract.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op3_token_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2)
+    return token_files.checksums(token_files.read(spark, path))
