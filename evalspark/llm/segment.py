@@ -18,6 +18,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -40,16 +41,15 @@ class Sampling:
 
 
 class Vocabulary:
-    """Piece bytes (blanks as 0x20) and a byte trie of the pieces; built on the driver, sent once per executor worker."""
+    """Piece bytes (blanks as 0x20), scores and, once it is asked for, a byte trie of the pieces."""
 
-    def __init__(self, model_file: str):
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    def __init__(self, model: bytes):
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
         self.pieces = [b""] * size  # control pieces decode to nothing
         scores = np.zeros(size)
         self.byte_ids = np.full(256, sp.unk_id(), np.int32)
-        nodes: dict[bytes, int] = {b"": 0}
-        ends: dict[int, int] = {}
+        self.ordinary = []
         for i in range(size):
             if sp.is_byte(i):
                 value = int(sp.id_to_piece(i)[1:-1], 16)
@@ -57,35 +57,39 @@ class Vocabulary:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 scores[i] = sp.get_score(i)
                 self.pieces[i] = sp.id_to_piece(i).replace(BLANK, " ").encode()
-                for n in range(1, len(self.pieces[i]) + 1):
-                    nodes.setdefault(self.pieces[i][:n], len(nodes))
-                ends[nodes[self.pieces[i]]] = i
+                self.ordinary.append(i)
         # pieces that merging never makes have a score far below all others; they count as the least of the others
         self.scores = np.maximum(scores, scores[scores > -1e8].min())
-        inner = sorted({nodes[x[:-1]] for x in nodes if x})  # the root is the first
-        row = {n: r for r, n in enumerate(inner)}
-        self.next = np.full((len(inner), 256), -1, np.int32)  # the node after a byte
-        self.row = np.full(len(nodes), -1, np.int32)  # of a node with children
-        self.end = np.full(len(nodes), -1, np.int32)  # the piece that ends at a node
-        for x, n in nodes.items():
-            self.row[n] = row.get(n, -1)
-            if x:
-                self.next[row[nodes[x[:-1]]], x[-1]] = n
-        for n, i in ends.items():
-            self.end[n] = i
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         self.bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.begins = np.cumsum(self.lengths) - self.lengths
 
-    def shared(self, spark: SparkSession):
-        """The tables as a broadcast of plain values, bounded by the vocabulary."""
-        return spark.sparkContext.broadcast(vars(self))
+    @cached_property
+    def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(next node by row and byte, row of each node that has children, piece that ends at each node), -1 for none."""
+        nodes: dict[bytes, int] = {b"": 0}
+        for i in self.ordinary:
+            for n in range(1, len(self.pieces[i]) + 1):
+                nodes.setdefault(self.pieces[i][:n], len(nodes))
+        row = {n: r for r, n in enumerate(sorted({nodes[x[:-1]] for x in nodes if x}))}  # the root is the first
+        step = np.full((len(row), 256), -1, np.int32)
+        rows = np.array([row.get(n, -1) for n in range(len(nodes))], np.int32)
+        for x, n in nodes.items():
+            if x:
+                step[row[nodes[x[:-1]]], x[-1]] = n
+        end = np.full(len(nodes), -1, np.int32)
+        end[[nodes[self.pieces[i]] for i in self.ordinary]] = self.ordinary
+        return step, rows, end
+
+    @staticmethod
+    def shared(spark: SparkSession, model_file: str):
+        """The model file as a broadcast; a worker keeps its value, and so the tables made from it, from task to task."""
+        with open(model_file, "rb") as f:
+            return spark.sparkContext.broadcast({"model": f.read()})
 
     @classmethod
-    def of(cls, tables: dict) -> Vocabulary:
-        vocab = cls.__new__(cls)
-        vars(vocab).update(tables)
-        return vocab
+    def of(cls, kept: dict) -> Vocabulary:
+        return kept.get("vocabulary") or kept.setdefault("vocabulary", cls(kept["model"]))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a list of ids: blanks for blank marks, bytes joined, the added first blank dropped."""
@@ -132,14 +136,15 @@ class Lattice:
         spots = spots.astype(np.int32) if len(data) < 1 << 31 else spots
         at, here, node_row = spots, spots.copy(), np.zeros(len(spots), np.int32)
         found = []
+        step, row, end = vocab.trie
         while len(at):  # all starts walk down the trie together
-            node = vocab.next[node_row, data[here]]
+            node = step[node_row, data[here]]
             live = node >= 0
             at, here, node = at[live], here[live] + 1, node[live]
-            piece = vocab.end[node]
+            piece = end[node]
             hit = piece >= 0
             found.append((at[hit], here[hit], piece[hit]))
-            node_row = vocab.row[node]
+            node_row = row[node]
             go = (node_row >= 0) & (here < stop[at])
             at, here, node_row = at[go], here[go], node_row[go]
         found.reverse()  # long pieces first: they are the likely ones
@@ -391,7 +396,7 @@ def sample_cuts(texts: list[str | None], keys: list[int], vocab: Vocabulary, how
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", how: Sampling | None = None,
-           vocab: Vocabulary | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+           keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, sample, ids, log_prob, gumbel, inclusion, *keep): ``how.samples`` distinct cuts of each whole text, best first.
 
     sample counts from 1; log_prob is the cut's log probability in the lattice, gumbel its noisy value, inclusion the
@@ -400,7 +405,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     sample without ids; a NULL id is a key like any other.
     """
     how = how or Sampling()
-    shared = (vocab or Vocabulary(model_file)).shared(docs.sparkSession)
+    shared = Vocabulary.shared(docs.sparkSession, model_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary.of(shared.value)
@@ -433,9 +438,9 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     return kept.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, model_file: str, vocab: Vocabulary | None = None) -> DataFrame:
+def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """All columns of ``encoded`` (needs ids) and ``text``: the ids' text; NULL and empty ids give the empty text."""
-    shared = (vocab or Vocabulary(model_file)).shared(encoded.sparkSession)
+    shared = Vocabulary.shared(encoded.sparkSession, model_file)
     names = [c for c in encoded.columns if c != "text"]
     encoded = encoded.select(*names)
     at = names.index("ids")
