@@ -14,15 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import decontaminate, secret_spans, segment, simhash, toxicity
-from evalspark.llm.common import fold, shared_dir, table
+from evalspark.llm.common import fold, free_name, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose estimated toxicity is below 0.7, by a model of the labels whose fold may be seen."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
-    names = [c for c in docs.columns if c != "score"]
-    kept = toxicity.score(docs.select(*names), model).filter(~toxicity.rejected(F.col("score")))
-    return kept.select(*names)
+    score = free_name(docs, "toxicity")
+    return toxicity.score(docs, model, score).filter(~toxicity.rejected(F.col(score))).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,13 +144,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, fea
     return Model(bias, {f: float(x) for f, x in zip(names, weights, strict=True) if x}, prior)
 
 
-def scored(docs: DataFrame, model: Model, features: Features) -> DataFrame:
-    """All columns of ``docs`` and ``score``, from the whole text of every row; NULL text counts as empty."""
+def scored(docs: DataFrame, model: Model, features: Features, out: str = "score") -> DataFrame:
+    """All columns of ``docs`` and ``out``, from the whole text of every row; NULL text counts as empty.
+
+    A column of ``docs`` that has the name ``out`` is replaced.
+    """
+    docs = docs.select(*[c for c in docs.columns if c.lower() != out.lower()])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [model.score(features(t.as_py() or "")) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).cast("double").alias("score")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).cast("double").alias(out)).schema)

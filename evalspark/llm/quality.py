@@ -55,9 +55,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, how: pu.Training |
     return pu.train(docs, labels, "quality", learn, shape, how or pu.Training(evidence=0.0))
 
 
-def score(docs: DataFrame, model: pu.Model) -> DataFrame:
-    """``docs`` (needs text) with ``score``: the estimated probability that the text is good.
+def score(docs: DataFrame, model: pu.Model, out: str = "score") -> DataFrame:
+    """``docs`` (needs text) with ``out``: the estimated probability that the text is good.
 
     NULL text counts as empty; an empty text has a shape of its own (no words, no lines) and is scored by it.
     """
-    return pu.scored(docs, model, shape)
+    return pu.scored(docs, model, shape, out)

@@ -67,12 +67,8 @@ def op2_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_segment_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    source = F.translate(F.coalesce("text", F.lit("")), segment.BLANK, " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(source).alias("source"))
-    cuts = segment.decode(segment.encode(docs, model, keep=("source",)), model)
-    return cuts.select(
-        "doc_id", "sample", F.size("ids").alias("n_ids"), "log_prob", "gumbel", "inclusion", "ids",
-        (F.xxhash64("text") == F.col("source")).alias("decodes"))
+    cuts = segment.encode(table(spark, sf_dir, "documents"), model, check=True)
+    return cuts.select("doc_id", "sample", F.size("ids").alias("n_ids"), "log_prob", "gumbel", "inclusion", "ids", "decodes")
 
 
 @query

@@ -91,7 +91,7 @@ def train(samples: DataFrame, margin: float = 12.0, prior: float = 0.05) -> Mark
 
 
 def generated_samples(spark, rows: int = 2_000) -> DataFrame:
-    """(value, label): ``rows`` strings per label, random in three alphabets, and ordinary numbers with separators."""
+    """(value, label): ``rows`` strings per label: random in three alphabets, ordinary numbers, runs of one character."""
     ids = spark.range(rows)
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id")), 256)
     base64 = F.base64(F.unhex(digest))
@@ -102,7 +102,8 @@ def generated_samples(spark, rows: int = 2_000) -> DataFrame:
         F.struct(digest.alias("value"), F.lit("random hex").alias("label")),
         F.struct(F.upper(F.translate(base64, "+/=", "XYZ")).alias("value"), F.lit("random upper").alias("label")),
         F.struct(number.alias("value"), F.lit("ordinary number").alias("label")),
-        F.struct(dated.alias("value"), F.lit("ordinary number").alias("label")))).alias("s")).select("s.*")
+        F.struct(dated.alias("value"), F.lit("ordinary number").alias("label")),
+        F.struct(F.repeat(F.char(33 + F.col("id") % 94), F.lit(32)).alias("value"), F.lit("ordinary run").alias("label")))).alias("s")).select("s.*")
 
 
 def ordinary_samples(docs: DataFrame) -> DataFrame:

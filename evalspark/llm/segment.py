@@ -304,12 +304,6 @@ class _Text:
         self.heap: list[tuple] = []  # (-largest value, cut, first, chances of parting per word, taken per word)
         self.cuts: list[tuple] = []  # (pieces, counts, log_p per word, value)
 
-    def seeds(self, number: int, first: int) -> np.ndarray:
-        """A key per word from ``first`` on, for the fresh draws of a cut."""
-        with np.errstate(over="ignore"):
-            base = _mix(np.array([self.key], np.uint64) + np.uint64(number + 1))[0]
-            return _mix(base + np.arange(first, len(self.word), dtype=np.uint64))
-
     def add(self, pieces, counts, log_p, value: float, first: int) -> None:
         self.cuts.append((pieces, counts, log_p, value))
         before = np.cumsum(log_p) - log_p
@@ -360,6 +354,15 @@ class _Text:
         return out
 
 
+def _seeds(texts: list[_Text], firsts: list[int], number: int) -> np.ndarray:
+    """A key per word of each text from its first fresh word on, for the draws of cut ``number``."""
+    sizes = np.array([len(t.word) - f for t, f in zip(texts, firsts, strict=True)], np.int64)
+    with np.errstate(over="ignore"):
+        base = _mix(np.array([t.key for t in texts], np.uint64) + np.uint64(number + 1))
+        spot = np.arange(sizes.sum()) + np.repeat(np.array(firsts, np.int64) - np.cumsum(sizes) + sizes, sizes)
+        return _mix(np.repeat(base, sizes) + spot.astype(np.uint64))
+
+
 def sample_cuts(texts: list[str | None], keys: list[int], vocab: Vocabulary, how: Sampling) -> list[list[Cut]]:
     """The sampled cuts of each text, best noisy value first; an empty text has one cut of no pieces."""
     place: dict[bytes, int] = defaultdict(count().__next__)  # numbers in order of appearance
@@ -371,7 +374,7 @@ def sample_cuts(texts: list[str | None], keys: list[int], vocab: Vocabulary, how
         if not waiting:
             break
         fresh = np.concatenate([t.word[first:] for t, _, first in waiting])
-        seeds = np.concatenate([t.seeds(number, first) for t, _, first in waiting])
+        seeds = _seeds([t for t, _, _ in waiting], [first for _, _, first in waiting], number)
         pieces, counts, log_p = lattice.sample(fresh, seeds)
         piece_end = np.append(0, np.cumsum(counts))
         at, later = 0, []
@@ -396,11 +399,13 @@ def sample_cuts(texts: list[str | None], keys: list[int], vocab: Vocabulary, how
 
 
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", how: Sampling | None = None,
-           keep: tuple[str, ...] = ()) -> DataFrame:
+           keep: tuple[str, ...] = (), check: bool = False) -> DataFrame:
     """(id_col, sample, ids, log_prob, gumbel, inclusion, *keep): ``how.samples`` distinct cuts of each whole text, best first.
 
     sample counts from 1; log_prob is the cut's log probability in the lattice, gumbel its noisy value, inclusion the
     probability that a cut of this log_prob is above the next noisy value, which makes 1 / inclusion an unbiased weight.
+    With ``check``, a column decodes tells whether the ids decode to the text (blank marks in it as blanks).  Cuts of a
+    word whose joint chance is below 1e-12 are not told from none.
     Draws depend on the row's id and text alone, so a repeated row gives the same cuts.  NULL and empty texts give one
     sample without ids; a NULL id is a key like any other.
     """
@@ -428,13 +433,14 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                     pa.array([r + 1 for cs in cuts for r in range(len(cs))], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32())),
                     *(pa.array([getattr(c, k) for c in flat], pa.float64()) for k in ("log_p", "gumbel", "inclusion")),
-                    *(batch.column(2 + n).slice(at, len(some)).take(pa.array(owner, pa.int64())) for n in range(len(keep)))],
-                    names=["id", "sample", "ids", "log_prob", "gumbel", "inclusion", *keep])
+                    *(batch.column(2 + n).slice(at, len(some)).take(pa.array(owner, pa.int64())) for n in range(len(keep))),
+                    *([pa.array([vocab.decode(c.ids) == normalised(some[n])[1:].decode() for c, n in zip(flat, owner, strict=True)], pa.bool_())] if check else [])],
+                    names=["id", "sample", "ids", "log_prob", "gumbel", "inclusion", *keep, *(["decodes"] if check else [])])
                 at += len(some)
 
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
     schema = f"id {kept.schema['id'].dataType.simpleString()}, sample int, ids array<int>, log_prob double, gumbel double, inclusion double"
-    schema += "".join(f", `{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
+    schema += "".join(f", `{c}` {kept.schema[c].dataType.simpleString()}" for c in keep) + (", decodes boolean" if check else "")
     return kept.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

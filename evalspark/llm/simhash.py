@@ -134,7 +134,7 @@ def _prefix(fp: Column, depth: Column | int) -> Column:
 
 
 def near_links(fps: DataFrame, budget: int = 2, node_rows: int = 8_000, step: int = 2) -> DataFrame:
-    """(a, b): links that connect whatever fingerprints of ``fps`` (fp, distinct) lie within ``budget`` bits.
+    """(a, b): links, not all of them short, that connect whatever fingerprints of ``fps`` (fp, distinct) lie within ``budget`` bits.
 
     The top of the trie is walked by Spark: a table of node pairs starts at (root, root), every round replaces each
     pair that holds over ``node_rows`` fingerprints by the pairs of its children ``step`` levels down, adds the bits in
@@ -227,6 +227,15 @@ def _closest_forest(i: np.ndarray, j: np.ndarray, far: np.ndarray, n: int) -> np
         root = _forest(a[best], b[best], n)[root]
 
 
+def _closest_each(i: np.ndarray, j: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of the links that are among the ``most`` closest of either end."""
+    node, link = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+    order = np.lexsort((far[link], node))
+    node, link = node[order], link[order]
+    first = np.searchsorted(node, node)
+    return np.unique(link[np.arange(len(node)) - first < most])
+
+
 def _jaccard(a: str | None, b: str | None, words: int) -> float:
     sets = []
     for text in (a, b):
@@ -236,15 +245,16 @@ def _jaccard(a: str | None, b: str | None, words: int) -> float:
 
 
 def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 24, prefix: int = 8, budget: int = 2,
-           spread: float = 0.28, seed: int = 11) -> DataFrame:
+           spread: float = 0.28, partners: int = 8, seed: int = 11) -> DataFrame:
     """(row, root, least): the group of each row of ``docs`` (row, doc_id, text), row being a unique long.
 
     Two texts belong together if the Jaccard similarity of their sets of ``words``-word shingles is at least
     ``similarity``.  At 0.8 two SimHash values differ in 15 % of their bits on average, too many for one trie walk, so
     128-bit values are read in ``tables`` seeded bit orders.  In each order, values that agree in ``prefix`` bits share
     a task, which walks their trie with ``budget`` errors over about log2 of the values' number more bits; found pairs
-    must differ in at most ``spread`` of all 128 bits.  Of a task's links the closest spanning forest goes on, and each
-    of these is verified on the whole texts.  A pair at 0.8 is found with a chance of 0.9 and more, closer ones surely.
+    must differ in at most ``spread`` of all 128 bits.  Of a task's links go on each value's ``partners`` closest and the
+    closest spanning forest, which connects whatever the task found, and each is verified on the whole texts.  A pair at
+    0.8 is found with a chance of 0.9 and more, closer ones surely.
     Texts of equal values are one class from the start, so copies of a text cost no pairs.  root names the group,
     least is its row to keep: the smallest doc_id (NULL last), then the smallest row.
     """
@@ -286,10 +296,11 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int
             far = np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j])
             near = far <= spread * 2 * BITS
             i, j, far = i[near], j[near], far[near]
-            best = _closest_forest(i, j, far, len(key))
+            best = np.union1d(_closest_forest(i, j, far, len(key)), _closest_each(i, j, far, partners))
             found.append((i[best], j[best], far[best]))
         i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
         best = _closest_forest(i, j, far, len(key))
+        best = np.union1d(best, _closest_each(i, j, far, partners))
         return pd.DataFrame({"a": np.minimum(node[i[best]], node[j[best]]), "b": np.maximum(node[i[best]], node[j[best]])})
 
     spread_out = values.mapInArrow(reorder, "node long, high long, low long, t int, bucket int, key long")

@@ -26,12 +26,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, how: pu.Training |
     return pu.train(docs, labels, "toxic", learn, words, how or pu.Training())
 
 
-def score(docs: DataFrame, model: pu.Model) -> DataFrame:
-    """``docs`` (needs text) with ``score``: the estimated probability that the text is toxic.
+def score(docs: DataFrame, model: pu.Model, out: str = "score") -> DataFrame:
+    """``docs`` (needs text) with ``out``: the estimated probability that the text is toxic.
 
     NULL and empty texts have no words and get the score of the bias alone.
     """
-    return pu.scored(docs, model, words)
+    return pu.scored(docs, model, words, out)
 
 
 def rejected(score_col: Column, threshold: float = 0.7) -> Column:
