@@ -55,6 +55,13 @@ def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum())), np.repeat(np.arange(len(rows)), sizes)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, as the features of a batch are held as Python values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _logistic(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40.0, 40.0)))
 
@@ -114,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, fea
     sample = positive.union(_bounded(texts, how.unlabelled, 2).select("text", F.lit(0).alias("kind")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = [sorted(features(t.as_py() or "")) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.binary()))], names=["kind", "seen"])
 
@@ -131,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, fea
     place = {f: i for i, f in enumerate(names)}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = [sorted(place[f] for f in features(t.as_py() or "") & place.keys()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["kind", "at"])
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-_SLICE = 1_500_000  # characters handled at once
+_SLICE = 1_000_000  # characters handled at once
 
 
 @dataclass(frozen=True)
