@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .text import concat_all, contains_any, let
 
 _ROWS = "array<map<string,string>>"
+NOT_ROWS = "Not a list of rows"
 
 # fixed values: name pieces that mark an aggregated result column
 AGGREGATE_NAMES = ("count", "sum", "avg", "min", "max", "distinct")
@@ -18,6 +19,11 @@ def parse_rows(results: Column) -> Column:
     return F.coalesce(F.from_json(results, _ROWS), F.array().cast(_ROWS))
 
 
+def row_number(results: Column) -> Column:
+    """Entries of a JSON list; 0 for no text at all, NULL for text that is no list."""
+    return F.when(F.coalesce(F.trim(results), F.lit("")) == "", 0).otherwise(F.json_array_length(results))
+
+
 def row_texts(rows: Column) -> Column:
     """One canonical text per row (entries by name), so rows compare and hash as strings."""
     return F.transform(rows, lambda r: F.to_json(F.sort_array(F.map_entries(r))))
@@ -27,20 +33,30 @@ def compare_results(true_results: Column, gen_results: Column) -> Column:
     """Struct(equal, reason, true_rows, gen_rows, diff_count, diff_percentage, example_diff_row).
 
     Row counts and the columns of the first rows must agree; then rows compare
-    as sets of texts, in any order and without regard to repeats.
+    as sets of texts, in any order and without regard to repeats.  Text that is
+    no list, and lists with entries that are no objects, equal nothing.
     """
-    rows = F.struct(parse_rows(true_results).alias("a"), parse_rows(gen_results).alias("b"))
+    rows = F.struct(
+        parse_rows(true_results).alias("a"), parse_rows(gen_results).alias("b"),
+        row_number(true_results).alias("n1"), row_number(gen_results).alias("n2"))
     texts = let(rows, lambda r: F.struct(
+        r["n1"].alias("n1"), r["n2"].alias("n2"),
+        (_objects(r["a"], r["n1"]) & _objects(r["b"], r["n2"])).alias("objects"),
         row_texts(r["a"]).alias("texts1"), row_texts(r["b"]).alias("texts2"),
         _first_columns(r["a"]).alias("cols1"), _first_columns(r["b"]).alias("cols2")))
     parts = let(texts, lambda t: F.struct(
-        F.size(t["texts1"]).alias("n1"), F.size(t["texts2"]).alias("n2"),
+        t["n1"].alias("n1"), t["n2"].alias("n2"), t["objects"].alias("objects"),
         (t["cols1"] == t["cols2"]).alias("same_columns"),
         F.array_except(t["texts1"], t["texts2"]).alias("only1"),
         F.size(F.array_except(t["texts2"], t["texts1"])).alias("n_only2")))
     return let(parts, _verdict)
 
 
+def _objects(rows: Column, n: Column) -> Column:
+    """Whether all entries of a list were read as objects."""
+    return F.coalesce((F.size(rows) == n) & ~F.exists(rows, lambda r: r.isNull()), F.lit(False))
+
+
 def _first_columns(rows: Column) -> Column:
     return F.sort_array(F.map_keys(F.get(rows, F.lit(0))))
 
@@ -49,20 +65,21 @@ def _verdict(p: Column) -> Column:
     n1, n2 = p["n1"], p["n2"]
     diff = F.size(p["only1"]) + p["n_only2"]
     both_empty = (n1 == 0) & (n2 == 0)
-    comparable = (n1 > 0) & (n1 == n2) & p["same_columns"]
+    comparable = (n1 > 0) & (n1 == n2) & p["objects"] & p["same_columns"]
     differs = comparable & (diff > 0)
     reason = (
         F.when(both_empty, "Both results are empty")
         .when(n1 == 0, "First result is empty, second has data")
         .when(n2 == 0, "Second result is empty, first has data")
         .when(n1 != n2, "Different number of rows")
+        .when(~p["objects"], NOT_ROWS)
         .when(~p["same_columns"], "Different columns")
         .when(diff == 0, "Results are identical (same rows, possibly different order)")
         .otherwise(concat_all(diff, " rows differ between results"))
     )
     return F.struct(
-        (both_empty | F.coalesce(comparable & (diff == 0), F.lit(False))).alias("equal"),
-        reason.alias("reason"), n1.alias("true_rows"), n2.alias("gen_rows"),
+        F.coalesce(both_empty | (comparable & (diff == 0)), F.lit(False)).alias("equal"),
+        reason.alias("reason"), F.coalesce(n1, F.lit(0)).alias("true_rows"), F.coalesce(n2, F.lit(0)).alias("gen_rows"),
         F.when(differs, diff).alias("diff_count"),
         F.when(differs, diff / n1 * 100).alias("diff_percentage"),
         F.when(differs, F.get(p["only1"], F.lit(0))).alias("example_diff_row"),

@@ -1,8 +1,8 @@
 """Text, clause and plan similarity (W6, W8, W9): the only Python functions.
 
 They run as Arrow UDFs over whole columns.  Identical pairs are common in query
-logs (empty answers, a popular question asked of many models), so each task
-keeps a bounded memo; a hot pair costs one evaluation per task and no shuffle.
+logs (empty answers, a popular question asked of many models), so the operators
+in ``workload`` call them on distinct pairs only.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,8 +21,6 @@ _OPENERS = {
     "select": r"SELECT", "from": r"FROM", "where": r"WHERE", "group_by": r"GROUP\s+BY",
     "having": r"HAVING", "order_by": r"ORDER\s+BY", "limit": r"LIMIT",
 }
-_MEMO_ENTRIES = 20_000  # of at most _MEMO_CHARS characters, so a memo stays within tens of MB
-_MEMO_CHARS = 2_000
 
 
 def _clause_patterns() -> dict[str, re.Pattern]:
@@ -110,19 +107,13 @@ def query_ratios(true: str | None, gen: str | None) -> dict:
 
 
 def _struct_udf(fn: Callable[..., dict], schema: str):
-    """Arrow UDF over text columns returning a struct, with a per-task memo."""
+    """Arrow UDF over text columns returning a struct."""
     names = [field.split()[0] for field in schema.split(", ")]
 
     def rows(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        memo = lru_cache(maxsize=_MEMO_ENTRIES)(fn)
-
-        def once(*texts):
-            short = sum(len(t) for t in texts if t) <= _MEMO_CHARS
-            return memo(*texts) if short else fn(*texts)
-
         for batch in batches:
             columns = [s.where(s.notna(), None) for s in batch]
-            yield pd.DataFrame([once(*texts) for texts in zip(*columns)], columns=names)
+            yield pd.DataFrame([fn(*texts) for texts in zip(*columns)], columns=names)
 
     def apply(*cols: Column) -> Column:
         if len(cols) == 1:
@@ -169,13 +160,16 @@ def plan_steps(plan_json: Column) -> Column:
 def compare_plans(true_plan: Column, gen_plan: Column, with_sequence: bool = True) -> dict[str, Column]:
     """Overlap of two plans given as JSON; NULL when neither side has one, 0 when only one has.
 
+    A plan without steps is a plan: two of them share no operation and are equal as sequences.
+
     ``with_sequence=False`` leaves out the order-sensitive ratio (and the Python step it needs).
     """
     first, second = plan_steps(true_plan), plan_steps(gen_plan)
     neither = true_plan.isNull() & gen_plan.isNull()
-    missing = first.isNull() | second.isNull() | (F.size(first) == 0) | (F.size(second) == 0)
+    missing = first.isNull() | second.isNull()
     every = F.size(F.array_union(first, second))
-    match = F.when(~missing, F.size(F.array_intersect(first, second)) / every).when(~neither, 0.0)
+    share = F.when(every == 0, 0.0).otherwise(F.size(F.array_intersect(first, second)) / F.greatest(every, F.lit(1)))
+    match = F.when(~missing, share).when(~neither, 0.0)
     out = {
         "operation_match": match,
         "common_operations": F.when(~missing, F.sort_array(F.array_intersect(first, second))),

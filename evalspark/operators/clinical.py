@@ -102,11 +102,13 @@ def same_day_after(index: DataFrame, events: DataFrame, key: str, at: str, out:
 
 
 def first_occurrence(df: DataFrame, by: list[str], at: str, carry: list[str] = ()) -> DataFrame:
-    """Q10: earliest time per group, with other columns of that row.  NULL times drop out."""
+    """Q10: earliest time per group, with other columns of that row.  NULL times drop out.
+
+    Of rows at the earliest time the one with the least carried values counts, all of them from that one row.
+    """
     seen = df.where(F.col(at).isNotNull())
-    return seen.groupBy(*by).agg(
-        F.min(at).alias(at), *[F.min_by(c, F.struct(at, c)).alias(c) for c in carry]
-    )
+    first = seen.groupBy(*by).agg(F.min(F.struct(at, *carry)).alias("_first"))
+    return first.select(*by, *[F.col(f"_first.{c}").alias(c) for c in (at, *carry)])
 
 
 def outcome_rate_rank(
@@ -129,12 +131,16 @@ def outcome_rate_rank(
 
 
 def conditional_ratio(
-    df: DataFrame, condition: Column, by: list[str] = (), out: str = "percent", whole: bool = False
+    df: DataFrame, condition: Column, by: list[str] = (), out: str | None = "percent", whole: str | None = None
 ) -> DataFrame:
-    """Q12: percent of rows meeting a condition; ``whole`` divides as integers."""
+    """Q12: percent of rows meeting a condition, as ``out``; divided as integers, as ``whole``.  NULL is a group."""
     hits, total = F.sum(F.when(condition, 1).otherwise(0)), F.count("*")
-    percent = F.floor(hits * 100 / total) if whole else F.try_divide(hits * 100, total)
-    return df.groupBy(*by).agg(percent.alias(out))
+    percents = []
+    if out:
+        percents.append(F.try_divide(hits * 100, total).alias(out))
+    if whole:
+        percents.append(F.when(total > 0, F.call_function("div", hits * 100, total)).alias(whole))
+    return df.groupBy(*by).agg(*percents)
 
 
 def decode(

@@ -39,46 +39,37 @@ def top_k_with_ties(df: DataFrame, score: str, k: int, descending: bool = True,
 
 
 def weight_before(
-    probes: DataFrame, points: DataFrame, keys: list[str], at: str, weight: str, out: str,
-    hot_rows: int = 2_000_000, bucket_seconds: int = 3600,
+    probes: DataFrame, points: DataFrame, keys: list[str], at: str, weight: str, out: str, bucket_seconds: int = 3600,
 ) -> DataFrame:
     """For each probe, the total weight of points with the same keys at a strictly earlier time.
 
-    Stands in for a ``t1 < t2`` self-join without making its pairs: points are
-    summed per instant, and a running sum in time order meets every probe.  Keys
-    with more than ``hot_rows`` rows are cut into buckets of time; what earlier
-    buckets hold is carried into each as one more point at its start.
+    Stands in for a ``t1 < t2`` self-join without making its pairs.  Probes and points shrink to one row per key and
+    instant; a running sum over buckets of time gives what earlier buckets hold, one within each bucket the rest.  The
+    counts are joined back to the probes, so an instant with many probes is only a hot key of that join.  Probes
+    without a time or key drop out.
     """
-    summed = (
-        points.where(F.col(at).isNotNull()).dropna(subset=keys)
-        .groupBy(*keys, at).agg(F.sum(weight).alias("_w"))
+    def timed(df: DataFrame) -> DataFrame:
+        return df.where(F.col(at).isNotNull()).dropna(subset=keys)
+
+    kept = timed(probes)
+    instants = (
+        timed(points).select(*keys, at, F.col(weight).alias("_w"))
+        .unionByName(kept.select(*keys, at, F.lit(0).alias("_w")))
+        .groupBy(*keys, at).agg(F.sum("_w").alias("_w"))
+        .withColumn("_bucket", F.floor(micros(F.col(at)) / (bucket_seconds * 1_000_000)))
     )
-    tagged = (
-        probes.where(F.col(at).isNotNull()).dropna(subset=keys)
-        .withColumn("_probe", F.lit(True))
-        .unionByName(summed, allowMissingColumns=True)
-        .withColumn("_us", micros(F.col(at)))
-    )
-    hot = tagged.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
-    size = bucket_seconds * 1_000_000
-    # broadcast: at most one key per hot_rows rows
-    placed = tagged.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_bucket", F.when(F.col("_rows").isNotNull(), F.floor(F.col("_us") / size)))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        placed.where("_bucket IS NOT NULL")
-        .groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_sum"))
-        .select(*keys, "_bucket", F.sum("_sum").over(earlier).alias("_w"), (F.col("_bucket") * size - 1).alias("_us"))
-    )
-    before = (
-        Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
+        instants.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_sum"))
+        .select(*keys, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
     )
-    return (
-        placed.unionByName(carried, allowMissingColumns=True)
-        .withColumn(out, F.coalesce(F.sum("_w").over(before), F.lit(0)))
-        .where("_probe")
-        .drop("_probe", "_w", "_us", "_bucket", "_rows")
+    within = Window.partitionBy(*keys, "_bucket").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    counted = (
+        instants.withColumn("_within", F.coalesce(F.sum("_w").over(within), F.lit(0)))
+        .join(carried, [*keys, "_bucket"])
+        .select(*keys, at, (F.col("_carried") + F.col("_within")).alias(out))
     )
+    return kept.join(counted, [*keys, at])
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], slices: int = 200) -> DataFrame:

@@ -128,7 +128,8 @@ def composite_score(measures: dict[str, Column] | None = None, legacy: bool = Fa
 def with_result_match(df: DataFrame, success: str, true_results: Column, gen_results: Column) -> DataFrame:
     """W11 on each row: a failed query never matches; empties are told apart by side."""
     ran = F.coalesce(success, F.lit(False))
-    true_empty, gen_empty = F.col("_cmp.true_rows") == 0, F.col("_cmp.gen_rows") == 0
+    true_empty = F.coalesce(res.row_number(true_results) == 0, F.lit(False))
+    gen_empty = F.coalesce(res.row_number(gen_results) == 0, F.lit(False))
     return df.withColumn("_cmp", res.compare_results(true_results, gen_results)).withColumns({
         "true_empty_result": true_empty,
         "gen_empty_result": gen_empty,
@@ -166,11 +167,15 @@ def compare_result_tables(true_rows: DataFrame, gen_rows: DataFrame, key: str, r
 
 
 def with_text_similarity(df: DataFrame, true: str = "true_query", gen: str = "generated_sql") -> DataFrame:
-    """Ratio of the whole queries and of each of the seven clauses."""
-    return (
-        df.withColumn("_sim", similarities(F.col(true), F.col(gen)))
-        .select("*", "_sim.*").drop("_sim")
-    )
+    """Ratio of the whole queries and of each of the seven clauses.
+
+    Each distinct pair is scored once, so a popular one costs no more than any other.  A NULL query counts as empty.
+    """
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in (true, gen)]
+    pairs = df.select(texts[0].alias("_a"), texts[1].alias("_b")).distinct()
+    scored = pairs.withColumn("_sim", similarities(F.col("_a"), F.col("_b"))).select("_a", "_b", "_sim.*")
+    keyed = df.withColumns({"_a": texts[0], "_b": texts[1]})
+    return keyed.join(scored, ["_a", "_b"]).drop("_a", "_b")
 
 
 def with_edit_similarity(df: DataFrame, a: str, b: str, out: str = "edit_similarity") -> DataFrame:
@@ -182,8 +187,11 @@ def with_edit_similarity(df: DataFrame, a: str, b: str, out: str = "edit_similar
 
 
 def with_plan_comparison(df: DataFrame, true: str, gen: str) -> DataFrame:
-    """Plan overlap, its sequence ratio, and the steps on one side only."""
-    return df.withColumns(compare_plans(F.col(true), F.col(gen)))
+    """Plan overlap, its sequence ratio, and the steps on one side only; each distinct pair is compared once."""
+    pairs = df.select(F.col(true).alias("_a"), F.col(gen).alias("_b")).distinct()
+    compared = pairs.withColumns(compare_plans(F.col("_a"), F.col("_b")))
+    same = F.col(true).eqNullSafe(F.col("_a")) & F.col(gen).eqNullSafe(F.col("_b"))
+    return df.join(compared, same).drop("_a", "_b")
 
 
 # --- W16-W22: summaries -------------------------------------------------------
@@ -292,39 +300,60 @@ def route_failures(df: DataFrame, success: str = "success") -> DataFrame:
     return df.where(~F.col(success))
 
 
-def apply_fix(df: DataFrame, fixes: DataFrame, fixed: str = "fixed_query", gen: str = "generated_sql") -> DataFrame:
-    """Default ``valid_sql`` to the generated SQL; take a fix that is a SELECT; drop old outcomes."""
-    fix = fixes.groupBy("id").agg(F.max(fixed).alias("_fix"))  # one fix per row
-    good = (F.col("_fix") != "ERROR") & F.startswith(F.upper(sql.strip(F.col("_fix"))), F.lit("SELECT"))
+def _row_keys(a: DataFrame, b: DataFrame, keys: list[str] | None) -> list[str]:
+    """The id, and the model where both sides name it: an id occurs once per model."""
+    return keys or [k for k in ("model", "model_name", "id") if k in a.columns and k in b.columns]
+
+
+def _one_per_key(df: DataFrame, keys: list[str], value: Column, order: str | None) -> DataFrame:
+    """(keys, _new): the last value of each key by ``order``; without it, differing values of a key are an error."""
+    if order:
+        return df.groupBy(*keys).agg(F.max_by(value, F.struct(order, value)).alias("_new"))
+    least, most = F.min(value), F.max(value)
+    clash = F.raise_error(F.lit(f"several values for one {'/'.join(keys)}; name the column that orders them"))
+    return df.groupBy(*keys).agg(F.when(least.eqNullSafe(most), most).otherwise(clash).alias("_new"))
+
+
+def apply_fix(
+    df: DataFrame, fixes: DataFrame, fixed: str = "fixed_query", gen: str = "generated_sql",
+    keys: list[str] | None = None, order: str | None = None,
+) -> DataFrame:
+    """Default ``valid_sql`` to the generated SQL; take a fix that is a SELECT; drop old outcomes.
+
+    Fixes belong to rows by ``keys`` (default: the model, if both sides have it, and the id).  Of several fixes of one
+    key the last by ``order`` counts.
+    """
+    keys = _row_keys(df, fixes, keys)
+    fix = _one_per_key(fixes, keys, F.struct(F.col(fixed).alias("fix")), order)
+    good = (F.col("_new.fix") != "ERROR") & F.startswith(F.upper(sql.strip(F.col("_new.fix"))), F.lit("SELECT"))
     good = F.coalesce(good, F.lit(False))
     return (
         df.drop(*OUTCOME_COLUMNS)
-        .join(fix, "id", "left")
-        .withColumn("valid_sql", F.when(good, F.col("_fix")).otherwise(F.col(gen)))
+        .join(fix, keys, "left")
+        .withColumn("valid_sql", F.when(good, F.col("_new.fix")).otherwise(F.col(gen)))
         .withColumn("validated", good.cast("int"))
-        .drop("_fix")
+        .drop("_new")
     )
 
 
-def merge_back(base: DataFrame, repaired: DataFrame, gen: str = "generated_sql", order: str | None = None) -> DataFrame:
-    """Outcomes of repaired rows replace those of the base rows with their id.
+def merge_back(
+    base: DataFrame, repaired: DataFrame, gen: str = "generated_sql", order: str | None = None, keys: list[str] | None = None,
+) -> DataFrame:
+    """Outcomes of repaired rows replace those of the failed base rows they belong to.
 
-    One repaired row counts per id (the last by ``order`` if given).  An id that
-    the base holds more than once should be made unique first.
+    Rows belong together by ``keys`` (default: the model, if both sides have it, and the id).  Of several repaired rows
+    of one key the last by ``order`` counts.  Rows that did not fail stay as they are.
     """
+    keys = _row_keys(base, repaired, keys)
     taken = ["success", "valid_sql", "error", *(["results"] if "results" in repaired.columns else [])]
-    packed = F.struct(*taken)
-    one = repaired.groupBy("id").agg(
-        (F.max_by(packed, F.struct(order, *taken)) if order else F.max(packed)).alias("_new")
-    )
-    hit = F.col("_new").isNotNull()
-    merged = base.join(one, "id", "left")
+    one = _one_per_key(repaired, keys, F.struct(*taken), order)
+    hit = F.col("_new").isNotNull() & F.coalesce(~F.col("success_before"), F.lit(False))
+    merged = base.withColumn("success_before", F.col("success")).join(one, keys, "left").withColumn("validation_applied", hit)
+    hit = F.col("validation_applied")
     updates = {
-        "success_before": F.col("success"),
         "success": F.when(hit, F.col("_new.success")).otherwise(F.col("success")),
         "error": F.when(hit, F.col("_new.error")).otherwise(F.col("error")),
         "final_query": F.when(hit, F.col("_new.valid_sql")).otherwise(F.col(gen)),
-        "validation_applied": hit,
     }
     if "results" in taken:
         updates["results"] = F.when(hit, F.col("_new.results")).otherwise(F.col("results"))

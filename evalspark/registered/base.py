@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from ..sources.tables import spread_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,7 +120,7 @@ _TRUTH = [
 
 
 def _texts(spark, sf_dir):
-    scan = spread_scan(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
+    scan = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     return scan.selectExpr(*_BASE).selectExpr(*_TEXTS)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import results as res
 from ..functions import sqltext as sql
-from ..functions.similarity import CLAUSES, clauses_of, compare_plans, similarities
+from ..functions.similarity import CLAUSES, clauses_of, compare_plans
 from ..functions.text import concat_all
 from ..operators import workload as w
 from ..operators.profile import sql_components
@@ -268,7 +268,7 @@ def w7(spark, sf):
 @register("W8_text_similarity")
 def w8(spark, sf):
     pairs = query_log(spark, sf).select("id", "true_query", "generated_sql")
-    return pairs.select("id", similarities("true_query", "generated_sql").alias("s")).select("id", "s.*")
+    return w.with_text_similarity(pairs).drop("true_query", "generated_sql")
 
 
 @register("W8_edit_similarity", over_log(f"SELECT id, round({_EDIT}, 6) AS edit_similarity FROM log"))
@@ -295,11 +295,17 @@ def w9(spark, sf):
         "operation_match")
 
 
-@register("W9_plan_similarity")
+# plans are equal or differ in one of the 26 characters of their written lists
+@register("W9_plan_similarity", over_log(
+    """SELECT id, round(CASE WHEN execution_plan = execution_plan_true THEN 1.0 WHEN execution_plan IS NULL THEN 0.0 ELSE 1 / 3 END, 6)
+      AS operation_match, round(CASE WHEN execution_plan = execution_plan_true THEN 1.0 WHEN execution_plan IS NOT NULL THEN 25 / 26 END, 6)
+      AS sequence_similarity, round(CASE WHEN execution_plan = execution_plan_true THEN 1.0 WHEN execution_plan IS NULL THEN 0.0
+      ELSE (1 / 3 + 25 / 26) / 2 END, 6) AS plan_similarity FROM pairs""", _PAIRS))
 def w9_full(spark, sf):
     pairs = w.truth_join(query_log(spark, sf), truth_runs(spark, sf))
-    return w.with_plan_comparison(pairs, "execution_plan_true", "execution_plan").select(
-        "id", "operation_match", "sequence_similarity", "plan_similarity")
+    return rounded(w.with_plan_comparison(pairs, "execution_plan_true", "execution_plan").select(
+        "id", "operation_match", "sequence_similarity", "plan_similarity"),
+        "operation_match", "sequence_similarity", "plan_similarity")
 
 
 # the log's errors and some of every other class
@@ -326,6 +332,25 @@ def w11(spark, sf):
     return rounded(cmp.select("id", "c.equal", "c.reason", "c.diff_percentage"), "diff_percentage")
 
 
+# results of other shapes on both sides; what is no list of rows equals nothing
+_ODD = """CASE WHEN {0} % 11 = 0 THEN '{{"n": 1}}' WHEN {0} % 7 = 0 THEN '[1, 2]' WHEN {0} % 13 = 0 THEN 'not json'
+  WHEN {0} % 5 = 0 THEN '[{{"n": 1}}, 5]' WHEN {0} % 3 = 0 THEN '' WHEN {0} % 2 = 0 THEN '[]' ELSE '[1]' END"""
+_ENTRIES = """CASE WHEN {0} = '' THEN 0 WHEN {0} IN ('{{"n": 1}}', 'not json') THEN NULL WHEN {0} = '[]' THEN 0 WHEN {0} = '[1]' THEN 1 ELSE 2 END"""
+
+
+@register("W11_result_shapes", over_log(
+    """SELECT id, coalesce(n1 = 0 AND n2 = 0, false) AS equal, CASE WHEN n1 = 0 AND n2 = 0 THEN 'Both results are empty'
+      WHEN n1 = 0 THEN 'First result is empty, second has data' WHEN n2 = 0 THEN 'Second result is empty, first has data'
+      WHEN n1 <> n2 THEN 'Different number of rows' ELSE 'Not a list of rows' END AS reason,
+      CAST(coalesce(n1, 0) AS INT) AS true_rows, CAST(coalesce(n2, 0) AS INT) AS gen_rows """
+    f"FROM (SELECT id, {_ENTRIES.format('a')} AS n1, {_ENTRIES.format('b')} AS n2 FROM "
+    f"(SELECT id, {_ODD.format('id')} AS a, {_ODD.format('(id // 4)')} AS b FROM log))"))
+def w11_shapes(spark, sf):
+    shaped = query_log(spark, sf).selectExpr("id", f"{_ODD.format('id')} AS a", f"{_ODD.format('(id div 4)')} AS b")
+    return shaped.select("id", res.compare_results(F.col("a"), F.col("b")).alias("c")).select(
+        "id", "c.equal", "c.reason", "c.true_rows", "c.gen_rows")
+
+
 # true rows: lines of an order; generated rows: the same lines, untaxed ones changed, undiscounted first ones left out
 @register("W11_result_tables", """WITH t AS (SELECT l_orderkey AS id, concat(l_partkey, '/', l_linenumber) AS row FROM lineitem),
   g AS (SELECT l_orderkey AS id, concat(l_partkey + CAST(l_tax = 0 AS INT), '/', l_linenumber) AS row
@@ -526,23 +551,32 @@ def w23(spark, sf):
     return w.route_failures(query_log(spark, sf)).select("id", "generated_sql", "error")
 
 
+# every id answered by three models, of which some fail on it
+_ANSWERS = [
+    "id", "question", "true_query", "generated_sql", "concat('m', CAST(i AS STRING)) AS model_name",
+    "(id + i) % 3 <> 0 AND (id + i) % 5 <> 0 AS success",
+    "CASE WHEN (id + i) % 3 = 0 OR (id + i) % 5 = 0 THEN concat('broken ', CAST(i AS STRING)) END AS error"]
+_ROUND = f"answers AS (SELECT {', '.join(_ANSWERS)} FROM (SELECT *, unnest([0, 1, 2]) AS i FROM log))"
 # repair answers: most give back the true query, some fail, some are missing
-_FIXES = """fixes AS (SELECT id, CASE WHEN id % 13 = 0 THEN 'ERROR' WHEN id % 17 = 0 THEN 'I cannot'
-  ELSE concat(coalesce(true_query, 'select 1'), ';') END AS fixed_query FROM log WHERE NOT success AND question NOT LIKE 'list%')"""
-_FIXED = """fixed AS (SELECT log.id, CASE WHEN upper(fixed_query) LIKE 'SELECT%' THEN fixed_query ELSE generated_sql END
+_ANSWER = """CASE WHEN id % 13 = 0 THEN 'ERROR' WHEN id % 17 = 0 THEN 'I cannot'
+  ELSE concat(coalesce(true_query, 'select 1'), ' ', model_name, ';') END"""
+_FIXES = f"""{_ROUND}, fixes AS (SELECT id, model_name, {_ANSWER} AS fixed_query FROM answers WHERE NOT success AND question NOT LIKE 'list%')"""
+_FIXED = """fixed AS (SELECT log.id, log.model_name, CASE WHEN upper(fixed_query) LIKE 'SELECT%' THEN fixed_query ELSE generated_sql END
   AS valid_sql, CAST(coalesce(upper(fixed_query) LIKE 'SELECT%', false) AS INT) AS validated FROM log
-  LEFT JOIN fixes USING (id) WHERE NOT success)"""
+  LEFT JOIN fixes USING (id, model_name) WHERE NOT success)""".replace("FROM log", "FROM answers AS log")
 _MERGED = """merged AS (SELECT log.id, log.model_name, log.success AS success_before, CASE WHEN fixed.id IS NULL THEN log.success
   ELSE validated = 1 END AS success, CASE WHEN fixed.id IS NULL THEN generated_sql ELSE valid_sql END AS final_query,
   CASE WHEN fixed.id IS NULL THEN error WHEN validated = 1 THEN NULL ELSE 'still broken' END AS error,
-  fixed.id IS NOT NULL AS validation_applied FROM log LEFT JOIN fixed USING (id))"""
+  fixed.id IS NOT NULL AS validation_applied FROM answers AS log LEFT JOIN fixed USING (id, model_name))"""
+
+
+def _answers(spark, sf):
+    log = query_log(spark, sf).drop("success", "error", "model_name")
+    return log.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).selectExpr(*_ANSWERS)
 
 
 def _fixes(log):
-    answer = (
-        F.when(F.col("id") % 13 == 0, "ERROR").when(F.col("id") % 17 == 0, "I cannot")
-        .otherwise(F.concat(F.coalesce("true_query", F.lit("select 1")), F.lit(";"))))
-    return w.route_failures(log).where("question NOT LIKE 'list%'").select("id", answer.alias("fixed_query"))
+    return w.route_failures(log).where("question NOT LIKE 'list%'").selectExpr("id", "model_name", f"{_ANSWER} AS fixed_query")
 
 
 def _rerun(fixed):
@@ -552,20 +586,20 @@ def _rerun(fixed):
 
 
 def _merged(spark, sf):
-    log = query_log(spark, sf).drop("results")
+    log = _answers(spark, sf)
     return repair_round(log, _fixes(log), _rerun)
 
 
-@register("W24_apply_fix", over_log("SELECT id, valid_sql, validated FROM fixed", _FIXES, _FIXED))
+@register("W24_apply_fix", over_log("SELECT id, model_name, valid_sql, validated FROM fixed", _FIXES, _FIXED))
 def w24(spark, sf):
-    log = query_log(spark, sf)
-    return w.apply_fix(w.route_failures(log), _fixes(log)).select("id", "valid_sql", "validated")
+    log = _answers(spark, sf)
+    return w.apply_fix(w.route_failures(log), _fixes(log)).select("id", "model_name", "valid_sql", "validated")
 
 
 @register("W25_merge_back", over_log(
-    "SELECT id, success_before, success, final_query, error, validation_applied FROM merged", _FIXES, _FIXED, _MERGED))
+    "SELECT id, model_name, success_before, success, final_query, error, validation_applied FROM merged", _FIXES, _FIXED, _MERGED))
 def w25(spark, sf):
-    return _merged(spark, sf).select("id", "success_before", "success", "final_query", "error", "validation_applied")
+    return _merged(spark, sf).select("id", "model_name", "success_before", "success", "final_query", "error", "validation_applied")
 
 
 @register("W26_phase_rates", over_log(

@@ -35,6 +35,7 @@ def local_session(cpus: int | str = "*", app: str = "evalspark", memory: str = "
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="evalspark-"))
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in SQL_SETTINGS.items():

@@ -43,20 +43,6 @@ def read_tables(spark: SparkSession, folder: str, names: list[str], views: bool
     return tables
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Even out a scan that has fewer splits than the job has cores.
-
-    Reading text is cheap, judging it is not: a small log in one file would keep
-    one core busy.  A large log has splits enough and is left alone.  While
-    executors are still being allocated, the shuffle partitions stand for them.
-    """
-    spark = df.sparkSession
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true":
-        wanted = min(wanted, spark.sparkContext.defaultParallelism)
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
-
-
 def list_tables(spark: SparkSession) -> list[str]:
     """Names of the tables and views in the session."""
     return sorted(t.name for t in spark.catalog.listTables())

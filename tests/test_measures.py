@@ -21,7 +21,9 @@ ROOT = Path(__file__).parent.parent
 
 @pytest.mark.parametrize("a, b, equal, reason, percent", [
     (None, "[]", True, "Both results are empty", None),
-    ("not json", None, True, "Both results are empty", None),
+    ("not json", None, False, "Second result is empty, first has data", None), ("not json", "[1]", False, "Not a list of rows", None), ("[1, 2]", "[3, 4]", False, "Not a list of rows", None),
+    ('{"a": 1}', '{"a": 2}', False, "Not a list of rows", None), ('[{"a": 1}, 5]', '[{"a": 2}, 6]', False, "Not a list of rows", None),
+    ("[1, 2]", "[1]", False, "Different number of rows", None), ("[1]", "", False, "Second result is empty, first has data", None),
     ("[]", '[{"n": 1}]', False, "First result is empty, second has data", None),
     ('[{"n": 1}]', None, False, "Second result is empty, first has data", None),
     ('[{"n": 1}]', '[{"n": 1}, {"n": 1}]', False, "Different number of rows", None),
@@ -84,13 +86,13 @@ def test_similarities_match_difflib(spark):
 def test_plans(spark):
     def plan(*details):
         return json.dumps([{"id": i, "parent": 0, "notused": 0, "detail": d} for i, d in enumerate(details)])
-    rows = [(plan("SCAN a", "USE x"), plan("SCAN a", "USE y")), (plan("SCAN a"), None), (None, None)]
+    rows = [(plan("SCAN a", "USE x"), plan("SCAN a", "USE y")), (plan("SCAN a"), None), (None, None), ("[]", "[]")]
     df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
     got = df.select(*[c.alias(n) for n, c in compare_plans(F.col("a"), F.col("b")).items()]).collect()
     ratio = text_ratio("['SCAN a', 'USE x']", "['SCAN a', 'USE y']")
     assert got[0]["operation_match"] == 1 / 3 and got[0]["plan_similarity"] == (1 / 3 + ratio) / 2
     assert (got[0]["only_in_true"], got[0]["only_in_generated"]) == (["USE x"], ["USE y"])
-    assert got[1]["plan_similarity"] == 0.0 and got[2]["plan_similarity"] is None
+    assert got[1]["plan_similarity"] == 0.0 and got[2]["plan_similarity"] is None and got[3]["plan_similarity"] == 0.5
 
 
 def test_composite_score_matches_published_rows(spark):
@@ -158,6 +160,32 @@ def test_repair_round(spark):
     assert (rates["total"], rates["generated_ok"], rates["routed"], rates["repaired_ok"], rates["final_ok"]) == (4, 2, 1, 1, 3)
 
 
+def test_repair_round_of_one_id_in_three_models(spark):
+    base = spark.createDataFrame(
+        [(1, "A", "a", False, "x"), (1, "B", "b", True, None), (1, "C", "c", False, "y")],
+        "id bigint, model string, generated_sql string, success boolean, error string")
+    fixes = spark.createDataFrame([(1, "A", "SELECT a"), (1, "C", "SELECT c")], "id bigint, model string, fixed_query string")
+
+    def rerun(fixed):
+        return fixed.withColumns({"success": F.col("model") == "A", "error": F.when(F.col("model") != "A", "again")})
+
+    rows = {r["model"]: r for r in repair_round(base, fixes, rerun).collect()}
+    assert (rows["A"]["success"], rows["A"]["final_query"], rows["A"]["error"]) == (True, "SELECT a", None)
+    assert (rows["B"]["success"], rows["B"]["final_query"], rows["B"]["validation_applied"]) == (True, "b", False)
+    assert (rows["C"]["success"], rows["C"]["final_query"], rows["C"]["error"]) == (False, "SELECT c", "again")
+    # without models the rows that did not fail stay as they are
+    by_id = w.merge_back(base, rerun(w.apply_fix(w.route_failures(base), fixes)).where("model = 'A'"), keys=["id"]).collect()
+    assert {r["model"]: r["validation_applied"] for r in by_id} == {"A": True, "B": False, "C": True}
+
+
+def test_several_fixes_need_an_order(spark):
+    base = spark.createDataFrame([(1, "old", False)], "id bigint, generated_sql string, success boolean")
+    fixes = spark.createDataFrame([(1, "SELECT z", 1), (1, "SELECT a", 2)], "id bigint, fixed_query string, round int")
+    assert w.apply_fix(base, fixes, order="round").first()["valid_sql"] == "SELECT a"
+    with pytest.raises(Exception, match="name the column that orders them"):
+        w.apply_fix(base, fixes).collect()
+
+
 def test_bad_fixes_are_not_taken(spark):
     base = spark.createDataFrame([(i, "old", False) for i in range(1, 5)], "id bigint, generated_sql string, success boolean")
     fixes = spark.createDataFrame([(1, "ERROR"), (2, "I cannot"), (3, None)], "id bigint, fixed_query string")

@@ -19,12 +19,14 @@ def _times(n, seed, hot_share=0.6):
     return [(0 if rnd.random() < hot_share else rnd.randrange(1, 6), start + dt.timedelta(minutes=rnd.randrange(0, 3000))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
-def test_weight_before(spark, hot_rows):
-    points, probes = _times(300, 1), _times(200, 2)
+@pytest.mark.parametrize("bucket, hot", [(600, 0), (60, 300), (10**9, 300)])
+def test_weight_before(spark, bucket, hot):
+    """Also with one instant that holds most rows."""
+    instant = [(0, dt.datetime(2100, 1, 1, 7))] * hot
+    points, probes = _times(300, 1) + instant, _times(200, 2) + instant
     p = spark.createDataFrame([(k, t, 1 + i % 3) for i, (k, t) in enumerate(points)], "k int, t timestamp_ntz, w int")
     q = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(probes)], "i int, k int, t timestamp_ntz")
-    got = {r["i"]: r["out"] for r in weight_before(q, p, ["k"], "t", "w", "out", hot_rows, 600).collect()}
+    got = {r["i"]: r["out"] for r in weight_before(q, p, ["k"], "t", "w", "out", bucket).collect()}
     want = {
         i: sum(1 + j % 3 for j, (kk, tt) in enumerate(points) if kk == k and tt < t) for i, (k, t) in enumerate(probes)}
     assert got == want

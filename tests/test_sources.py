@@ -116,13 +116,16 @@ def test_run_statements(spark):
     rows = [
         ("ok", "SELECT id, id * 2 AS twice, id FROM numbers WHERE id > 6"), ("again", "SELECT id, id * 2 AS twice, id FROM numbers WHERE id > 6"),
         ("none", "SELECT * FROM numbers WHERE id < 0"), ("bad", "SELECT nope FROM numbers"), ("empty", ""), ("missing", None),
+        ("comment", "-- how many\nSELECT id FROM numbers WHERE id > 7;"), ("word", "SELECT 'insert site' AS id FROM numbers"),
+        ("from", "FROM numbers SELECT id"), ("with", "WITH n AS (SELECT id FROM numbers) SELECT id FROM n"),
         ("drop", "DROP VIEW numbers"), ("broken", "SELECT assert_true(false) FROM numbers"),
     ]
     statements = spark.createDataFrame(rows, "id string, true_query string")
     outcomes, result_rows = run_statements(statements, work_path(spark, "test-statements"), batch=2)
     got = {r["id"]: r for r in outcomes.collect()}
     assert {k: r["success"] for k, r in got.items()} == {
-        "ok": True, "again": True, "none": True, "bad": False, "empty": False, "missing": True, "drop": False, "broken": False}
+        "ok": True, "again": True, "none": True, "bad": False, "empty": False, "missing": True, "drop": False, "broken": False,
+        "comment": True, "word": True, "from": True, "with": True}
     assert got["ok"]["row_count"] == got["again"]["row_count"] == 3 and got["none"]["row_count"] == 0
     assert got["empty"]["error"] == "No query provided" and "UNRESOLVED_COLUMN" in got["bad"]["error"]
     assert got["ok"]["result_columns"] == ["id", "twice", "id:1"] and "Range" in got["ok"]["execution_plan"]
