@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 BLOCK = 4_096
-CHUNK = 1 << 20  # ids after which a chunk ends; a document is never cut
-CACHE = 1_000_000  # words whose ids a worker remembers
+CHUNK = 1 << 19  # ids after which a chunk ends; a document is never cut
+CACHE = 400_000  # words whose ids a worker remembers
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])  # by selector; 0 is an escape, 1 a run of zeros
 WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
@@ -62,7 +62,10 @@ def pack(ids: np.ndarray) -> bytes:
         go = at < ends[who]
         at, who = at[go], who[go]
     owner = np.concatenate([w for w, _ in steps]) if steps else np.empty(0, np.int64)
-    begin = np.sort(np.concatenate([a for _, a in steps])) if steps else np.empty(0, np.int64)
+    marks = np.zeros(n, bool)
+    for _, a in steps:
+        marks[a] = True
+    begin = np.flatnonzero(marks)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=blocks))]).astype("<u4")
     selector = best[begin]
     taken = np.diff(np.append(begin, n))
@@ -70,7 +73,10 @@ def pack(ids: np.ndarray) -> bytes:
     for s in np.unique(selector[selector > 1]):
         shifts = np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(WIDTHS[s])
         full = np.flatnonzero((selector == s) & (taken == COUNTS[s]))
-        words[full] |= np.bitwise_or.reduce(ids[begin[full][:, None] + np.arange(COUNTS[s])] << shifts, axis=1)
+        first, packed = begin[full], words[full]
+        for k in range(COUNTS[s]):
+            packed |= ids[first + k] << shifts[k]
+        words[full] = packed
         for w in np.flatnonzero((selector == s) & (taken < COUNTS[s])).tolist():  # at most one a block
             values = ids[begin[w]:begin[w] + taken[w]]
             words[w] |= np.bitwise_or.reduce(values << shifts[:len(values)])
@@ -110,7 +116,9 @@ def unpack(payload: bytes, first_block: int = 0, last_block: int | None = None)
             mask = np.uint64((1 << int(WIDTHS[s])) - 1)
             shifts = np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(WIDTHS[s])
             full, part = mine[held[mine] == COUNTS[s]], mine[held[mine] < COUNTS[s]]
-            out[place[full][:, None] + np.arange(COUNTS[s])] = (words[full][:, None] >> shifts) & mask
+            at, packed = place[full], words[full]
+            for k in range(COUNTS[s]):
+                out[at + k] = (packed >> shifts[k]) & mask
             for w in part.tolist():  # at most one a block
                 out[place[w]:place[w] + held[w]] = (words[w] >> shifts[:held[w]]) & mask
     return out
@@ -247,7 +255,8 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids[lo:hi].astype(np.int64)))], names=["id", "start", "ids"])
                     at = to
 
-    placed = chunks.join(base, "shard").select((F.col("base") + F.col("before")).alias("first"), "doc_ids", "lengths", "payload")
+    # broadcast: a row per part of the file, and the payloads stay where they are read
+    placed = chunks.join(F.broadcast(base), "shard").select((F.col("base") + F.col("before")).alias("first"), "doc_ids", "lengths", "payload")
     kind = chunks.schema["doc_ids"].dataType.elementType.simpleString()
     return placed.mapInArrow(run, f"id {kind}, start long, ids array<long>").withColumnRenamed("id", id_col)
 
