@@ -7,10 +7,8 @@ nullable, primary_key, foreign_key, relation, description``; only ``table`` and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,49 +98,16 @@ def dictionary_info(dictionary: DataFrame, table: str) -> DataFrame:
     return dictionary.where(F.col("fact_table") == table)
 
 
-def _smallest_per_column(n: int):
-    """Arrow step: the n least distinct texts of each column seen by this task."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, pa.Array] = {}
-        for batch in batches:
-            for name, column in zip(batch.schema.names, batch.columns):
-                seen = column.drop_null()
-                if name in kept:
-                    held = kept[name]
-                    if len(held) == n:  # only values below the greatest one held can still matter
-                        seen = seen.filter(pc.less(seen, held[-1]))
-                    seen = pa.concat_arrays([held, seen]) if len(seen) else held
-                    if seen is held:
-                        continue
-                seen = pc.unique(seen)
-                kept[name] = seen.take(pc.array_sort_indices(seen)[:n])
-        for name, values in kept.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(values), pa.string()), values.cast(pa.string())], names=["column", "value"]
-            )
-    return run
-
-
 def sample_column_values(df: DataFrame, table: str, n: int = SAMPLE_SIZE, seed: int | None = None) -> DataFrame:
     """Up to ``n`` distinct non-null values of each column, as text; a placeholder when there are none.
 
-    One scan feeds every column.  Each task keeps its ``n`` least values per
-    column, by a seeded hash (a random sample) or, without a seed, by the text;
-    the ``n`` least overall are among them, so little is shuffled and the
-    result is exact.
+    The ``n`` least by text, or with a seed by a hash of text and seed (a random
+    sample).  Values are made distinct before and limited below each shuffle.
     """
-    def keyed(column: str) -> Column:
-        text = F.col(f"`{column}`").cast("string")
-        if seed is None:
-            return text.alias(column)
-        return F.concat(F.lpad(F.hex(F.xxhash64(text, F.lit(seed))), 16, "0"), text).alias(column)
-
-    local = df.select(*[keyed(c) for c in df.columns]).mapInArrow(
-        _smallest_per_column(n), "column string, value string"
-    )
-    best = first_rows(local.distinct(), ["column"], [F.asc("value")], n, rank="position")
-    if seed is not None:
-        best = best.withColumn("value", F.substring(F.col("value"), F.lit(17), F.length("value")))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
+    values = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
+    order = [F.asc("value")] if seed is None else [F.md5(F.concat("value", F.lit(f"-{seed}"))), F.asc("value")]
+    best = first_rows(values, ["column"], order, n, rank="position")
     names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
     return names.join(best, "column", "left").select(
         F.lit(table).alias("table"), "column",
@@ -151,6 +116,14 @@ def sample_column_values(df: DataFrame, table: str, n: int = SAMPLE_SIZE, seed:
     )
 
 
+def sample_tables(tables: dict[str, DataFrame], catalogue: DataFrame | None = None, n: int = SAMPLE_SIZE, seed: int | None = None) -> DataFrame:
+    """C5 over a whole store: every column of every table, of those that ``catalogue`` names if it is given."""
+    if catalogue is not None:  # metadata: a row per table
+        known = {r["table"] for r in catalogue.select("table").distinct().collect()}
+        tables = {name: df for name, df in tables.items() if name in known}
+    return reduce(DataFrame.unionByName, [sample_column_values(df, name, n, seed) for name, df in tables.items()])
+
+
 def random_pick(df: DataFrame, by: list[str], value: str, seed: int = 0, exclude: list = (), key: Column | None = None) -> DataFrame:
     """One value per group by a seeded hash, leaving out the excluded ones.
 

@@ -123,30 +123,41 @@ def s4(spark, sf):
     return read_dictionary_map(spark, path, lines=True)
 
 
-def _sample_sql(name: str, columns: list[str], n: int) -> str:
-    parts = " UNION ALL ".join(
+_STORE = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                 "l_returnflag", "l_linestatus", "l_shipdate"],
+}
+
+
+def _sample_sql(name: str, columns: list[str], n: int, order: str = "value") -> str:
+    return " UNION ALL ".join(
         f"SELECT '{name}' AS \"table\", '{col}' AS \"column\", CAST(position AS INT) AS position, value FROM (SELECT value, ROW_NUMBER() OVER "
-        f"(ORDER BY value) AS position FROM (SELECT DISTINCT CAST({col} AS VARCHAR) AS value FROM {name} WHERE {col} IS NOT NULL)) "
+        f"(ORDER BY {order}) AS position FROM (SELECT DISTINCT CAST({col} AS VARCHAR) AS value FROM {name} WHERE {col} IS NOT NULL)) "
         f"WHERE position <= {n}" for col in columns)
-    return parts
 
 
-_PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]
-_LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]
-
-
-@register("C5_sample_column_values", _sample_sql("part", _PART, 150) + " UNION ALL " + _sample_sql("lineitem", _LINE, 150))
+@register("C5_sample_column_values", " UNION ALL ".join(_sample_sql(t, columns, 150) for t, columns in _STORE.items()))
 def c5(spark, sf):
-    part = c.sample_column_values(table(spark, sf, "part").select(*_PART), "part")
-    lines = c.sample_column_values(table(spark, sf, "lineitem").select(*_LINE), "lineitem")
-    return part.unionByName(lines)
+    return c.sample_tables({t: table(spark, sf, t) for t in _STORE})
 
 
-@register("C5_random_column_values")
+@register("C5_random_column_values", _sample_sql("lineitem", _STORE["lineitem"], 150, "md5(concat(value, '-42')), value"))
 def c5_random(spark, sf):
     return c.sample_column_values(table(spark, sf, "lineitem"), "lineitem", seed=42)
 
 
+@register("C4_dictionary_info", over_log(
+    """SELECT "column" AS code_column, 'd_orders' AS dict_table FROM used WHERE "table" = 'orders' AND "column" LIKE '%key'""", _USED))
+def c4_dictionary(spark, sf):
+    coded = _used(spark, sf).where(F.endswith("column", F.lit("key"))).select(
+        F.col("table").alias("fact_table"), F.col("column").alias("code_column"), F.concat(F.lit("d_"), "table").alias("dict_table"))
+    return c.dictionary_info(coded, "orders").select("code_column", "dict_table")
+
+
 @register("C6_random_sample_value", """SELECT o_orderpriority, arg_min(o_custkey, (o_custkey * 7919 + 13) % 10007 * 1000000000 + o_custkey)
   AS o_custkey FROM orders WHERE o_custkey NOT IN (1, 2, 3) GROUP BY o_orderpriority""")
 def c6(spark, sf):

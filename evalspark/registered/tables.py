@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_path
@@ -27,13 +30,15 @@ def s1(spark, sf):
     return s.read_query_log(spark, path, _LOG)
 
 
-@register("S2_read_tables", """SELECT 'nation' AS "table", COUNT(*) AS n FROM nation UNION ALL SELECT 'orders', COUNT(*) FROM orders
-  UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem""")
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+           "benchmark", "labels", "conversations"]
+
+
+@register("S2_read_tables", " UNION ALL ".join(f"""SELECT '{t}' AS "table", COUNT(*) AS n FROM {t}""" for t in _TABLES))
 def s2(spark, sf):
     counts = [
-        df.agg(F.lit(name).alias("table"), F.count("*").alias("n"))
-        for name, df in s.read_tables(spark, sf, ["nation", "orders", "lineitem"]).items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+        df.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, df in s.read_tables(spark, sf, _TABLES).items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @register("S5_read_model_registry", """SELECT DISTINCT concat('Type ', event_type) AS "Model Name", concat('Q', event_type) AS "Quant",
@@ -59,9 +64,8 @@ def s6(spark, sf):
     """One folder of result files per model, read back in one scan."""
     folder = work_path(spark, "results")
     log = query_log(spark, sf)
-    for name in ("m0", "m1", "m2"):
-        s.write_results(
-            _columns(log.where(F.col("model_name") == name)), f"{folder}/model_{name}_x_results.csv", by=[], csv=True)
+    named = F.concat(F.lit("model_"), "model_name", F.lit("_x_results.csv"))
+    s.write_results(log.select(*_columns(log).columns, named.alias("file")), folder, by=["file"], csv=True)
     read = s.read_result_dir(spark, folder, _LOG)
     return read.select("model", "id", "true_query", "generated_sql")
 

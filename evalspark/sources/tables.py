@@ -58,8 +58,8 @@ def read_model_registry(spark: SparkSession, path: str, flag: str | None = None)
 
 
 def model_of_file(path: Column, suffix: str = "_results.csv") -> Column:
-    """Model named by a result file, or by a folder of part files: suffix off, underscores as blanks."""
-    named = F.regexp_extract(F.url_decode(path), f"([^/]*?){re.escape(suffix)}", 1)
+    """Model named by a result file, or by a folder of part files (also of a partition column): suffix off, underscores as blanks."""
+    named = F.regexp_extract(F.url_decode(path), f"([^/=]*?){re.escape(suffix)}", 1)
     return F.translate(named, "_", " ")
 
 
