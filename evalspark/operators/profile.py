@@ -200,4 +200,4 @@ def result_type_counts(df: DataFrame, results: str = "results") -> DataFrame:
 
 def shuffled(df: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
     """Rows in an order that only the seed decides."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), F.col(key))

@@ -137,6 +137,10 @@ def with_result_match(df: DataFrame, success: str, true_results: Column, gen_res
         "results_match": F.when(ran, F.col("_cmp.equal").cast("int")).otherwise(0),
         "result_reason": F.when(ran, F.col("_cmp.reason")).otherwise("Generated query failed to execute"),
         "result_diff_percentage": F.when(ran, F.col("_cmp.diff_percentage")),
+        "true_result_rows": F.col("_cmp.true_rows"),
+        "gen_result_rows": F.col("_cmp.gen_rows"),
+        "result_diff_count": F.when(ran, F.col("_cmp.diff_count")),
+        "result_example_diff_row": F.when(ran, F.col("_cmp.example_diff_row")),
     }).drop("_cmp")
 
 

@@ -10,16 +10,15 @@ from .base import over_log, register, rounded
 from .workload import SCORED_SQL, native_scores
 
 _MODEL = "concat(model_name, '-', CAST(id % 4 AS STRING))"
-_PLAN = "CAST(id % 6 AS DOUBLE) / 5"
 _WEIGHTS = list(SCORE_WEIGHTS.items())
 
 _MEANS = "means AS (SELECT model_name, AVG(results_match) AS m0, AVG(table_access_accuracy) AS m1, " \
     "AVG(column_access_accuracy) AS m2, AVG(edit_similarity) AS m3, AVG(plan_similarity) AS m4 FROM " \
-    f"(SELECT * REPLACE ({_MODEL} AS model_name), {_PLAN} AS plan_similarity FROM scored) GROUP BY 1)"
+    f"(SELECT * REPLACE ({_MODEL} AS model_name) FROM scored) GROUP BY 1)"
 
 
 def _scored(spark, sf):
-    return native_scores(spark, sf).withColumns({"model_name": F.expr(_MODEL), "plan_similarity": F.expr(_PLAN)})
+    return native_scores(spark, sf).withColumn("model_name", F.expr(_MODEL))
 
 
 def _score(weights: list[str]) -> str:

@@ -115,28 +115,29 @@ _PAIRS = """pairs AS (SELECT log.*, truth.success AS success_true, truth.row_cou
   truth.results AS results_true, truth.execution_time AS execution_time_true,
   truth.execution_plan AS execution_plan_true FROM log LEFT JOIN truth ON log.id IS NOT DISTINCT FROM truth.id
   AND log.question IS NOT DISTINCT FROM truth.question AND log.true_query IS NOT DISTINCT FROM truth.true_query)"""
+# plans are equal or share one of three steps and all but one of the 26 characters of their written lists
+_PLAN = """CASE WHEN execution_plan = execution_plan_true THEN 1.0 WHEN execution_plan IS NULL THEN 0.0
+  ELSE (1 / 3 + 25 / 26) / 2 END"""
 _MEASURES = f"""measures AS (SELECT *, {_tables('true_query')} AS tt, {_tables('generated_sql')} AS gt,
   {_columns('true_query')} AS tc, {_columns('generated_sql')} AS gc,
   CASE WHEN success THEN CAST({_equal('results_true', 'results')} AS INT) ELSE 0 END AS results_match,
   {_rows('results_true')} = 0 AS true_empty_result, {_rows('results')} = 0 AS gen_empty_result,
-  {_EDIT} AS edit_similarity FROM pairs)"""
+  {_EDIT} AS edit_similarity, {_PLAN} AS plan_similarity FROM pairs)"""
 _SCORED = f"""scored AS (SELECT *, {_overlap('tt', 'gt')} AS table_access_accuracy,
   {_overlap('tc', 'gc')} AS column_access_accuracy, true_empty_result AND gen_empty_result AS both_empty,
   0.3 * results_match + 0.2 * ({_overlap('tt', 'gt')}) + 0.2 * ({_overlap('tc', 'gc')}) + 0.1 * edit_similarity
-  AS composite_score FROM measures)"""
+  + 0.2 * plan_similarity AS composite_score FROM measures)"""
 SCORED_SQL = (_PAIRS, _MEASURES, _SCORED)
 
 
 def native_scores(spark, sf, gen="generated_sql"):
-    """The log with its truth and every measure that needs no Python.
+    """The log with its truth and every measure; all are the shipped ones but for the ratio of the texts.
 
-    Text similarity is the native edit measure here, so that SQL can repeat the scores.
+    In its place stands the native edit measure, so that SQL can repeat the scores.
     """
-    df = compare_queries(
-        query_log(spark, sf).drop("execution_plan"), truth_runs(spark, sf).drop("execution_plan"), gen,
-        text_similarity=False)
+    df = compare_queries(query_log(spark, sf), truth_runs(spark, sf), gen, text_similarity=False)
     df = w.with_edit_similarity(df, "true_query", gen).withColumn("query_similarity", F.col("edit_similarity"))
-    return df.withColumn("composite_score", w.composite_score(legacy=True))
+    return df.withColumn("composite_score", w.composite_score())
 
 
 # --- per-row operators ----------------------------------------------------------
@@ -295,12 +296,10 @@ def w9(spark, sf):
         "operation_match")
 
 
-# plans are equal or differ in one of the 26 characters of their written lists
 @register("W9_plan_similarity", over_log(
-    """SELECT id, round(CASE WHEN execution_plan = execution_plan_true THEN 1.0 WHEN execution_plan IS NULL THEN 0.0 ELSE 1 / 3 END, 6)
+    f"""SELECT id, round(CASE WHEN execution_plan = execution_plan_true THEN 1.0 WHEN execution_plan IS NULL THEN 0.0 ELSE 1 / 3 END, 6)
       AS operation_match, round(CASE WHEN execution_plan = execution_plan_true THEN 1.0 WHEN execution_plan IS NOT NULL THEN 25 / 26 END, 6)
-      AS sequence_similarity, round(CASE WHEN execution_plan = execution_plan_true THEN 1.0 WHEN execution_plan IS NULL THEN 0.0
-      ELSE (1 / 3 + 25 / 26) / 2 END, 6) AS plan_similarity FROM pairs""", _PAIRS))
+      AS sequence_similarity, round({_PLAN}, 6) AS plan_similarity FROM pairs""", _PAIRS))
 def w9_full(spark, sf):
     pairs = w.truth_join(query_log(spark, sf), truth_runs(spark, sf))
     return rounded(w.with_plan_comparison(pairs, "execution_plan_true", "execution_plan").select(
