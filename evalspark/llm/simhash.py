@@ -15,6 +15,7 @@ from .common import components, cut
 
 BITS = 64
 SEED = 42
+WIDE = 4  # blocks of 64 bits where texts are compared by the share of bits
 _CHUNK = 1 << 18  # shingles whose bits are counted at once
 
 
@@ -245,56 +246,58 @@ def _jaccard(a: str | None, b: str | None, words: int) -> float:
 
 
 def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 24, prefix: int = 8, budget: int = 2,
-           spread: float = 0.28, partners: int = 8, seed: int = 11) -> DataFrame:
+           spread: float = 0.21, partners: int = 8, seed: int = 11) -> DataFrame:
     """(row, root, least): the group of each row of ``docs`` (row, doc_id, text), row being a unique long.
 
     Two texts belong together if the Jaccard similarity of their sets of ``words``-word shingles is at least
     ``similarity``.  At 0.8 two SimHash values differ in 15 % of their bits on average, too many for one trie walk, so
-    128-bit values are read in ``tables`` seeded bit orders.  In each order, values that agree in ``prefix`` bits share
+    256-bit values are read in ``tables`` seeded bit orders.  In each order, values that agree in ``prefix`` bits share
     a task, which walks their trie with ``budget`` errors over about log2 of the values' number more bits; found pairs
-    must differ in at most ``spread`` of all 128 bits.  Of a task's links go on each value's ``partners`` closest and the
+    must differ in at most ``spread`` of all 256 bits (at 0.8 the mean and 2.6 deviations).  Of a task's links go on each value's ``partners`` closest and the
     closest spanning forest, which connects whatever the task found, and each is verified on the whole texts.  A pair at
     0.8 is found with a chance of 0.9 and more, closer ones surely.
     Texts of equal values are one class from the start, so copies of a text cost no pairs.  root names the group,
     least is its row to keep: the smallest doc_id (NULL last), then the smallest row.
     """
+    bits = [f"f{k}" for k in range(WIDE)]
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_py(), words, 2) for t in batch.column(2)]
-            high, low = (np.array([(v >> s) & ((1 << 64) - 1) for v in values], np.uint64).view(np.int64) for s in (64, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(high), pa.array(low)], names=["row", "doc_id", "high", "low"])
+            values = [fingerprint(t.as_py(), words, WIDE) for t in batch.column(2)]
+            blocks = [np.array([(v >> (BITS * k)) & ((1 << BITS) - 1) for v in values], np.uint64).view(np.int64) for k in range(WIDE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, blocks)], names=["row", "doc_id", *bits])
 
     kept = docs.select("row", "doc_id", "text")
     id_type = kept.schema["doc_id"].dataType.simpleString()
-    marked = cut(kept.mapInArrow(read, f"row long, doc_id {id_type}, high long, low long"))
+    marked = cut(kept.mapInArrow(read, f"row long, doc_id {id_type}, " + ", ".join(f"{b} long" for b in bits)))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
-    classes = cut(marked.groupBy("high", "low").agg(F.min(order).alias("first")))
+    classes = cut(marked.groupBy(*bits).agg(F.min(order).alias("first")))
     # the class is named by the row that stands for it, and so is the text that is compared
-    values = classes.select(F.col("first.row").alias("node"), "high", "low")
+    values = classes.select(F.col("first.row").alias("node"), *bits)
     levels = prefix + max(8, int(np.ceil(np.log2(max(2, classes.count())))) - prefix + 4)
-    orders = [np.random.default_rng([seed, t]).permutation(2 * BITS)[:BITS] for t in range(tables)]
+    orders = [np.random.default_rng([seed, t]).permutation(WIDE * BITS)[:BITS] for t in range(tables)]
 
     def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in (1, 2)], axis=1)
-            bits = np.unpackbits(both.astype(">u8").view(np.uint8).reshape(-1, 16), axis=1)
+            blocks = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
+            spelled = np.unpackbits(blocks.astype(">u8").view(np.uint8).reshape(-1, WIDE * 8), axis=1)
             for t, bit in enumerate(orders):
-                key = np.ascontiguousarray(np.packbits(bits[:, bit], axis=1)).view(">u8").ravel().astype(np.uint64)
+                key = np.ascontiguousarray(np.packbits(spelled[:, bit], axis=1)).view(">u8").ravel().astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([
                     *batch.columns, pa.array(np.full(len(key), t, np.int32)), pa.array((key >> np.uint64(BITS - prefix)).astype(np.int32)),
-                    pa.array(key.view(np.int64))], names=["node", "high", "low", "t", "bucket", "key"])
+                    pa.array(key.view(np.int64))], names=["node", *bits, "t", "bucket", "key"])
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.iloc[np.argsort(group.key.to_numpy().view(np.uint64), kind="stable")]
-        key, node, high, low = (group[c].to_numpy() for c in ("key", "node", "high", "low"))
-        key, high, low = (x.view(np.uint64) for x in (key, high, low))
-        found = [(np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint8),)]
+        node = group["node"].to_numpy()
+        key, *blocks = (group[c].to_numpy().view(np.uint64) for c in ("key", *bits))
+        found = [(np.empty(0, np.int64),) * 2 + (np.empty(0, np.int16),)]
         for at in range(0, len(key), 4_096):  # a dense cluster is worked off in slices
             i, j = trie_pairs(key[at:at + 4_096], key, budget, 0, levels)
             i = i + at
             i, j = i[i < j], j[i < j]
-            far = np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j])
-            near = far <= spread * 2 * BITS
+            far = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in blocks)
+            near = far <= spread * WIDE * BITS
             i, j, far = i[near], j[near], far[near]
             best = np.union1d(_closest_forest(i, j, far, len(key)), _closest_each(i, j, far, partners))
             found.append((i[best], j[best], far[best]))
@@ -303,7 +306,7 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int
         best = np.union1d(best, _closest_each(i, j, far, partners))
         return pd.DataFrame({"a": np.minimum(node[i[best]], node[j[best]]), "b": np.maximum(node[i[best]], node[j[best]])})
 
-    spread_out = values.mapInArrow(reorder, "node long, high long, low long, t int, bucket int, key long")
+    spread_out = values.mapInArrow(reorder, "node long, " + ", ".join(f"{b} long" for b in bits) + ", t int, bucket int, key long")
     links = cut(spread_out.groupBy("t", "bucket").applyInPandas(walk, "a long, b long").distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,10 +319,10 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int
         texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     roots = components(pairs.mapInArrow(verify, "a long, b long"))
     rooted = classes.join(roots, F.col("first.row") == F.col("node"), "left").select(
-        "high", "low", "first", F.coalesce("root", "first.row").alias("root"))
+        *bits, "first", F.coalesce("root", "first.row").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.row").alias("least"))
-    named = rooted.select("high", "low", "root").join(best, "root")
-    return marked.select("row", "high", "low").join(named, ["high", "low"]).select("row", "root", "least")
+    named = rooted.select(*bits, "root").join(best, "root")
+    return marked.select("row", *bits).join(named, bits).select("row", "root", "least")
 
 
 def without_copies(docs: DataFrame, **how) -> DataFrame:
