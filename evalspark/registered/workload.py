@@ -332,9 +332,9 @@ def w11(spark, sf):
 
 
 # results of other shapes on both sides; what is no list of rows equals nothing
-_ODD = """CASE WHEN {0} % 11 = 0 THEN '{{"n": 1}}' WHEN {0} % 7 = 0 THEN '[1, 2]' WHEN {0} % 13 = 0 THEN 'not json'
+_SHAPED = """CASE WHEN {0} % 11 = 0 THEN '{{"n": 1}}' WHEN {0} % 7 = 0 THEN '[1, 2]' WHEN {0} % 13 = 0 THEN 'not json'
   WHEN {0} % 5 = 0 THEN '[{{"n": 1}}, 5]' WHEN {0} % 3 = 0 THEN '' WHEN {0} % 2 = 0 THEN '[]' ELSE '[1]' END"""
-_ENTRIES = """CASE WHEN {0} = '' THEN 0 WHEN {0} IN ('{{"n": 1}}', 'not json') THEN NULL WHEN {0} = '[]' THEN 0 WHEN {0} = '[1]' THEN 1 ELSE 2 END"""
+_N_ENTRIES = """CASE WHEN {0} = '' THEN 0 WHEN {0} IN ('{{"n": 1}}', 'not json') THEN NULL WHEN {0} = '[]' THEN 0 WHEN {0} = '[1]' THEN 1 ELSE 2 END"""
 
 
 @register("W11_result_shapes", over_log(
@@ -342,10 +342,10 @@ _ENTRIES = """CASE WHEN {0} = '' THEN 0 WHEN {0} IN ('{{"n": 1}}', 'not json') T
       WHEN n1 = 0 THEN 'First result is empty, second has data' WHEN n2 = 0 THEN 'Second result is empty, first has data'
       WHEN n1 <> n2 THEN 'Different number of rows' ELSE 'Not a list of rows' END AS reason,
       CAST(coalesce(n1, 0) AS INT) AS true_rows, CAST(coalesce(n2, 0) AS INT) AS gen_rows """
-    f"FROM (SELECT id, {_ENTRIES.format('a')} AS n1, {_ENTRIES.format('b')} AS n2 FROM "
-    f"(SELECT id, {_ODD.format('id')} AS a, {_ODD.format('(id // 4)')} AS b FROM log))"))
+    f"FROM (SELECT id, {_N_ENTRIES.format('a')} AS n1, {_N_ENTRIES.format('b')} AS n2 FROM "
+    f"(SELECT id, {_SHAPED.format('id')} AS a, {_SHAPED.format('(id // 4)')} AS b FROM log))"))
 def w11_shapes(spark, sf):
-    shaped = query_log(spark, sf).selectExpr("id", f"{_ODD.format('id')} AS a", f"{_ODD.format('(id div 4)')} AS b")
+    shaped = query_log(spark, sf).selectExpr("id", f"{_SHAPED.format('id')} AS a", f"{_SHAPED.format('(id div 4)')} AS b")
     return shaped.select("id", res.compare_results(F.col("a"), F.col("b")).alias("c")).select(
         "id", "c.equal", "c.reason", "c.true_rows", "c.gen_rows")
 
