@@ -245,17 +245,45 @@ def _jaccard(a: str | None, b: str | None, words: int) -> float:
     return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
 
 
-def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 24, prefix: int = 8, budget: int = 2,
-           spread: float = 0.21, partners: int = 8, seed: int = 11) -> DataFrame:
+def _features(text: str | None, words: int) -> tuple[int, int, bytes, bytes]:
+    """(SimHash value, number, digest, sketch) of the text's set of shingles.
+
+    The sketch counts the shingles by the last bits of their hashes, in a power of two of cells; 255 stands for 255 and more.
+    """
+    line, starts, ends = shingles(text, words)
+    parts = sorted({line[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)})
+    hashes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], dtype=np.uint64)
+    cells = 1 << min(12, max(6, len(parts).bit_length()))
+    counts = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    sketch = np.minimum(counts, 255).astype(np.uint8).tobytes()
+    value = fingerprint(text, words, WIDE)
+    return value, len(parts), value.to_bytes(WIDE * BITS // 8, "big"), sketch
+
+
+def _may_match(n_a: int, n_b: int, a: bytes, b: bytes, similarity: float) -> bool:
+    """False only if the sketches rule out a Jaccard similarity of ``similarity``: shared shingles share their cell."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if x.max() == 255 or y.max() == 255:
+        return True
+    cells = min(len(x), len(y))
+    shared = np.minimum(x.reshape(-1, cells).sum(axis=0, dtype=np.int64), y.reshape(-1, cells).sum(axis=0, dtype=np.int64)).sum()
+    return shared >= similarity * (n_a + n_b - shared) - 1e-9
+
+
+def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prefix: int = 8, budget: int = 2, spread: float = 0.21,
+           tables: int = 24, bucket_rows: int = 4_000, seed: int = 11) -> DataFrame:
     """(row, root, least): the group of each row of ``docs`` (row, doc_id, text), row being a unique long.
 
     Two texts belong together if the Jaccard similarity of their sets of ``words``-word shingles is at least
-    ``similarity``.  At 0.8 two SimHash values differ in 15 % of their bits on average, too many for one trie walk, so
-    256-bit values are read in ``tables`` seeded bit orders.  In each order, values that agree in ``prefix`` bits share
-    a task, which walks their trie with ``budget`` errors over about log2 of the values' number more bits; found pairs
-    must differ in at most ``spread`` of all 256 bits (at 0.8 the mean and 2.6 deviations).  Of a task's links go on each value's ``partners`` closest and the
-    closest spanning forest, which connects whatever the task found, and each is verified on the whole texts.  A pair at
-    0.8 is found with a chance of 0.9 and more, closer ones surely.
+    ``similarity``.  At 0.8 two SimHash values differ in 15 % of their bits on average, too many for one
+    trie walk, so 256-bit values are read in ``tables`` seeded bit orders.  In each order, values that agree in ``prefix`` bits
+    share a bucket, whose trie is walked with ``budget`` errors over about log2 of the values'
+    number more bits; candidates differ in at most ``spread`` of all 256 bits (at 0.8 the mean and 2.6 deviations).
+    Buckets of
+    more than ``bucket_rows`` values are dealt out by pairs of blocks.
+
+    Every candidate is verified on the whole texts unless other verified links join its ends or an exact bound rules it
+    out: a closest spanning forest of each task first, then what lies between different groups, closest first.
     Texts of equal values are one class from the start, so copies of a text cost no pairs.  root names the group,
     least is its row to keep: the smallest doc_id (NULL last), then the smallest row.
     """
@@ -263,66 +291,164 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(t.as_py(), words, WIDE) for t in batch.column(2)]
+            values, sizes, digests, sketches = zip(*(_features(t.as_py(), words) for t in batch.column(2)), strict=True) if batch.num_rows else [()] * 4
             blocks = [np.array([(v >> (BITS * k)) & ((1 << BITS) - 1) for v in values], np.uint64).view(np.int64) for k in range(WIDE)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, blocks)], names=["row", "doc_id", *bits])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *map(pa.array, blocks), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                 pa.array(sketches, pa.binary())], names=["row", "doc_id", *bits, "size", "digest", "sketch"])
 
     kept = docs.select("row", "doc_id", "text")
     id_type = kept.schema["doc_id"].dataType.simpleString()
-    marked = cut(kept.mapInArrow(read, f"row long, doc_id {id_type}, " + ", ".join(f"{b} long" for b in bits)))
+    marked = cut(kept.mapInArrow(
+        read, f"row long, doc_id {id_type}, " + ", ".join(f"{b} long" for b in bits) + ", size long, digest binary, sketch binary"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
-    classes = cut(marked.groupBy(*bits).agg(F.min(order).alias("first")))
     # the class is named by the row that stands for it, and so is the text that is compared
-    values = classes.select(F.col("first.row").alias("node"), *bits)
-    levels = prefix + max(8, int(np.ceil(np.log2(max(2, classes.count())))) - prefix + 4)
+    classes = cut(marked.groupBy("digest").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in (*bits, "size", "sketch")]))
+    values = classes.select(F.col("first.row").alias("node"), *bits, "size")
+    log_n = int(np.ceil(np.log2(max(2, classes.count()))))
+    levels = min(BITS, prefix + max(8, log_n - prefix + 4))
     orders = [np.random.default_rng([seed, t]).permutation(WIDE * BITS)[:BITS] for t in range(tables)]
 
-    def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        blocks = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
+        spelled = np.unpackbits(blocks.astype(">u8").view(np.uint8).reshape(-1, WIDE * 8), axis=1)
+        for t, bit in enumerate(orders):
+            key = np.ascontiguousarray(np.packbits(spelled[:, bit], axis=1)).view(">u8").ravel().astype(np.uint64)
+            yield t, key, (key >> np.uint64(BITS - prefix)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)
-            spelled = np.unpackbits(blocks.astype(">u8").view(np.uint8).reshape(-1, WIDE * 8), axis=1)
-            for t, bit in enumerate(orders):
-                key = np.ascontiguousarray(np.packbits(spelled[:, bit], axis=1)).view(">u8").ravel().astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([
-                    *batch.columns, pa.array(np.full(len(key), t, np.int32)), pa.array((key >> np.uint64(BITS - prefix)).astype(np.int32)),
-                    pa.array(key.view(np.int64))], names=["node", *bits, "t", "bucket", "key"])
+            for t, _, bucket in keys(batch):
+                name, n = np.unique(bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), t, np.int32)), pa.array(name), pa.array(n)], names=["t", "bucket", "n"])
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.iloc[np.argsort(group.key.to_numpy().view(np.uint64), kind="stable")]
-        node = group["node"].to_numpy()
-        key, *blocks = (group[c].to_numpy().view(np.uint64) for c in ("key", *bits))
-        found = [(np.empty(0, np.int64),) * 2 + (np.empty(0, np.int16),)]
-        for at in range(0, len(key), 4_096):  # a dense cluster is worked off in slices
-            i, j = trie_pairs(key[at:at + 4_096], key, budget, 0, levels)
-            i = i + at
-            i, j = i[i < j], j[i < j]
+    large = values.mapInArrow(count, "t int, bucket long, n long").groupBy("t", "bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > bucket_rows)
+    parts = {(r.t, r.bucket): -(-r.n // bucket_rows) for r in large.collect()}  # at most one for each bucket_rows rows of an order
+
+    def reorder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = _again(batch.column(0).to_numpy().view(np.uint64))
+            for t, key, bucket in keys(batch):
+                n = np.array([parts.get((t, x), 1) for x in bucket.tolist()], np.int64)
+                at = np.repeat(np.arange(len(n)), n)  # a row meets every block of its bucket
+                mine = (block % n.astype(np.uint64)).astype(np.int64)[at]
+                other = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                out = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [*out.columns, pa.array(np.full(len(at), t, np.int32)), pa.array(bucket[at]), pa.array(np.minimum(mine, other)),
+                     pa.array(np.maximum(mine, other)), pa.array(mine), pa.array(key[at].view(np.int64))],
+                    names=["node", *bits, "size", "t", "bucket", "u", "v", "block", "key"])
+
+    def candidates(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Slices of (i, j, far): numbers of rows of the group, sorted by key, and the bits in which they differ."""
+        key, size, *blocks = (group[c].to_numpy().view(np.uint64) if c != "size" else group[c].to_numpy() for c in ("key", "size", *bits))
+        label = group["label"].to_numpy() if "label" in group else np.arange(len(group))
+        inside = group.u.iloc[0] == group.v.iloc[0]
+        left = np.flatnonzero((group.block == group.u).to_numpy())
+        right = left if inside else np.flatnonzero((group.block == group.v).to_numpy())
+        for at in range(0, len(left) if len(right) else 0, 512):  # a dense cluster is worked off in slices
+            i, j = trie_pairs(key[left[at:at + 512]], key[right], budget, 0, levels)
+            i, j = left[i + at], right[j]
+            live = (label[i] != label[j]) & ((i < j) | (not inside))
+            i, j = i[live], j[live]
+            # a similarity of so much is out of reach for sets whose sizes differ more
+            live = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+            i, j = i[live], j[live]
             far = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in blocks)
             near = far <= spread * WIDE * BITS
-            i, j, far = i[near], j[near], far[near]
-            best = np.union1d(_closest_forest(i, j, far, len(key)), _closest_each(i, j, far, partners))
-            found.append((i[best], j[best], far[best]))
-        i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
-        best = _closest_forest(i, j, far, len(key))
-        best = np.union1d(best, _closest_each(i, j, far, partners))
-        return pd.DataFrame({"a": np.minimum(node[i[best]], node[j[best]]), "b": np.maximum(node[i[best]], node[j[best]])})
+            yield i[near], j[near], far[near]
 
-    spread_out = values.mapInArrow(reorder, "node long, " + ", ".join(f"{b} long" for b in bits) + ", t int, bucket int, key long")
-    links = cut(spread_out.groupBy("t", "bucket").applyInPandas(walk, "a long, b long").distinct())
+    def joined(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2 + (np.empty(0, np.int16),), *found, strict=True))
+
+    def by_key(group: pd.DataFrame) -> pd.DataFrame:
+        return group.iloc[np.argsort(group.key.to_numpy().view(np.uint64), kind="stable")]
+
+    def ends(group: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
+        node = group["node"].to_numpy()
+        return {"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])}
+
+    def first_walk(group: pd.DataFrame) -> pd.DataFrame:
+        """Links of a closest spanning forest (kind 0) and the other candidates (1), or the task's name (2) if they are many."""
+        group = by_key(group)
+        forest, rest, n = [], [], 0
+        for i, j, far in candidates(group):
+            best = _closest_forest(i, j, far, len(group))
+            forest.append((i[best], j[best], far[best]))
+            n += len(i)
+            rest = [*rest, (i, j, far)] if n <= 8 * len(group) else []
+        i, j, far = joined(forest)
+        best = _closest_forest(i, j, far, len(group))
+        out = [pd.DataFrame({"kind": 0} | ends(group, i[best], j[best]))]
+        if n > 8 * len(group):
+            out.append(pd.DataFrame({"kind": 2, **{c: group[c].iloc[:1].to_numpy() for c in ("t", "bucket", "u", "v")}}))
+        elif n:
+            i, j, _ = joined(rest)
+            out.append(pd.DataFrame({"kind": 1} | ends(group, i, j)))
+        return pd.concat(out).reindex(columns=["kind", "a", "b", "t", "bucket", "u", "v"]).astype("Int64")
+
+    def next_walk(most: int | None):
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            group = by_key(group)
+            found = []
+            for i, j, far in candidates(group):
+                best = _closest_each(i, j, far, most) if most else np.arange(len(i))
+                found.append((i[best], j[best], far[best]))
+            i, j, far = joined(found)
+            best = _closest_each(i, j, far, most) if most else np.arange(len(i))
+            return pd.DataFrame(ends(group, i[best], j[best]))
+        return run
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = [_jaccard(x.as_py(), y.as_py(), words) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            may = [_may_match(*row, similarity) for row in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(may, pa.bool_()))
+
     texts = kept.select("row", "text")
-    pairs = links.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    roots = components(pairs.mapInArrow(verify, "a long, b long"))
-    rooted = classes.join(roots, F.col("first.row") == F.col("node"), "left").select(
-        *bits, "first", F.coalesce("root", "first.row").alias("root"))
+    sketches = classes.select(F.col("first.row").alias("node"), "size", "sketch")
+
+    def both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        name, *rest = of.columns
+        for side in ("a", "b"):
+            pairs = pairs.join(of.select(F.col(name).alias(side), *[F.col(c).alias(f"{c}_{side}") for c in rest]), side)
+        return pairs.select("a", "b", *columns)
+
+    def verified(links: DataFrame) -> DataFrame:
+        likely = cut(both(links.select("a", "b").distinct(), sketches, "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(prune, "a long, b long"))
+        return cut(both(likely, texts, "text_a", "text_b").mapInArrow(verify, "a long, b long"))
+
+    dealt = values.mapInArrow(
+        reorder, "node long, " + ", ".join(f"{b} long" for b in bits) + ", size long, t int, bucket long, u long, v long, block long, key long")
+    task = ["t", "bucket", "u", "v"]
+    found = cut(dealt.groupBy(*task).applyInPandas(first_walk, "kind long, a long, b long, t int, bucket long, u long, v long"))
+    links = verified(found.filter("kind = 0"))
+    roots = components(links)
+
+    def between(pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different groups so far."""
+        labels = roots.withColumnRenamed("node", "of")
+        for side in ("a", "b"):
+            pairs = pairs.join(labels.select(F.col("of").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+    more = verified(between(found.filter("kind = 1").select("a", "b").distinct()))
+    links = links.union(more)
+    roots = components(links)
+    crowded = found.filter("kind = 2").select(*task)  # a row for each task
+    for most in () if crowded.isEmpty() else (8, None):
+        labelled = dealt.join(F.broadcast(crowded), task, "left_semi").join(roots, "node", "left")
+        labelled = labelled.withColumn("label", F.coalesce("root", "node")).drop("root")
+        links = links.union(verified(labelled.groupBy(*task).applyInPandas(next_walk(most), "a long, b long")))
+        roots = components(links)
+    rooted = classes.join(roots, F.col("first.row") == F.col("node"), "left").select("digest", "first", F.coalesce("root", "first.row").alias("root"))
     best = rooted.groupBy("root").agg(F.min("first").alias("first")).select("root", F.col("first.row").alias("least"))
-    named = rooted.select(*bits, "root").join(best, "root")
-    return marked.select("row", *bits).join(named, bits).select("row", "root", "least")
+    named = rooted.select("digest", "root").join(best, "root")
+    return marked.select("row", "digest").join(named, "digest").select("row", "root", "least")
 
 
 def without_copies(docs: DataFrame, **how) -> DataFrame:

@@ -93,6 +93,38 @@ def test_near_copies_are_found_and_others_stay(spark):
     assert want <= kept and len(kept - want) <= 0.05 * (len(docs) - len(want))  # a link at 0.8 may be missed
 
 
+def kept_by_brute_force(texts):
+    sets = []
+    for text in texts:
+        line, starts, ends = simhash.shingles(text, 5)
+        sets.append({line[x:y] for x, y in zip(starts, ends, strict=True)})
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return {i for i, r in enumerate(root) if r == i}
+
+
+def test_near_copies_within_one_template(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    shared, texts = [word() for _ in range(53)], []
+    for _ in range(800):
+        own = shared + [word() for _ in range(7)]  # 0.78 to all others
+        texts.append(" ".join(own))
+    for n in range(80):
+        text = texts[n].split()
+        for at in (6 + n % 40, 59):  # 0.81 to one of them
+            text[at] = word()
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.without_copies(docs, bucket_rows=100).collect()}
+    want = kept_by_brute_force(texts)
+    assert len(want) < 810 and got == want
+
+
 def test_stages_take_effect(spark, tmp_path):
     tables = "/root/testdata/sf0.001"
     docs = before = table(spark, tables, "documents")
