@@ -256,8 +256,7 @@ def _features(text: str | None, words: int) -> tuple[int, int, bytes, bytes]:
     cells = 1 << min(12, max(6, len(parts).bit_length()))
     counts = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     sketch = np.minimum(counts, 255).astype(np.uint8).tobytes()
-    value = fingerprint(text, words, WIDE)
-    return value, len(parts), value.to_bytes(WIDE * BITS // 8, "big"), sketch
+    return fingerprint(text, words, WIDE), len(parts), xxhash.xxh3_128_digest(b"\n".join(parts)), sketch
 
 
 def _may_match(n_a: int, n_b: int, a: bytes, b: bytes, similarity: float) -> bool:
@@ -284,7 +283,7 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prefix: int
 
     Every candidate is verified on the whole texts unless other verified links join its ends or an exact bound rules it
     out: a closest spanning forest of each task first, then what lies between different groups, closest first.
-    Texts of equal values are one class from the start, so copies of a text cost no pairs.  root names the group,
+    Texts of equal shingle sets are one class from the start, so copies of a text cost no pairs.  root names the group,
     least is its row to keep: the smallest doc_id (NULL last), then the smallest row.
     """
     bits = [f"f{k}" for k in range(WIDE)]

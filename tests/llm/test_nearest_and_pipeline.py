@@ -125,6 +125,19 @@ def test_near_copies_within_one_template(spark):
     assert len(want) < 810 and got == want
 
 
+def some_words(rng, n):
+    return ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+
+
+def test_texts_of_equal_simhash_are_not_copies(spark):
+    texts, rng = [], np.random.default_rng(5)
+    for _ in range(12):
+        line = " ".join(some_words(rng, 11)) + " "
+        texts += [line * 40 + " ".join(some_words(rng, 50)) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.without_copies(docs).collect()} == kept_by_brute_force(texts) == set(range(24))
+
+
 def test_stages_take_effect(spark, tmp_path):
     tables = "/root/testdata/sf0.001"
     docs = before = table(spark, tables, "documents")
