@@ -32,14 +32,19 @@ def shingles(text: str | None, words: int) -> tuple[bytes, np.ndarray, np.ndarra
     return line, starts[:len(parts) - width + 1], ends[max(0, width - 1):]
 
 
-def fingerprint(text: str | None, words: int = 3, wide: int = 1) -> int:
+def fingerprint(text: str | None, words: int = 3, wide: int = 1, distinct: bool = False) -> int:
     """Bit i is 1 if more than half of the shingles' hashes have it; a text without words gives 0.
 
     The first 64 bits come from XXH64; each of ``wide`` - 1 further blocks of 64 bits from multiples of it, hashed again.
+    Repeated shingles count each time, or once if ``distinct``.
     """
     line, starts, ends = shingles(text, words)
     if not len(starts):
         return 0
+    if distinct:
+        last = {line[a:b]: k for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))}
+        keep = np.fromiter(last.values(), np.int64, len(last))
+        starts, ends = starts[keep], ends[keep]
     digest, count = xxhash.xxh64_intdigest, np.zeros(BITS * wide, np.int64)
     for at in range(0, len(starts), _CHUNK):
         spans = zip(starts[at:at + _CHUNK].tolist(), ends[at:at + _CHUNK].tolist(), strict=True)
@@ -256,7 +261,7 @@ def _features(text: str | None, words: int) -> tuple[int, int, bytes, bytes]:
     cells = 1 << min(12, max(6, len(parts).bit_length()))
     counts = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
     sketch = np.minimum(counts, 255).astype(np.uint8).tobytes()
-    return fingerprint(text, words, WIDE), len(parts), xxhash.xxh3_128_digest(b"\n".join(parts)), sketch
+    return fingerprint(text, words, WIDE, True), len(parts), xxhash.xxh3_128_digest(b"\n".join(parts)), sketch
 
 
 def _may_match(n_a: int, n_b: int, a: bytes, b: bytes, similarity: float) -> bool:
@@ -274,7 +279,7 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prefix: int
     """(row, root, least): the group of each row of ``docs`` (row, doc_id, text), row being a unique long.
 
     Two texts belong together if the Jaccard similarity of their sets of ``words``-word shingles is at least
-    ``similarity``.  At 0.8 two SimHash values differ in 15 % of their bits on average, too many for one
+    ``similarity``.  At 0.8 two SimHash values of such sets differ in 15 % of their bits on average, too many for one
     trie walk, so 256-bit values are read in ``tables`` seeded bit orders.  In each order, values that agree in ``prefix`` bits
     share a bucket, whose trie is walked with ``budget`` errors over about log2 of the values'
     number more bits; candidates differ in at most ``spread`` of all 256 bits (at 0.8 the mean and 2.6 deviations).

@@ -138,6 +138,15 @@ def test_texts_of_equal_simhash_are_not_copies(spark):
     assert {r.doc_id for r in simhash.without_copies(docs).collect()} == kept_by_brute_force(texts) == set(range(24))
 
 
+def test_copies_with_repeated_lines(spark):
+    texts, rng = [], np.random.default_rng(6)
+    for _ in range(12):
+        text = some_words(rng, 300)
+        texts += [" ".join(text), " ".join(text[:290] + text[290:] * 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.without_copies(docs).collect()} == kept_by_brute_force(texts) == set(range(0, 24, 2))
+
+
 def test_stages_take_effect(spark, tmp_path):
     tables = "/root/testdata/sf0.001"
     docs = before = table(spark, tables, "documents")
