@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -274,16 +275,36 @@ def _may_match(n_a: int, n_b: int, a: bytes, b: bytes, similarity: float) -> boo
     return shared >= similarity * (n_a + n_b - shared) - 1e-9
 
 
-def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prefix: int = 8, budget: int = 2, spread: float = 0.21,
-           tables: int = 24, bucket_rows: int = 4_000, seed: int = 11) -> DataFrame:
+def tables_for(prefix: int, levels: int, budget: int, similarity: float, spread: float, recall: float) -> int:
+    """Fewest bit orders in which a pair at ``similarity`` is found with a chance of ``recall``.
+
+    Each bit of the pair differs with the chance arccos(cosine) / pi.  An order finds a pair that agrees in the first
+    ``prefix`` of its bits and differs in at most ``budget`` of the first ``levels``.
+    """
+    bits = WIDE * BITS
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    far = range(int(spread * bits) + 1)
+    chance = np.array([math.comb(bits, d) * differ ** d * (1 - differ) ** (bits - d) for d in far])
+    met = np.array([sum(math.comb(levels - prefix, e) * math.comb(bits - levels, d - e) for e in range(min(budget, d) + 1))
+                    / math.comb(bits, d) for d in far])
+    if chance.sum() <= recall:
+        raise ValueError("spread is too small for the recall")
+    tables = 1
+    while (chance * (1 - (1 - met) ** tables)).sum() < recall:
+        tables += 1
+    return tables
+
+
+def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prefix: int = 8, budget: int = 2, spread: float = 0.28,
+           recall: float = 0.99, bucket_rows: int = 4_000, seed: int = 11) -> DataFrame:
     """(row, root, least): the group of each row of ``docs`` (row, doc_id, text), row being a unique long.
 
     Two texts belong together if the Jaccard similarity of their sets of ``words``-word shingles is at least
     ``similarity``.  At 0.8 two SimHash values of such sets differ in 15 % of their bits on average, too many for one
-    trie walk, so 256-bit values are read in ``tables`` seeded bit orders.  In each order, values that agree in ``prefix`` bits
-    share a bucket, whose trie is walked with ``budget`` errors over about log2 of the values'
-    number more bits; candidates differ in at most ``spread`` of all 256 bits (at 0.8 the mean and 2.6 deviations).
-    Buckets of
+    trie walk, so 256-bit values are read in seeded bit orders.  In each order, values that agree in ``prefix`` bits
+    (more in large tables) share a bucket, whose trie is walked with ``budget`` errors over about log2 of the values'
+    number more bits; candidates differ in at most ``spread`` of all 256 bits (at 0.8 the mean and over 4 deviations).
+    The number of orders grows with the levels, so that a pair at 0.8 is found with a chance of ``recall``.  Buckets of
     more than ``bucket_rows`` values are dealt out by pairs of blocks.
 
     Every candidate is verified on the whole texts unless other verified links join its ends or an exact bound rules it
@@ -310,8 +331,10 @@ def copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, prefix: int
     classes = cut(marked.groupBy("digest").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in (*bits, "size", "sketch")]))
     values = classes.select(F.col("first.row").alias("node"), *bits, "size")
     log_n = int(np.ceil(np.log2(max(2, classes.count()))))
+    prefix = min(BITS // 2, max(prefix, log_n - 10))
     levels = min(BITS, prefix + max(8, log_n - prefix + 4))
-    orders = [np.random.default_rng([seed, t]).permutation(WIDE * BITS)[:BITS] for t in range(tables)]
+    orders = [np.random.default_rng([seed, t]).permutation(WIDE * BITS)[:BITS]
+              for t in range(tables_for(prefix, levels, budget, similarity, spread, recall))]
 
     def keys(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         blocks = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(WIDE)], axis=1)

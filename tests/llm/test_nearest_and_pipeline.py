@@ -147,6 +147,20 @@ def test_copies_with_repeated_lines(spark):
     assert {r.doc_id for r in simhash.without_copies(docs).collect()} == kept_by_brute_force(texts) == set(range(0, 24, 2))
 
 
+@pytest.mark.parametrize("log_n", [10, 14, 17, 20, 24])
+def test_orders_suffice_for_the_recall(log_n):
+    prefix = max(8, log_n - 10)
+    levels = prefix + max(8, log_n - prefix + 4)
+    tables = simhash.tables_for(prefix, levels, 2, 0.8, 0.28, 0.99)
+    spots = np.array([np.random.default_rng([11, t]).permutation(256)[:levels] for t in range(tables)])
+    rng, found = np.random.default_rng(log_n), 0
+    for _ in range(2_000):
+        differs = rng.random(256) < np.arccos(2 * 0.8 / 1.8) / np.pi
+        read = differs[spots]
+        found += differs.sum() <= 0.28 * 256 and bool((~read[:, :prefix].any(axis=1) & (read.sum(axis=1) <= 2)).any())
+    assert found / 2_000 >= 0.98
+
+
 def test_stages_take_effect(spark, tmp_path):
     tables = "/root/testdata/sf0.001"
     docs = before = table(spark, tables, "documents")
