@@ -4,6 +4,9 @@ Each ordering projects the vectors to a few seeded random directions, shifts the
 with a range partitioning.  A query is compared exactly with all vectors within a window of ranks around its own place,
 and the windows of all orderings are merged.  Equal vectors are one class, so a vector that a third of the rows share is
 one point of the curves; its ids come back at the end.
+
+Vectors are dealt to bands of norms, powers of two around the median, each with its own curves: one long vector does not
+squeeze the others into a few cells.  A query searches every band; bands of at most one chunk are searched as a whole.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +30,7 @@ class Curves:
     orderings: int = 16
     axes: int = 10  # directions of an ordering
     bits: int = 6  # of a coordinate; axes x bits is at most 62
-    window: float = 0.04  # share of all points that a query looks at to either side of its place
+    window: float = 0.04  # share of a band's points that a query looks at to either side of its place
     chunk: int = 1_024  # points that meet queries in one task
     queries: int = 4_096  # most queries that meet a chunk in one task, on average
     seed: int = 5
@@ -109,10 +113,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, how: Curves | Non
     classes = cut(firsts.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
                   .join(rows.groupBy("v").agg(F.max("asks").alias("asks")), "v")
                   .select(F.element_at("ids", 1).alias("rep"), "v", "ids", "asks"))
-    stats = classes.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), F.sum(F.col("asks").cast("long"))).first()
-    points, longest, queries = int(stats[0]), float(stats[1]), int(stats[2] or 0)
-    if not queries:
+    if classes.filter("asks").isEmpty():
         return spark.createDataFrame([], empty)
+    norms = classes.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    middle = F.lit(norms.agg(F.percentile_approx("norm", 0.5)).first()[0])
+    norms = norms.withColumn("band", F.floor(F.log2(F.col("norm") / middle) + 0.5).cast("int"))
+    # a row per power of two
+    bands = {r.band: (r.n, r.longest) for r in norms.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}
+    curves = {b: how.orderings if n > how.chunk else 1 for b, (n, _) in bands.items()}
+    reach = {b: max(1, math.ceil(how.window * n / how.chunk)) for b, (n, _) in bands.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,32 +129,61 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, how: Curves | Non
                 continue
             v = np.stack(batch.column(1).to_numpy(zero_copy_only=False))
             ask = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for query in (False, True):
-                mine = ask if query else np.ones(len(v), bool)
-                if mine.any():
-                    unit = lifted(v[mine], longest, query)
-                    part = batch.select([0, 1]).filter(pa.array(mine))
-                    for c in range(how.orderings):
-                        keys = ordering_keys(unit, c, how)
-                        yield pa.RecordBatch.from_arrays([
-                            *part.columns, pa.array(np.full(len(keys), query)), pa.array(np.full(len(keys), c, np.int32)), pa.array(keys)],
-                            names=["rep", "v", "query", "curve", "key"])
-
-    keyed = classes.select("rep", "v", "asks").mapInArrow(place, "rep long, v array<double>, query boolean, curve int, key long")
-    along = cut(keyed.repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep", "query"))
-    along = along.withColumn("mid", F.monotonically_increasing_id()).withColumn("part", F.shiftright("mid", 33))
-    parts = along.groupBy("curve", "part").agg(F.min("mid").alias("first"), F.count("*").alias("n"))  # a row per ordering and partition
-    before = F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")
-    ranked = along.join(parts.select("curve", "part", "first", before.alias("before")), ["curve", "part"])
-    ranked = ranked.withColumn("chunk", ((F.col("before") + F.col("mid") - F.col("first")) / how.chunk).cast("long"))
-    reach = max(1, math.ceil(how.window * (points + queries) / how.chunk))
-    blocks = max(1, math.ceil((2 * reach + 1) * how.chunk * queries / (points + queries) / how.queries))
-    block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
-    candidates = ranked.filter(~F.col("query")).select(
-        F.col("curve").alias("on"), F.col("chunk").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("for"),
-        F.col("rep").alias("near"), F.col("v").alias("w"))
-    asking = ranked.filter("query").select(
-        "curve", F.explode(F.sequence(F.col("chunk") - reach, F.col("chunk") + reach)).alias("chunk"), block.alias("block"), "rep", "v")
+            own = batch.column(3).to_numpy()
+
+            def rows(mine: np.ndarray, query: bool, band: int, c: int, keys: np.ndarray, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                n = len(keys)
+                return pa.RecordBatch.from_arrays([
+                    *batch.select([0, 1]).filter(pa.array(mine)).columns, pa.array(np.full(n, query)), pa.array(np.full(n, band, np.int32)),
+                    pa.array(np.full(n, c, np.int32)), pa.array(keys)], names=["rep", "v", "query", "band", "curve", "key"])
+
+            for band in np.unique(own).tolist():
+                unit = lifted(v[own == band], bands[band][1], False)
+                for c in range(curves[band]):
+                    yield rows(own == band, False, band, c, ordering_keys(unit, c, how))
+            if ask.any():
+                unit = lifted(v[ask], 1.0, True)
+                for c in range(max(curves.values())):
+                    keys = ordering_keys(unit, c, how)
+                    for band in bands:
+                        if c < curves[band]:
+                            yield rows(ask, True, band, c, keys)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the partition and the number of points before the row in its ordering and partition."""
+        part, last, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name = batch.column(3).to_numpy().astype(np.int64) * how.orderings + batch.column(4).to_numpy()
+            point = (~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)).astype(np.int64)
+            before = np.cumsum(point) - point
+            first = np.maximum.accumulate(np.where(np.append(True, name[1:] != name[:-1]), np.arange(len(name)), 0))
+            before = before - before[first] + np.where((first == 0) & (name[0] == last), n, 0)
+            last, n = name[-1], before[-1] + point[-1]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(name), part, np.int32)), pa.array(before)], names=[*batch.schema.names, "part", "inner"])
+
+    shape = "rep long, v array<double>, query boolean, band int, curve int, key long"
+    line = ["band", "curve"]
+    keyed = norms.select("rep", "v", "asks", "band").mapInArrow(place, shape)
+    along = keyed.repartitionByRange(*line, "key", "rep").sortWithinPartitions(*line, "key", "rep", "query")
+    along = cut(along.mapInArrow(number, shape + ", part int, inner long"))
+    parts = along.groupBy(*line, "part").agg(F.count_if(~F.col("query")).alias("n"))  # a row per ordering and partition
+    before = F.sum("n").over(Window.partitionBy(*line).orderBy("part")) - F.col("n")
+    ranked = along.join(parts.select(*line, "part", before.alias("before")), [*line, "part"])
+    ranked = ranked.withColumn("chunk", ((F.col("before") + F.col("inner")) / how.chunk).cast("long"))
+    wide = F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in reach.items() for x in pair]), F.col("band").cast("long"))
+    last = F.element_at(F.create_map(*[F.lit(x).cast("long") for b, (n, _) in bands.items() for x in (b, (n - 1) // how.chunk)]), F.col("band").cast("long"))
+    around = F.explode(F.sequence(F.greatest(F.lit(0), F.least("chunk", last) - wide), F.least(F.col("chunk") + wide, last))).alias("chunk")
+    # queries may crowd about few points of another band, so each chunk is copied for as many blocks as its queries need
+    loads = cut(ranked.filter("query").select(*line, around).groupBy(*line, "chunk").agg(
+        F.ceil(F.count("*") / how.queries).cast("int").alias("blocks")))
+    candidates = ranked.filter(~F.col("query")).join(loads, [*line, "chunk"]).select(
+        F.col("band").alias("of"), F.col("curve").alias("on"), F.col("chunk").alias("at"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("for"), F.col("rep").alias("near"), F.col("v").alias("w"))
+    asking = ranked.filter("query").select(*line, around, "rep", "v").join(loads, [*line, "chunk"]).withColumn(
+        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -164,7 +202,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, how: Curves | Non
             out.append(pd.DataFrame({"query": names[at:at + 1_024][q], "rep": ids[c], "score": score[q, c]}))
         return pd.concat(out)
 
-    pairs = asking.groupBy("curve", "chunk", "block").cogroup(candidates.groupBy("on", "at", "for")).applyInPandas(
+    pairs = asking.groupBy(*line, "chunk", "block").cogroup(candidates.groupBy("of", "on", "at", "for")).applyInPandas(
         rerank, "query long, rep long, score double")
     merged = pairs.groupBy("query", "rep").agg(F.max("score").alias("score"))  # rounding may differ between windows
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")

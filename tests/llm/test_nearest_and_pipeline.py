@@ -49,6 +49,24 @@ def test_recall_of_curves(spark):
     assert np.mean([len(got[q] & {i for i, _ in w}) / 20 for q, w in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("norms", ["outlier", "heavy"])
+def test_recall_with_uneven_norms(spark, norms):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((4_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if norms == "outlier":
+        x[7] *= 100
+    else:
+        x *= 1 + rng.pareto(1.5, 4_000)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in hilbert.nearest(df, F.col("vec_id") % 20 == 0, how=hilbert.Curves(chunk=32)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = dict(exact(rows, range(0, 4_000, 20), 20))
+    assert np.mean([len(got[q] & {i for i, _ in w}) / 20 for q, w in want.items()]) >= 0.9
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [nan, 1.0]),
