@@ -32,6 +32,14 @@ NOISE = frozenset((
     "cookies disclaimer disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices overlay "
     "pagination popup promo promoted promotion related reply replies respond share sharing sidebar social sponsor sponsored subscribe "
     "subscription toolbar widget widgets alert complementary contentinfo search toc").split())
+# Words beside them that do not change what a name stands for.
+NEUTRAL = frozenset((
+    "left right top bottom inner outer primary secondary list box area bar block section container wrapper item items link links "
+    "button buttons icon icons content inline form").split())
+# Never boilerplate by their own name.
+PLAIN = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
+TALK = frozenset("comment comments commentlist disqus reply replies respond".split())  # may be longer than what it is about
+LEAST = 200  # characters outside of links that make a run of an unmarked page a part of its text
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S)
@@ -40,34 +48,77 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|di
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _noise(attributes: str) -> bool:
-    if not attributes.strip():
-        return False
-    if _HIDDEN.search(re.sub(r"""(class|id|href|src|title|alt|content)\s*=\s*("[^"]*"|'[^']*')""", "", attributes, flags=re.I)):
-        return True
+def _hidden(attributes: str) -> bool:
+    return bool(_HIDDEN.search(re.sub(r"""(class|id|href|src|title|alt|content)\s*=\s*("[^"]*"|'[^']*')""", "", attributes, flags=re.I)))
+
+
+def _named(attributes: str) -> set[str]:
+    """The words of NOISE in class, id and role, of names that hold no other words."""
+    out = set()
     for m in _NAMED.finditer(attributes):
-        if any(w.lower() in NOISE for w in _WORD.findall(m[2] or m[3] or m[4] or "")):
-            return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = {w.lower() for w in _WORD.findall(name)}
+            if words <= NOISE | NEUTRAL:
+                out |= words & NOISE
+    return out
+
+
+def _blocks(page: str) -> list[tuple[str, bool, bool, int]]:
+    """Like ``lines``, and the characters of each block that are in links.
+
+    Wrappers that hold over three quarters of the page's text, and look like boilerplate by their names only, are spared.
+    """
+    spared: frozenset[int] = frozenset()
+    while True:
+        out, suspects, total = _walk(page, spared)
+        more = spared | {at for at, (size, top, talk) in suspects.items() if 4 * size > 3 * total and (top or not talk)}
+        if more == spared:
+            return out
+        spared = frozenset(more)
 
 
 def lines(page: str) -> list[tuple[str, bool, bool]]:
     """The page's blocks in order: (text, is boilerplate, lies in an article).  Boilerplate blocks have no text."""
-    out: list[tuple[str, bool, bool]] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # (name, boilerplate from here on, article from here on)
+    return [row[:3] for row in _blocks(page)]
+
+
+def _walk(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool, bool, int]], dict[int, list], int]:
+    """(blocks, {place: [characters, has main or h1, talk]} of elements that look like boilerplate by name, all characters)."""
+    out: list[tuple[str, bool, bool, int]] = []
+    open_tags: list[tuple[str, bool, bool, int]] = []  # (name, boilerplate from here on, article from here on, place)
+    suspects: dict[int, list] = {}
+    total = linked = 0
     text: list[str] = []
 
+    def suspect(name: str, attributes: str, at: int) -> bool:
+        """Whether the element is boilerplate by itself."""
+        if _hidden(attributes) or (name in DROPPED and name != "form"):
+            return True
+        words = set() if name in PLAIN else _named(attributes)
+        if at in spared or not (words or name == "form"):
+            return False
+        suspects.setdefault(at, [0, False, bool(words & TALK)])
+        return True
+
     def close() -> None:
+        nonlocal total, linked
         noise, inside = (open_tags[-1][1], open_tags[-1][2]) if open_tags else (False, False)
         block = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if block:
-            out.append(("" if noise else block, noise, inside))
+            out.append(("" if noise else block, noise, inside, 0 if noise else min(linked, len(block))))
+            total += len(block)
+            for tag in open_tags:
+                if tag[3] in suspects:
+                    suspects[tag[3]][0] += len(block)
+        linked = 0
 
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         text.append(page[at:m.start()] if m else page[at:])
+        if any(t[0] == "a" for t in open_tags[-4:]):
+            linked += len(text[-1])
         if not m:
             break
         at, name = m.end(), (m[2] or "").lower()
@@ -93,8 +144,13 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if name == "br":
             text.append(" ")
             continue
-        above = open_tags[-1] if open_tags else ("", False, False)
-        noise = above[1] or name in DROPPED or _noise(m[3])
+        above = open_tags[-1] if open_tags else ("", False, False, -1)
+        own = suspect(name, m[3], m.start())
+        noise = above[1] or own
+        if name in ("main", "h1"):
+            for tag in open_tags:
+                if tag[3] in suspects:
+                    suspects[tag[3]][1] = True
         if name in BLOCKS or noise != above[1]:
             close()
         if name in VOID or m[3].rstrip().endswith("/"):
@@ -103,11 +159,11 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             k = max(i for i, t in enumerate(open_tags) if t[0] == "p")
             if all(t[0] not in BLOCKS for t in open_tags[k + 1:]):
                 del open_tags[k:]
-                above = open_tags[-1] if open_tags else ("", False, False)
-                noise = above[1] or _noise(m[3])
-        open_tags.append((name, noise, above[2] or (name in CONTENT and not noise)))
+                above = open_tags[-1] if open_tags else ("", False, False, -1)
+                noise = above[1] or own
+        open_tags.append((name, noise, above[2] or (name in CONTENT and not noise), m.start()))
     close()
-    return out
+    return out, suspects, total
 
 
 def main_text(page: str | None, window: int = WINDOW) -> str:
@@ -115,11 +171,12 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
 
     Lengths count for lines of text that are not boilerplate, and if the page marks an article, for lines in it.  The sum
     over ``window`` lines to either side surges where it leaves zero and dives where it is back at zero; what lies between
-    is one run.  In a marked article all runs are main text, else the run with most text is; of equal ones the first.
+    is one run.  In a marked article all runs are main text, else the run with most text is, of equal ones the first, and all others
+    with ``LEAST`` characters outside of links and fewer in them.
     """
-    rows = lines(page or "")
-    marked = any(inside and block for block, _, inside in rows)
-    size = [len(block) if inside or not marked else 0 for block, _, inside in rows]
+    rows = _blocks(page or "")
+    marked = any(inside and block for block, _, inside, _ in rows)
+    size = [len(block) if inside or not marked else 0 for block, _, inside, _ in rows]
     runs, n = [], len(size)
     total = [0]
     for s in size:
@@ -136,7 +193,13 @@ def main_text(page: str | None, window: int = WINDOW) -> str:
             i += 1
     if not runs:
         return ""
-    chosen = sorted(runs, key=lambda r: -r[1]) if marked else [max(runs)]
+    if not marked:
+        def plain(run: tuple[int, int, int]) -> bool:
+            links = sum(rows[k][3] for k in range(-run[1], run[2]))
+            return run[0] - links >= max(LEAST, links)
+
+        runs = [r for r in runs if r == max(runs) or plain(r)]
+    chosen = sorted(runs, key=lambda r: -r[1])
     return "\n\n".join(rows[k][0] for _, surge, dive in chosen for k in range(-surge, dive) if size[k])
 
 

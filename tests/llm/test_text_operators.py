@@ -420,6 +420,18 @@ def test_hand_made_pages(page, want):
     assert extract.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body class='has-sidebar'><p>one</p><div class='sidebar'>no</div></body>", "one"), ("<body class=sidebar><p>one</body>", "one"),
+    ("<article class='post comments-open'><h2 id=related-work>R</h2><p>a</p><h3 id=search>S</h3></article>", "R\n\na\n\nS"),
+    ("<body><form><nav>n</nav><h1>T</h1><p>body of the page</p></form></body>", "T\n\nbody of the page"),
+    ("<div class=widget><p>all of the text</p></div><p>x</p>", "all of the text\n\nx"),
+    ("<p>" + "a " * 200 + "</p>" + "<div class=ad>buy</div>" * 9 + "<p>" + "b " * 150 + "</p>" + "<div class=ad>buy</div>" * 9 + "<p><a>" + "c " * 150 + "</a>",
+     ("a " * 200).strip() + "\n\n" + ("b " * 150).strip()),
+])
+def test_pages_whose_names_mislead(page, want):
+    assert extract.main_text(page) == want
+
+
 def test_pages_with_clashing_columns(spark):
     pages = spark.createDataFrame([(1, None, "old"), (None, "<p>x", "old"), (1, None, "old")], "page_id long, html string, text string")
     assert sorted(r.text for r in extract.extracted(pages).collect()) == ["", "", "x"]
