@@ -9,7 +9,7 @@ same places of the walk from windows and items gives bucket keys; every pair tha
 verified by a dynamic program over the whole item.
 
 Before the walk, an exact bound leaves out windows that cannot match: a run within k word edits of an item of n words
-shares at least n - 2 - 3k word triples with it.
+shares at least n - 2 - 3k word triples with it.  Where that is 0, every window goes on.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ class Items:
                 tables.append((keys[order], mine[order]))
             known = np.unique(np.concatenate([self.triples(self.rows[k]) for k in mine]))
             reach = int((self.sizes + self.budget)[mine].max())
-            needed = max(1, int((self.sizes - 2 - 3 * self.budget)[mine].min()))
+            needed = int((self.sizes - 2 - 3 * self.budget)[mine].min())
             self.plans[int(c)] = (known, reach, needed, places, tables)
 
     def triples(self, codes: np.ndarray) -> np.ndarray:
@@ -98,10 +98,13 @@ class Items:
         t = self.triples(codes)
         at_hit = np.flatnonzero(t)
         for known, reach, needed, places, tables in self.plans.values():
-            hit = np.zeros(len(codes) + 1, np.int64)
-            hit[at_hit[np.isin(t[at_hit], known)] + 1] = 1
-            seen = np.cumsum(hit)
-            first = np.flatnonzero(seen[np.minimum(np.arange(len(codes)) + reach, ends)] - seen[:-1] >= needed)
+            if needed > 0:
+                hit = np.zeros(len(codes) + 1, np.int64)
+                hit[at_hit[np.isin(t[at_hit], known)] + 1] = 1
+                seen = np.cumsum(hit)
+                first = np.flatnonzero(seen[np.minimum(np.arange(len(codes)) + reach, ends)] - seen[:-1] >= needed)
+            else:  # a match may share no triple
+                first = np.arange(len(codes))
             found = []
             for at in range(0, len(first), 1 << 18):
                 starts = first[at:at + (1 << 18)]

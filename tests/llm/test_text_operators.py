@@ -143,6 +143,11 @@ def test_benchmark_in_documents(spark, documents):
     assert {(i, k) for i, t in documents.items() for k, p in items.items() if p in t} <= got
 
 
+def test_five_words_with_the_middle_one_replaced():
+    items = decontaminate.Items([(1, "alpha beta gamma delta omega")], decontaminate.Lsh())
+    assert [m[:3] for m in items.matches(["x y alpha beta other delta omega z"])] == [(0, 0, 1)]
+
+
 def test_odd_items_and_documents(spark, odd, none):
     benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (4, "same words here again"), (4, "same words here again"), (None, "same words here")],
                                       "item_id long, text string")
