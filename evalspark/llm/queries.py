@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, hilbert, quality, repeats, secret_spans, segment, simhash, token_files, toxicity
+from . import decontaminate, extract, hilbert, quality, repeats, runs, secret_spans, segment, simhash, token_files, toxicity
 from .common import fold, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,35 @@ def op7_repeats_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _planted(text: Column, doc_id: Column) -> Column:
+    """Of texts whose id's crc32 ends in 0, the words from some place on become periodic; words then have one blank between."""
+    crc = F.crc32(doc_id.cast("string").cast("binary"))
+    part = F.floor(crc / 10).cast("long")
+    words = F.regexp_extract_all(text, F.lit(runs.WORD), F.lit(0))
+
+    def periodic(x: Column) -> Column:
+        n = F.size(x["words"])
+        first = (part % n).cast("int")
+        period = (1 + F.floor((n - first) / (3 + part % 8))).cast("int")
+        return F.array_join(F.transform(x["words"], lambda w, i: F.when(i < first, w).otherwise(
+            F.get(x["words"], first + (i - first) % period))), " ")
+
+    bound = F.transform(F.array(F.struct(words.alias("words"))), lambda x: F.when(F.size(x["words"]) > 0, periodic(x)).otherwise(""))
+    return F.when(crc % 10 == 0, F.get(bound, F.lit(0))).otherwise(text)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", _planted(F.col("text"), F.col("doc_id")).alias("text"))
+    longer = lambda a, b: b["length"] * a["period"] - a["length"] * b["period"]
+    order = lambda a, b: F.when(longer(a, b) != 0, F.signum(longer(a, b))).when(
+        a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["period"] - b["period"])).cast("int")
+    found = runs.with_runs(docs).withColumn("best", F.get(F.array_sort("runs", order), F.lit(0)))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    every = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(every, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
