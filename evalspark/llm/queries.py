@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, hilbert, quality, repeats, runs, secret_spans, segment, simhash, token_files, toxicity
+from . import (
+    conversation, decontaminate, extract, hilbert, oracles, quality, repeats, runs, secret_spans, segment, simhash, token_files, toxicity)
 from .common import fold, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_conversation_repair": oracles.CONVERSATIONS}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -128,3 +129,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(every, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", said("role").alias("role"), said("text").alias("text"),
+        (F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20).alias("damage"))
+    rows = rows.withColumns({
+        "role": F.when(F.col("damage") == 4, "user").otherwise(F.col("role")),
+        "text": F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")),
+        "copy": F.explode(F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))})
+    pieces = conversation.repair(rows, present=F.col("damage") != 0)
+    return conversation.reports(pieces).withColumnRenamed("conv", "conv_id")
