@@ -65,3 +65,47 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN walk ON walk.conv_id IS NOT DISTINCT FROM o.conv_id AND walk.pos = 0"""
+
+
+_FIT = "host = '{0}' OR ends_with(host, '.{0}')"
+_BY_RULE = f"""CASE WHEN ({_FIT.format("example.net")}) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN ({_FIT.format("example.com")}) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN ({_FIT.format("org")}) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN ({_FIT.format("net")}) AND starts_with(path, '/') THEN 'net/' END"""
+_ORDER, _ALPHABET = 4, 256
+
+
+def _level(size: int) -> str:
+    """Probabilities of the last characters of strings of one length, from those of the next shorter ones."""
+    def blended(m: str) -> str:
+        shorter = f"l.p_{m}" if size > 1 else str(1 / _ALPHABET)
+        return f"CASE WHEN c.all_{m} > 0 THEN (c.n_{m} + c.kinds_{m} * {shorter}) / (c.all_{m} + c.kinds_{m}) ELSE {shorter} END AS p_{m}"
+
+    join = f"JOIN level{size - 1} l ON l.s = right(c.s, {size - 1})" if size > 1 else ""
+    return (f"level{size} AS (SELECT c.s, c.uses, " + ", ".join(map(blended, ("aa", "ra", "af", "rf")))
+            + f" FROM counts c {join} WHERE c.size = {size})")
+
+
+URLS = f"""WITH split AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN url[position('://' IN url) + 3 :] END AS rest FROM pages),
+named AS (SELECT page_id, url, rest, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM split),
+ruled AS (SELECT page_id, host, path, coalesce(host || regexp_extract(rest, '(?s)^[^/?#]*(.*)\\z', 1), url, '') AS text, {_BY_RULE} AS rule FROM named),
+labelled AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS label FROM ruled),
+texts AS (SELECT DISTINCT text, label, label IS NOT NULL AND right(md5(text), 1) IN ('0', '1', '2') AS held FROM labelled),
+grams AS (SELECT text, label, held, substring(p, i, {_ORDER + 1}) AS gram FROM (SELECT text, label, held, p, unnest(range(1, length(p) - {_ORDER - 1})) AS i
+  FROM (SELECT *, concat(repeat(chr(2), {_ORDER}), text, chr(3)) AS p FROM texts))),
+parts AS (SELECT size, right(gram, size) AS s, COUNT(*) FILTER (label = 1) AS n_aa, COUNT(*) FILTER (label = 0) AS n_ra,
+  COUNT(*) FILTER (label = 1 AND NOT held) AS n_af, COUNT(*) FILTER (label = 0 AND NOT held) AS n_rf,
+  COUNT(*) FILTER (label IS NULL OR held) AS uses FROM grams, (SELECT unnest(range(1, {_ORDER + 2})) AS size) GROUP BY ALL),
+counts AS (SELECT *, {", ".join(f"SUM(n_{m}) OVER w AS all_{m}, COUNT(*) FILTER (n_{m} > 0) OVER w AS kinds_{m}" for m in ("aa", "ra", "af", "rf"))}
+  FROM parts WINDOW w AS (PARTITION BY size, left(s, size - 1))),
+{", ".join(_level(k) for k in range(1, _ORDER + 2))},
+gaps AS (SELECT s AS gram, CAST(round((ln(p_aa) - ln(p_ra)) * 1000000) AS BIGINT) AS d_all,
+  CAST(round((ln(p_af) - ln(p_rf)) * 1000000) AS BIGINT) AS d_fit FROM level{_ORDER + 1} WHERE uses > 0),
+scored AS (SELECT text, label, held, SUM(CASE WHEN held THEN d_fit ELSE d_all END) / COUNT(*) / 1000000 AS score
+  FROM grams JOIN gaps USING (gram) WHERE label IS NULL OR held GROUP BY ALL),
+sides AS (SELECT AVG(score) FILTER (label = 1) AS high, stddev_pop(score) FILTER (label = 1) AS high_by, AVG(score) FILTER (label = 0) AS low,
+  stddev_pop(score) FILTER (label = 0) AS low_by FROM scored WHERE held),
+least AS (SELECT CASE WHEN high IS NULL OR low IS NULL OR high <= low THEN 0 WHEN high_by + low_by > 0
+  THEN (high * low_by + low * high_by) / (high_by + low_by) ELSE (high + low) / 2 END AS least FROM sides)
+SELECT page_id, host, path, rule, CASE label WHEN 1 THEN 'allow' WHEN 0 THEN 'block' ELSE CASE WHEN score >= least THEN 'allow' ELSE 'block' END END AS verdict
+FROM labelled CROSS JOIN least LEFT JOIN (SELECT text, score FROM scored WHERE label IS NULL) USING (text)"""

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    conversation, decontaminate, extract, hilbert, oracles, quality, repeats, runs, secret_spans, segment, simhash, token_files, toxicity)
+    conversation, decontaminate, extract, hilbert, oracles, quality, repeats, runs, secret_spans, segment, simhash, token_files, toxicity,
+    url_filter)
 from .common import fold, shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op12_conversation_repair": oracles.CONVERSATIONS}
+ORACLES: dict[str, str] = {"op12_conversation_repair": oracles.CONVERSATIONS, "op13_url_markov": oracles.URLS}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -143,3 +144,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         "copy": F.explode(F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))})
     pieces = conversation.repair(rows, present=F.col("damage") != 0)
     return conversation.reports(pieces).withColumnRenamed("conv", "conv_id")
+
+
+# fixed values: the rules of the contract
+URL_RULES = (
+    url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"))
+
+
+@query
+def op13_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
