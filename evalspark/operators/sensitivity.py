@@ -25,26 +25,38 @@ def model_scores(scored: DataFrame, weights: dict[str, float] = SCORE_WEIGHTS, m
     return means.select(model, total.alias("composite_score"))
 
 
-def portable_draw(draw: Column, position: int) -> Column:
-    """A number in [0, 1) from plain arithmetic, so that any engine can repeat the draw."""
-    return F.pmod(draw * 7919 + position * 104729, F.lit(10007)) / 10007.0
+def counter_draw(draw: Column, metric: str, seed: int = 42) -> Column:
+    """A number in [0, 1) for a draw of a metric's weight: 52 bits of the md5 of seed, draw and metric.
+
+    A counter-based generator keeps no state, so draws of any two metrics are independent, come out the same in any
+    partitioning, and can be repeated by every engine that has md5.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), F.lit(metric)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def drawn_weights(
+    draw: Column, spread: float = 0.2, weights: dict[str, float] = SCORE_WEIGHTS, seed: int = 42,
+) -> dict[str, Column]:
+    """Each weight times a factor of its own in ``1 - spread .. 1 + spread``; draw 0 keeps the weights."""
+    return {
+        m: F.when(draw == 0, 1.0).otherwise(1 - spread + 2 * spread * counter_draw(draw, m, seed)) * w
+        for m, w in weights.items()
+    }
 
 
 def rank_stability(
     scored: DataFrame, draws: int = 1000, spread: float = 0.2, weights: dict[str, float] = SCORE_WEIGHTS,
-    model: str = "model_name", uniform=portable_draw,
+    model: str = "model_name", seed: int = 42,
 ) -> DataFrame:
-    """V2: rank correlation with the base ranking for each draw of weights.
+    """V2: rank correlation with the base ranking for each draw of weights, each weight drawn on its own.
 
     Measures are averaged once; each model row then fans out over the draws
     (draw 0 keeps the base weights), so the rows scored are models x draws.
     """
     means = _means(scored, model, list(weights))
     each = means.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    factor = {
-        m: F.when(F.col("draw") == 0, 1.0).otherwise(1 - spread + 2 * spread * uniform(F.col("draw"), i)) * w
-        for i, (m, w) in enumerate(weights.items())
-    }
+    factor = drawn_weights(F.col("draw"), spread, weights, seed)
     total = sum(factor.values(), F.lit(0.0))
     score = sum((F.col(m) * f / total for m, f in factor.items()), F.lit(0.0))
     ranked = _ranked(each.select(model, "draw", score.alias("score")), model, ["draw"])

@@ -34,8 +34,8 @@ def v1(spark, sf):
 
 
 _DRAWN = [
-    f"(CASE WHEN draw = 0 THEN 1.0 ELSE 0.8 + 0.4 * (((draw * 7919 + {i * 104729}) % 10007) / 10007.0) END) * {w}"
-    for i, (_, w) in enumerate(_WEIGHTS)]
+    f"(CASE WHEN draw = 0 THEN 1.0 ELSE 0.8 + 0.4 * (CAST(concat('0x', left(md5(concat('42:', draw, ':{m}')), 13)) AS BIGINT) / {float(1 << 52)}) END) * {w}"
+    for m, w in _WEIGHTS]
 _RANKED = f"""ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY draw ORDER BY round(score, 12) DESC, model_name) AS rank
   FROM (SELECT model_name, draw, {_score(_DRAWN)} AS score FROM means, (SELECT unnest(range(0, 1001)) AS draw)))"""
 _RHO = """rho AS (SELECT r.draw, 1 - 6 * SUM((r.rank - b.rank) * (r.rank - b.rank))

@@ -247,3 +247,22 @@ def test_registered_scores_are_the_means_of_the_rows(spark):
         assert m["avg_composite_score"] == pytest.approx(sum(r["composite_score"] for r in mine) / len(mine))
         assert m["avg_from_similarity"] == pytest.approx(sum(r["from_clause_similarity"] for r in mine) / len(mine))
         assert m["empty_results_both"] == sum(r["both_empty"] for r in mine)
+
+
+def test_drawn_weights_are_independent(spark):
+    """1,000 draws: pairwise correlations under 0.1, each factor over its whole range with the right mean, none repeated by another."""
+    weights = v.drawn_weights(F.col("draw"), 0.2)
+    rows = spark.range(1, 1001).select(F.col("id").alias("draw")).select(*[x.alias(m) for m, x in weights.items()]).toPandas()
+    base = w.SCORE_WEIGHTS
+    for a in base:
+        factor = rows[a] / base[a]
+        assert 0.8 <= factor.min() < 0.805 and 1.195 < factor.max() <= 1.2 and abs(factor.mean() - 1) < 0.015
+        for b in base:
+            if a < b:
+                assert abs(rows[a].corr(rows[b])) < 0.1
+                shift = ((rows[a] / base[a] - rows[b] / base[b]) % 0.4).round(9)
+                assert shift.nunique() > 900
+    kept = spark.range(1).select(*[x.alias(m) for m, x in v.drawn_weights(F.lit(0)).items()]).first()
+    assert kept.asDict() == base
+    other = spark.range(1, 1001).select(v.counter_draw(F.col("id"), "x", 1).alias("a"), v.counter_draw(F.col("id"), "x", 2).alias("b")).toPandas()
+    assert abs(other.a.corr(other.b)) < 0.1
