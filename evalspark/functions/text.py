@@ -52,6 +52,12 @@ def concat_all(*parts) -> Column:
     ])
 
 
+def digest(*columns: str) -> Column:
+    """A 128-bit hash of the columns as texts; NULL, the empty text and other divisions of the same letters differ."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value worked out once, however often the body names it.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import results as res
 from ..functions import sqltext as sql
 from ..functions.similarity import compare_plans, similarities
+from ..functions.text import digest
 
 # fixed values: share of each measure in the composite score
 SCORE_WEIGHTS = {
@@ -173,13 +174,13 @@ def compare_result_tables(true_rows: DataFrame, gen_rows: DataFrame, key: str, r
 def with_text_similarity(df: DataFrame, true: str = "true_query", gen: str = "generated_sql") -> DataFrame:
     """Ratio of the whole queries and of each of the seven clauses.
 
-    Each distinct pair is scored once, so a popular one costs no more than any other.  A NULL query counts as empty.
+    Each distinct pair is scored once, so a popular one costs no more than any other; scores come back by a
+    128-bit hash of the pair, so whole texts are shuffled once only.  A NULL query counts as empty.
     """
-    texts = [F.coalesce(F.col(c), F.lit("")) for c in (true, gen)]
-    pairs = df.select(texts[0].alias("_a"), texts[1].alias("_b")).distinct()
-    scored = pairs.withColumn("_sim", similarities(F.col("_a"), F.col("_b"))).select("_a", "_b", "_sim.*")
-    keyed = df.withColumns({"_a": texts[0], "_b": texts[1]})
-    return keyed.join(scored, ["_a", "_b"]).drop("_a", "_b")
+    keyed = df.withColumns({"_a": F.coalesce(F.col(true), F.lit("")), "_b": F.coalesce(F.col(gen), F.lit(""))})
+    pairs = keyed.select("_a", "_b").distinct()
+    scored = pairs.select(digest("_a", "_b").alias("_pair"), similarities(F.col("_a"), F.col("_b")).alias("_sim"))
+    return keyed.withColumn("_pair", digest("_a", "_b")).drop("_a", "_b").join(scored.select("_pair", "_sim.*"), "_pair").drop("_pair")
 
 
 def with_edit_similarity(df: DataFrame, a: str, b: str, out: str = "edit_similarity") -> DataFrame:
@@ -193,9 +194,8 @@ def with_edit_similarity(df: DataFrame, a: str, b: str, out: str = "edit_similar
 def with_plan_comparison(df: DataFrame, true: str, gen: str) -> DataFrame:
     """Plan overlap, its sequence ratio, and the steps on one side only; each distinct pair is compared once."""
     pairs = df.select(F.col(true).alias("_a"), F.col(gen).alias("_b")).distinct()
-    compared = pairs.withColumns(compare_plans(F.col("_a"), F.col("_b")))
-    same = F.col(true).eqNullSafe(F.col("_a")) & F.col(gen).eqNullSafe(F.col("_b"))
-    return df.join(compared, same).drop("_a", "_b")
+    compared = pairs.withColumns({"_pair": digest("_a", "_b"), **compare_plans(F.col("_a"), F.col("_b"))}).drop("_a", "_b")
+    return df.withColumn("_pair", digest(true, gen)).join(compared, "_pair").drop("_pair")
 
 
 # --- W16-W22: summaries -------------------------------------------------------

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import categorise_error
 from ..operators import workload as w
+from .scores import ScoreStore
 
 
 def compare_queries(
     log: DataFrame, truth: DataFrame | None = None, gen: str = "generated_sql", legacy: bool = False,
-    text_similarity: bool = True,
+    text_similarity: bool = True, store: ScoreStore | None = None, extra: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Every measure of every row of a query log, as one wide row each.
 
     Outcome columns of the truth carry the suffix ``_true``; a log that already
     has them needs no ``truth``.  ``legacy`` leaves the plan term out of the score.
+    ``extra`` adds measures of the two queries, results and plans of a row.
+
+    With a ``store``, measures of queries, results and plans that it has seen are read from it, and others are
+    worked out and kept there before this returns.
     """
     df = w.truth_join(log, truth) if truth is not None else log
 
@@ -35,23 +42,31 @@ def compare_queries(
             col("row_count_true", "bigint"), F.col("row_count"), true_time, gen_time),
         "true_error_category": categorise_error(col("error_true", "string")),
         "gen_error_category": categorise_error(F.col("error")),
+        "_true_results": true_results,
     })
-    out = w.with_result_match(out, "success", true_results, F.col("results"))
-    out = w.with_access_overlap(out, "true_query", gen)
-    if text_similarity:
-        out = w.with_text_similarity(out, "true_query", gen)
-    if "execution_plan" in df.columns and "execution_plan_true" in df.columns:
-        out = w.with_plan_comparison(out, "execution_plan_true", "execution_plan")
+    plans = [c for c in ("execution_plan_true", "execution_plan") if {"execution_plan_true", "execution_plan"} <= set(df.columns)]
+    inputs = ["true_query", gen, "success", "_true_results", "results", *plans]
+
+    def measure(rows: DataFrame) -> DataFrame:
+        rows = w.with_result_match(rows, "success", F.col("_true_results"), F.col("results"))
+        rows = w.with_access_overlap(rows, "true_query", gen)
+        if text_similarity:
+            rows = w.with_text_similarity(rows, "true_query", gen)
+        if plans:
+            rows = w.with_plan_comparison(rows, *plans)
+        return extra(rows) if extra else rows
+
+    out = (store.scored(out, inputs, measure) if store else measure(out)).drop("_true_results")
     measures = {m: F.col(m) for m in w.SCORE_WEIGHTS if m in out.columns}
     return out.withColumn("composite_score", w.composite_score(measures, legacy))
 
 
 def score_models(
     log: DataFrame, truth: DataFrame | None = None, model: str = "model", gen: str = "generated_sql",
-    legacy: bool = False, experiment: str | None = None,
+    legacy: bool = False, experiment: str | None = None, store: ScoreStore | None = None,
 ) -> DataFrame:
     """Read log -> compare every row -> one metric row per model."""
-    metrics = w.model_metrics(compare_queries(log, truth, gen, legacy), [model])
+    metrics = w.model_metrics(compare_queries(log, truth, gen, legacy, store=store), [model])
     return metrics.withColumn("experiment", F.lit(experiment)) if experiment else metrics
 
 

@@ -12,7 +12,8 @@ from ..operators import workload as w
 from ..operators.profile import sql_components
 from ..operators.statements import run_statements
 from ..plans.evaluation import compare_queries, repair_round, score_models
-from ..session import work_path
+from ..plans.scores import ScoreStore
+from ..session import shared_folder, work_path
 from .profile import complexity_ctes
 from .base import joined, over_log, query_log, register, rounded, table, truth_runs
 
@@ -135,9 +136,16 @@ def native_scores(spark, sf, gen="generated_sql"):
 
     In its place stands the native edit measure, so that SQL can repeat the scores.
     """
-    df = compare_queries(query_log(spark, sf), truth_runs(spark, sf), gen, text_similarity=False)
-    df = w.with_edit_similarity(df, "true_query", gen).withColumn("query_similarity", F.col("edit_similarity"))
-    return df.withColumn("composite_score", w.composite_score())
+    def extra(rows):
+        return w.with_edit_similarity(rows, "true_query", gen).withColumn("query_similarity", F.col("edit_similarity"))
+
+    return compare_queries(
+        query_log(spark, sf), truth_runs(spark, sf), gen, text_similarity=False, store=score_store(spark), extra=extra)
+
+
+def score_store(spark) -> ScoreStore:
+    """The scores of this session's queries: what one has scored, the others read."""
+    return ScoreStore(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}", "model_name")
 
 
 # --- per-row operators ----------------------------------------------------------
@@ -405,7 +413,7 @@ def w14(spark, sf):
 
 @register("W15_compare_queries")
 def w15(spark, sf):
-    wide = compare_queries(query_log(spark, sf), truth_runs(spark, sf))
+    wide = compare_queries(query_log(spark, sf), truth_runs(spark, sf), store=score_store(spark))
     arrays = [f.name for f in wide.schema.fields if f.dataType.typeName() == "array"]
     return wide.withColumns({a: joined(a) for a in arrays})
 
@@ -449,7 +457,7 @@ def w16(spark, sf):
 
 @register("W16_score_models")
 def w16_full(spark, sf):
-    return score_models(query_log(spark, sf), truth_runs(spark, sf), "model_name", experiment="derived log")
+    return score_models(query_log(spark, sf), truth_runs(spark, sf), "model_name", experiment="derived log", store=score_store(spark))
 
 
 @register("W17_error_distribution", over_log(

@@ -45,15 +45,27 @@ def local_session(cpus: int | str = "*", app: str = "evalspark", memory: str = "
     return spark
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    Written tables must outlive any executor, so a machine-local folder is only
+    Written tables must outlive any executor, so a machine-local folder (one per session) is only
     used when the whole session runs on this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="evalspark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        own = spark.sparkContext.applicationId
+        if own not in _own_folders:
+            _own_folders[own] = tempfile.mkdtemp(prefix="evalspark-")
+        base = _own_folders[own]
+    return base.rstrip("/")
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
