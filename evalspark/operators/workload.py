@@ -9,6 +9,7 @@ from ..functions import results as res
 from ..functions import sqltext as sql
 from ..functions.similarity import compare_plans, similarities
 from ..functions.text import digest
+from ..session import work_path
 
 # fixed values: share of each measure in the composite score
 SCORE_WEIGHTS = {
@@ -145,25 +146,75 @@ def with_result_match(df: DataFrame, success: str, true_results: Column, gen_res
     }).drop("_cmp")
 
 
-def compare_result_tables(true_rows: DataFrame, gen_rows: DataFrame, key: str, row: str) -> DataFrame:
+def result_fingerprints(rows: DataFrame, keys: list[str], row: str, side: str) -> DataFrame:
+    """(keys, {side}_n, {side}_0 .. {side}_3): per statement, how many rows its result has and their order-free fingerprint.
+
+    The fingerprint is the sum of 128-bit hashes of the rows, kept as sums of four 32-bit parts, so it is combined map-side and a
+    task sends one row per statement however large its result.  Equal multisets have equal sums; a sum that does not
+    fit is NULL and equals none.
+    """
+    low = F.lit(0xFFFFFFFF)
+    hashes = [F.xxhash64(row), F.xxhash64(F.lit(1), F.col(row))]
+    parts = [p for h in hashes for p in (F.shiftrightunsigned(h, 32), h.bitwiseAND(low))]
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias(f"{side}_n"), *[F.try_sum(p).alias(f"{side}_{i}") for i, p in enumerate(parts)])
+
+
+def _by_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join on equal or both NULL keys, which the left side keeps."""
+    right = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    match = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return left.join(right, match, how).drop(*[f"_key_{k}" for k in keys])
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table in the shared folder."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def compare_result_tables(
+    true_rows: DataFrame, gen_rows: DataFrame, key: str | list[str], row: str, statements: DataFrame | None = None,
+) -> DataFrame:
     """W11 for results too large for a cell: one row per result row, keyed by query.
 
-    Row texts are counted per side and text before anything is grouped by query,
-    so a query that owns a third of all rows is spread over many tasks.
+    Fingerprints are compared and written down before this returns; the row level is left to the result.
+    ``true_rows`` may lack some of the keys, such as the model: its results then stand for every model.  ``statements``
+    lists the keys to compare (default: those that have rows).  Results are told apart by fingerprints first, so the rows of
+    equal ones are read but never shuffled; only statements that differ go to the row level, where rows compare as sets, and there
+    row texts are counted per side and text before anything is grouped by query, so a query that owns a third of all rows is
+    spread over many tasks.
     """
+    keys = [key] if isinstance(key, str) else list(key)
+    own = [k for k in keys if k in true_rows.columns]
+    prints = {"true": result_fingerprints(true_rows, own, row, "true"), "gen": result_fingerprints(gen_rows, keys, row, "gen")}
+    if statements is None:
+        statements = prints["gen"].select(*keys)
+        if own == keys:
+            statements = statements.union(prints["true"].select(*keys))
+    base = _by_keys(_by_keys(statements.select(*keys).distinct(), prints["true"], own), prints["gen"], keys)
+    both = [F.coalesce(F.col(f"true_{i}") == F.col(f"gen_{i}"), F.lit(False)) for i in range(4)]
+    counts = {f"{side}_rows": F.coalesce(F.col(f"{side}_n"), F.lit(0)) for side in ("true", "gen")}
+    alike = (counts["true_rows"] == counts["gen_rows"]) & ((counts["true_rows"] == 0) | (both[0] & both[1] & both[2] & both[3]))
+    base = _written(base.select(*keys, *[c.alias(name) for name, c in counts.items()], alike.alias("_alike")), "compared")
+    # as a table of its own its size is known before the join is planned: a small one goes to the rows, not the rows to it
+    differing = _written(base.where("NOT _alike").select(*keys), "differing")
+    ones = _by_keys(true_rows.select(*own, row), differing, own, "inner")
+    twos = _by_keys(gen_rows.select(*keys, row), differing, keys, "left_semi")
     tagged = (
-        true_rows.select(key, row, F.lit(1).alias("_t"), F.lit(0).alias("_g"))
-        .unionByName(gen_rows.select(key, row, F.lit(0).alias("_t"), F.lit(1).alias("_g")))
-    )
-    texts = tagged.groupBy(key, row).agg(F.sum("_t").alias("_t"), F.sum("_g").alias("_g"))
-    differs = F.sum(F.when((F.col("_t") == 0) | (F.col("_g") == 0), 1).otherwise(0))
-    out = texts.groupBy(key).agg(
-        F.sum("_t").alias("true_rows"), F.sum("_g").alias("gen_rows"), differs.alias("diff_count")
+        ones.select(*keys, row, F.lit(1).alias("_t"), F.lit(0).alias("_g"))
+        .unionByName(twos.select(*keys, row, F.lit(0).alias("_t"), F.lit(1).alias("_g")))
     )
+    texts = tagged.groupBy(*keys, row).agg(F.max("_t").alias("_t"), F.max("_g").alias("_g"))
+    apart = texts.where("_t <> _g").groupBy(*keys).agg(
+        F.count("*").alias("diff_count"), F.min(F.when(F.col("_t") == 1, F.col(row))).alias("example_diff_row"))
+    out = _by_keys(base, apart, keys).withColumn("diff_count", F.coalesce("diff_count", F.lit(0)))
     equal = (F.col("true_rows") == F.col("gen_rows")) & (F.col("diff_count") == 0)
-    return out.withColumn("equal", equal).withColumn(
+    return out.drop("_alike").withColumn("equal", equal).withColumn(
         "reason",
-        F.when(F.col("true_rows") == 0, "First result is empty, second has data")
+        F.when((F.col("true_rows") == 0) & (F.col("gen_rows") == 0), "Both results are empty")
+        .when(F.col("true_rows") == 0, "First result is empty, second has data")
         .when(F.col("gen_rows") == 0, "Second result is empty, first has data")
         .when(F.col("true_rows") != F.col("gen_rows"), "Different number of rows")
         .when(equal, "Results are identical (same rows, possibly different order)")
@@ -171,6 +222,32 @@ def compare_result_tables(true_rows: DataFrame, gen_rows: DataFrame, key: str, r
     )
 
 
+def with_result_tables_match(
+    df: DataFrame, success: str, true_rows: DataFrame, gen_rows: DataFrame, row: str = "row", keys: list[str] | None = None,
+) -> DataFrame:
+    """W11 on each row of a log whose results are tables of rows, keyed by the log's id and, where it has one, model.
+
+    Adds what ``with_result_match`` adds; the example is the least row that only the true result has.
+    """
+    keys = keys or [k for k in ("model", "model_name", "id") if k in df.columns and k in gen_rows.columns]
+    compared = compare_result_tables(true_rows, gen_rows, keys, row, df.select(*keys)).withColumnsRenamed({
+        c: f"_cmp_{c}" for c in ("true_rows", "gen_rows", "diff_count", "equal", "reason", "example_diff_row")})
+    ran, n_true, n_gen = F.coalesce(success, F.lit(False)), F.col("_cmp_true_rows"), F.col("_cmp_gen_rows")
+    differs = ran & (n_true > 0) & (n_true == n_gen) & ~F.col("_cmp_equal")
+    return _by_keys(df, compared, keys).withColumns({
+        "true_empty_result": n_true == 0,
+        "gen_empty_result": n_gen == 0,
+        "both_empty": (n_true == 0) & (n_gen == 0),
+        "results_match": F.when(ran, F.col("_cmp_equal").cast("int")).otherwise(0),
+        "result_reason": F.when(ran, F.col("_cmp_reason")).otherwise("Generated query failed to execute"),
+        "result_diff_percentage": F.when(differs, F.col("_cmp_diff_count") / n_true * 100),
+        "true_result_rows": n_true,
+        "gen_result_rows": n_gen,
+        "result_diff_count": F.when(differs, F.col("_cmp_diff_count")),
+        "result_example_diff_row": F.when(differs, F.col("_cmp_example_diff_row")),
+    }).drop(*[f"_cmp_{c}" for c in ("true_rows", "gen_rows", "diff_count", "equal", "reason", "example_diff_row")])
+
+
 def with_text_similarity(df: DataFrame, true: str = "true_query", gen: str = "generated_sql") -> DataFrame:
     """Ratio of the whole queries and of each of the seven clauses.
 

@@ -15,12 +15,14 @@ from .scores import ScoreStore
 def compare_queries(
     log: DataFrame, truth: DataFrame | None = None, gen: str = "generated_sql", legacy: bool = False,
     text_similarity: bool = True, store: ScoreStore | None = None, extra: Callable[[DataFrame], DataFrame] | None = None,
+    result_tables: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Every measure of every row of a query log, as one wide row each.
 
     Outcome columns of the truth carry the suffix ``_true``; a log that already
     has them needs no ``truth``.  ``legacy`` leaves the plan term out of the score.
-    ``extra`` adds measures of the two queries, results and plans of a row.
+    ``extra`` adds measures of the two queries, results and plans of a row.  ``result_tables`` are the true and the generated
+    results as tables with a result row in each ``row``, keyed by id (and model), for results too large for a cell.
 
     With a ``store``, measures of queries, results and plans that it has seen are read from it, and others are
     worked out and kept there before this returns.
@@ -45,10 +47,12 @@ def compare_queries(
         "_true_results": true_results,
     })
     plans = [c for c in ("execution_plan_true", "execution_plan") if {"execution_plan_true", "execution_plan"} <= set(df.columns)]
-    inputs = ["true_query", gen, "success", "_true_results", "results", *plans]
+    cells = [] if result_tables else ["success", "_true_results", "results"]
+    inputs = ["true_query", gen, *cells, *plans]
 
     def measure(rows: DataFrame) -> DataFrame:
-        rows = w.with_result_match(rows, "success", F.col("_true_results"), F.col("results"))
+        if cells:
+            rows = w.with_result_match(rows, "success", F.col("_true_results"), F.col("results"))
         rows = w.with_access_overlap(rows, "true_query", gen)
         if text_similarity:
             rows = w.with_text_similarity(rows, "true_query", gen)
@@ -57,6 +61,8 @@ def compare_queries(
         return extra(rows) if extra else rows
 
     out = (store.scored(out, inputs, measure) if store else measure(out)).drop("_true_results")
+    if result_tables:
+        out = w.with_result_tables_match(out, "success", *result_tables)
     measures = {m: F.col(m) for m in w.SCORE_WEIGHTS if m in out.columns}
     return out.withColumn("composite_score", w.composite_score(measures, legacy))
 

@@ -365,7 +365,7 @@ def w11_shapes(spark, sf):
   n AS (SELECT id, row, SUM(t) AS t, SUM(g) AS g FROM (SELECT id, row, 1 AS t, 0 AS g FROM t UNION ALL
         SELECT id, row, 0 AS t, 1 AS g FROM g) GROUP BY id, row),
   q AS (SELECT id, CAST(SUM(t) AS BIGINT) AS true_rows, CAST(SUM(g) AS BIGINT) AS gen_rows,
-        COUNT(*) FILTER (t = 0 OR g = 0) AS diff_count FROM n GROUP BY id)
+        COUNT(*) FILTER (t = 0 OR g = 0) AS diff_count, MIN(row) FILTER (g = 0) AS example_diff_row FROM n GROUP BY id)
   SELECT *, true_rows = gen_rows AND diff_count = 0 AS equal, CASE
     WHEN true_rows = 0 THEN 'First result is empty, second has data'
     WHEN gen_rows = 0 THEN 'Second result is empty, first has data'
@@ -382,6 +382,54 @@ def w11_tables(spark, sf):
     return w.compare_result_tables(true_rows, gen_rows, "id", "row")
 
 
+# results as tables: lines of the order that has the id; the first model changes untaxed lines, the second leaves out first ones
+# and gives the others twice, the third gives all
+_GEN_ROWS = """CASE i WHEN 0 THEN [concat(part + CAST(tax = 0 AS INT), '/', line)] WHEN 1 THEN
+  CASE WHEN line > 1 THEN [concat(part, '/', line), concat(part, '/', line)] ELSE CAST([] AS VARCHAR[]) END ELSE [concat(part, '/', line)] END"""
+_TABLE_RUN = f"""answers_run AS (SELECT id, model_name, true_query, generated_sql, i <> 2 OR id % 4 > 0 AS success FROM (
+    SELECT *, concat('m', i) AS model_name FROM (SELECT id, true_query, generated_sql, unnest([0, 1, 2]) AS i FROM log))),
+  lines AS (SELECT l_orderkey AS id, l_partkey AS part, l_linenumber AS line, l_tax AS tax FROM lineitem),
+  tr AS (SELECT id, concat(part, '/', line) AS row FROM lines),
+  gr AS (SELECT id, concat('m', i) AS model_name, unnest({_GEN_ROWS}) AS row FROM lines, (SELECT unnest([0, 1, 2]) AS i)),
+  tn AS (SELECT id, COUNT(*) AS n FROM tr GROUP BY id), gn AS (SELECT id, model_name, COUNT(*) AS n FROM gr GROUP BY ALL),
+  sides AS (SELECT id, model_name, row, MAX(t) AS t, MAX(g) AS g FROM (SELECT tr.id, a.model_name, tr.row, 1 AS t, 0 AS g FROM tr
+    JOIN answers_run a USING (id) UNION ALL SELECT id, model_name, row, 0, 1 FROM gr) GROUP BY ALL),
+  apart AS (SELECT id, model_name, COUNT(*) AS n, MIN(row) FILTER (t = 1) AS example FROM sides WHERE t <> g GROUP BY ALL),
+  run AS (SELECT a.*, coalesce(tn.n, 0) AS true_n, coalesce(gn.n, 0) AS gen_n, coalesce(apart.n, 0) AS apart_n, apart.example FROM answers_run a
+    LEFT JOIN tn USING (id) LEFT JOIN gn USING (id, model_name) LEFT JOIN apart USING (id, model_name))"""
+
+
+@register("W15_compare_result_tables", over_log(
+    f"""SELECT id, model_name, CASE WHEN success THEN CAST(true_n = gen_n AND apart_n = 0 AS INT) ELSE 0 END AS results_match,
+      CASE WHEN NOT success THEN 'Generated query failed to execute' WHEN true_n = 0 AND gen_n = 0 THEN 'Both results are empty'
+        WHEN true_n = 0 THEN 'First result is empty, second has data' WHEN gen_n = 0 THEN 'Second result is empty, first has data'
+        WHEN true_n <> gen_n THEN 'Different number of rows' WHEN apart_n = 0 THEN 'Results are identical (same rows, possibly different order)'
+        ELSE concat(apart_n, ' rows differ between results') END AS result_reason,
+      true_n AS true_result_rows, gen_n AS gen_result_rows,
+      CASE WHEN success AND true_n = gen_n AND apart_n > 0 THEN round(apart_n / true_n * 100, 6) END AS result_diff_percentage,
+      CASE WHEN success AND true_n = gen_n AND apart_n > 0 THEN example END AS result_example_diff_row,
+      round(0.3 * CASE WHEN success THEN CAST(true_n = gen_n AND apart_n = 0 AS INT) ELSE 0 END
+        + 0.2 * ({_overlap(_tables('true_query'), _tables('generated_sql'))}) + 0.2 * ({_overlap(_columns('true_query'), _columns('generated_sql'))}), 6)
+      AS composite_score FROM run""", _TABLE_RUN))
+def w15_tables(spark, sf):
+    """Every id answered by three models, true results once per id; no text of a query or plan is compared."""
+    models = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    log = query_log(spark, sf).select("id", "true_query", "generated_sql", models.alias("i")).select(
+        "id", "true_query", "generated_sql", F.concat(F.lit("m"), "i").alias("model_name"), F.expr("i <> 2 OR id % 4 > 0").alias("success"),
+        F.lit(None).cast("bigint").alias("row_count"), F.lit(None).cast("string").alias("error"))
+    lines = table(spark, sf, "lineitem", id="l_orderkey", part="l_partkey", line="l_linenumber", tax="l_tax")
+    same = concat_all(F.col("part"), "/", F.col("line"))
+    true_rows = lines.select("id", same.alias("row"))
+    changed = concat_all(F.col("part") + (F.col("tax") == 0).cast("int"), "/", F.col("line"))
+    given = (F.when(F.col("i") == 0, F.array(changed)).when((F.col("i") == 1) & (F.col("line") > 1), F.array(same, same))
+             .when(F.col("i") == 2, F.array(same)).otherwise(F.array().cast("array<string>")))
+    gen_rows = lines.withColumn("i", models).select("id", F.concat(F.lit("m"), "i").alias("model_name"), F.explode(given).alias("row"))
+    scored = compare_queries(log, text_similarity=False, result_tables=(true_rows, gen_rows))
+    return rounded(scored.select(
+        "id", "model_name", "results_match", "result_reason", "true_result_rows", "gen_result_rows", "result_diff_percentage",
+        "result_example_diff_row", "composite_score"), "result_diff_percentage", "composite_score")
+
+
 @register("W12_outcome_compare", over_log(
     """SELECT id, CAST(success_true = success AS INT) AS execution_success_match,
       CAST(row_count_true = row_count AS INT) AS row_count_match,
