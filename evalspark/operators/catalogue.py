@@ -7,10 +7,15 @@ nullable, primary_key, foreign_key, relation, description``; only ``table`` and
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from .ranking import first_rows
 
@@ -98,14 +103,59 @@ def dictionary_info(dictionary: DataFrame, table: str) -> DataFrame:
     return dictionary.where(F.col("fact_table") == table)
 
 
+def value_text(df: DataFrame, column: str) -> Column:
+    """A value as text; arrays in brackets, their fractions to six places, which every engine writes alike."""
+    value, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    if not isinstance(kind, ArrayType):
+        return value.cast("string")
+    element = "decimal(38,6)" if isinstance(kind.elementType, (FloatType, DoubleType)) else "string"
+    texts = F.transform(value, lambda x: F.coalesce(x.cast(element).cast("string"), F.lit("NULL")))
+    return F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]"))
+
+
+def _draw(value: str, seed: int) -> str:
+    """The order key of a value in a random sample; ``sample_column_values`` states the same in SQL."""
+    return hashlib.md5(f"{value}-{seed}".encode()).hexdigest()
+
+
+def _least_values(columns: list[str], n: int, seed: int | None):
+    """Per task, the ``n`` values of each column that come first, each once: a sample that merges with those of other tasks.
+
+    What a batch holds is compared with the last value kept so far, so a long scan looks twice at few values only.
+    """
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [pa.array([], pa.string()) for _ in columns]
+        drawn: list[list[tuple[str, str]]] = [[] for _ in columns]
+        for batch in batches:
+            for i in range(len(columns)):
+                values = batch.column(i).unique().drop_null()
+                if seed is None:
+                    if len(kept[i]) == n:
+                        values = values.filter(pc.less(values, kept[i][-1]))
+                    if len(values):
+                        both = pa.concat_arrays([kept[i], values.cast(pa.string())]).unique()
+                        kept[i] = both.take(pc.array_sort_indices(both)[:n])
+                else:
+                    last = drawn[i][-1] if len(drawn[i]) == n else None
+                    new = ((_draw(v, seed), v) for v in values.to_pylist())
+                    new = [pair for pair in new if last is None or pair < last]
+                    if new:
+                        drawn[i] = sorted({*drawn[i], *new})[:n]
+        for i, column in enumerate(columns):
+            values = kept[i] if seed is None else pa.array([v for _, v in drawn[i]], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([column] * len(values), pa.string()), values], names=["column", "value"])
+
+    return least
+
+
 def sample_column_values(df: DataFrame, table: str, n: int = SAMPLE_SIZE, seed: int | None = None) -> DataFrame:
     """Up to ``n`` distinct non-null values of each column, as text; a placeholder when there are none.
 
-    The ``n`` least by text, or with a seed by a hash of text and seed (a random
-    sample).  Values are made distinct before and limited below each shuffle.
+    The ``n`` least by text, or with a seed by md5 of text and seed (a random sample).  Each task keeps ``n`` values of a
+    column while it scans and sends no others, so what is shuffled grows with tasks and columns, not with rows or values.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns])
-    values = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
+    texts = df.select(*[value_text(df, c).alias(c) for c in df.columns])
+    values = texts.mapInArrow(_least_values(df.columns, n, seed), "column string, value string").distinct()
     order = [F.asc("value")] if seed is None else [F.md5(F.concat("value", F.lit(f"-{seed}"))), F.asc("value")]
     best = first_rows(values, ["column"], order, n, rank="position")
     names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")

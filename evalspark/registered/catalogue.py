@@ -126,28 +126,51 @@ def s4(spark, sf):
 _STORE = {
     "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                  "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"], "pages": ["page_id", "url", "html"], "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn", "role", "text"],
 }
 
 
-def _sample_sql(name: str, columns: list[str], n: int, order: str = "value") -> str:
+def _text_sql(column: str) -> str:
+    if column == "embedding":
+        return "concat('[', array_to_string(list_transform(embedding, lambda x: coalesce(CAST(CAST(x AS DECIMAL(38, 6)) AS VARCHAR), 'NULL')), ', '), ']')"
+    return f"CAST({column} AS VARCHAR)"
+
+
+def _sample_sql(n: int, order: str = "value") -> str:
     return " UNION ALL ".join(
-        f"SELECT '{name}' AS \"table\", '{col}' AS \"column\", CAST(position AS INT) AS position, value FROM (SELECT value, ROW_NUMBER() OVER "
-        f"(ORDER BY {order}) AS position FROM (SELECT DISTINCT CAST({col} AS VARCHAR) AS value FROM {name} WHERE {col} IS NOT NULL)) "
-        f"WHERE position <= {n}" for col in columns)
+        f"""SELECT '{t}' AS "table", '{c}' AS "column", CAST(coalesce(position, 1) AS INT) AS position, coalesce(value, '<To_Fill>') AS value
+        FROM (SELECT 1) LEFT JOIN (SELECT value, ROW_NUMBER() OVER (ORDER BY {order}) AS position FROM (
+        SELECT DISTINCT {_text_sql(c)} AS value FROM {t} WHERE {c} IS NOT NULL)) ON true WHERE coalesce(position, 1) <= {n}"""
+        for t, columns in _STORE.items() for c in columns)
+
 
+def _store(spark, sf):
+    return {t: table(spark, sf, t) for t in _STORE}
 
-@register("C5_sample_column_values", " UNION ALL ".join(_sample_sql(t, columns, 150) for t, columns in _STORE.items()))
+
+@register("C5_sample_column_values", _sample_sql(150))
 def c5(spark, sf):
-    return c.sample_tables({t: table(spark, sf, t) for t in _STORE})
+    return c.sample_tables(_store(spark, sf))
+
+
+@register("C5_sample_of_catalogue", over_log(
+    f"""SELECT * FROM ({_sample_sql(20)}) WHERE "table" IN (SELECT "table" FROM used)""", _USED))
+def c5_catalogue(spark, sf):
+    """The tables that the queries of the log name, as its catalogue has them."""
+    return c.sample_tables(_store(spark, sf), _used(spark, sf), 20)
 
 
-@register("C5_random_column_values", _sample_sql("lineitem", _STORE["lineitem"], 150, "md5(concat(value, '-42')), value"))
+@register("C5_random_column_values", _sample_sql(150, "md5(concat(value, '-42')), value"))
 def c5_random(spark, sf):
-    return c.sample_column_values(table(spark, sf, "lineitem"), "lineitem", seed=42)
+    return c.sample_tables(_store(spark, sf), seed=42)
 
 
 @register("C4_dictionary_info", over_log(
