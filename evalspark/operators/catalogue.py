@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
@@ -40,19 +41,48 @@ NO_VALUES = "<To_Fill>"
 SAMPLE_SIZE = 150
 
 
-def _column_pairs(catalogue: DataFrame) -> DataFrame:
-    """(t1, t2, column) for every ordered pair of tables that share a column: the edges themselves."""
-    ones = catalogue.select(F.col("table").alias("t1"), "column").distinct()
-    twos = ones.withColumnRenamed("t1", "t2")
-    return ones.join(twos, "column").where(F.col("t1") != F.col("t2"))
+@dataclass(frozen=True)
+class JoinClasses:
+    """Which tables share which columns, without naming pairs of tables.
+
+    Tables with the same columns are one class.  ``members`` has a row (table, class) per table, ``columns`` a row (class, column,
+    n_tables) per column of a class; a column that every table has is one row per class, however many pairs it links.
+    """
+
+    members: DataFrame
+    columns: DataFrame
+
+
+def join_classes(catalogue: DataFrame) -> JoinClasses:
+    """The classes of a catalogue's tables."""
+    per_table = catalogue.select("table", "column").distinct().groupBy("table").agg(F.sort_array(F.collect_list("column")).alias("columns"))
+    members = per_table.withColumn("class", F.md5(F.to_json("columns")))
+    classes = members.groupBy("class").agg(F.any_value("columns").alias("columns"), F.count("*").alias("n_tables"))
+    return JoinClasses(members.select("table", "class"), classes.select("class", F.explode("columns").alias("column"), "n_tables"))
+
+
+def column_links(classes: JoinClasses) -> DataFrame:
+    """One row per column that tables share: how many have it, in how many classes, and how many ordered pairs it links."""
+    n = F.sum("n_tables")
+    shared = classes.columns.groupBy("column").agg(n.alias("n_tables"), F.count("*").alias("n_classes"))
+    return shared.where("n_tables > 1").withColumn("links", F.col("n_tables") * (F.col("n_tables") - 1))
 
 
-def join_paths(catalogue: DataFrame) -> DataFrame:
-    """Shared columns of every ordered table pair that has any."""
+def join_paths(classes: JoinClasses, tables: list[str] | None = None) -> DataFrame:
+    """(t1, t2, columns) for tables that share columns with one of ``tables`` (default: with any), in each direction.
+
+    Columns are compared class by class; tables are named last, so only the pairs that were asked for are made.
+    """
+    asked = classes.members if tables is None else classes.members.where(F.col("table").isin(tables))
+    ones = asked.select(F.col("class").alias("c1")).distinct()
+    twos = classes.columns.select(F.col("class").alias("c2"), "column")
+    shared = (
+        ones.join(classes.columns.select(F.col("class").alias("c1"), "column"), "c1").join(twos, "column")
+        .groupBy("c1", "c2").agg(F.sort_array(F.collect_list("column")).alias("columns")))
     return (
-        _column_pairs(catalogue).groupBy("t1", "t2")
-        .agg(F.sort_array(F.collect_set("column")).alias("columns"))
-    )
+        asked.select(F.col("table").alias("t1"), F.col("class").alias("c1")).join(shared, "c1")
+        .join(classes.members.select(F.col("table").alias("t2"), F.col("class").alias("c2")), "c2")
+        .where("t1 <> t2").select("t1", "t2", "columns"))
 
 
 def _singular(table: Column) -> Column:
@@ -63,34 +93,34 @@ def key_edges(catalogue: DataFrame, singular: bool = False) -> DataFrame:
     """``*_id`` columns two tables share, when named after one of them.
 
     ``incoming``: the column is called after this table; ``outgoing``: after the
-    other.  ``singular`` also accepts the table name without its plural s.
+    other.  ``singular`` also accepts the table name without its plural s.  The tables that have a column meet the one or two
+    that it is named after, not each other.
     """
-    pairs = _column_pairs(catalogue.where(F.endswith("column", F.lit("_id"))))
-
     def named_after(table: str) -> Column:
         test = F.col("column") == F.concat(F.col(table), F.lit("_id"))
         return test | (F.col("column") == F.concat(_singular(F.col(table)), F.lit("_id"))) if singular else test
 
-    direction = F.when(named_after("t1"), "incoming").when(named_after("t2"), "outgoing")
-    return (
-        pairs.withColumn("direction", direction).where(F.col("direction").isNotNull())
-        .select(F.col("t1").alias("table"), F.col("t2").alias("other"), "column", "direction")
-    )
+    held = catalogue.where(F.endswith("column", F.lit("_id"))).select("table", "column").distinct().withColumn("owns", named_after("table"))
+    owners = held.where("owns").select(F.col("table").alias("owner"), "column")
+    met = owners.join(held, "column").where("owner <> table")
+    return met.select(F.col("owner").alias("table"), F.col("table").alias("other"), "column", F.lit("incoming").alias("direction")).unionByName(
+        met.where("NOT owns").select("table", F.col("owner").alias("other"), "column", F.lit("outgoing").alias("direction")))
 
 
-def tables_with_column(catalogue: DataFrame, column: str) -> DataFrame:
+def tables_with_column(classes: JoinClasses, column: str) -> DataFrame:
     """Tables that have a column."""
-    return catalogue.where(F.col("column") == column).select("table").distinct()
+    return classes.members.join(classes.columns.where(F.col("column") == column), "class", "left_semi").select("table")
 
 
-def joinable_tables(paths: DataFrame, table: str) -> DataFrame:
+def joinable_tables(classes: JoinClasses, table: str) -> DataFrame:
     """Tables with a join path from ``table``."""
-    return paths.where(F.col("t1") == table).select(F.col("t2").alias("table"))
+    return join_paths(classes, [table]).select(F.col("t2").alias("table"))
 
 
-def join_columns(paths: DataFrame, t1: str, t2: str) -> DataFrame:
+def join_columns(classes: JoinClasses, t1: str, t2: str) -> DataFrame:
     """Columns that join two tables."""
-    return paths.where((F.col("t1") == t1) & (F.col("t2") == t2)).select(F.explode("columns").alias("column"))
+    both = classes.members.where(F.col("table").isin(t1, t2)).join(classes.columns, "class")
+    return both.groupBy("column").agg(F.count("*").alias("_n")).where("_n = 2").select("column")
 
 
 def column_info(catalogue: DataFrame, table: str, column: str) -> DataFrame:

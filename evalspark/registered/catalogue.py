@@ -56,7 +56,22 @@ def _clinical(spark, sf):
     """SELECT a."table" AS t1, b."table" AS t2, array_to_string(list_sort(list_distinct(list(a."column"))), '|') AS columns
       FROM used a JOIN used b ON a."column" = b."column" AND a."table" <> b."table" GROUP BY 1, 2""", _USED))
 def c1(spark, sf):
-    return c.join_paths(_used(spark, sf)).withColumn("columns", joined("columns"))
+    return c.join_paths(c.join_classes(_used(spark, sf))).withColumn("columns", joined("columns"))
+
+
+@register("C1_column_links", over_log(
+    """SELECT "column", CAST(COUNT(*) AS BIGINT) AS n_tables, COUNT(DISTINCT cols) AS n_classes, COUNT(*) * (COUNT(*) - 1) AS links
+      FROM used JOIN (SELECT "table", list_sort(list("column")) AS cols FROM used GROUP BY "table") USING ("table")
+      GROUP BY "column" HAVING COUNT(*) > 1""", _USED))
+def c1_links(spark, sf):
+    return c.column_links(c.join_classes(_used(spark, sf)))
+
+
+@register("C1_paths_of_table", over_log(
+    """SELECT a."table" AS t1, b."table" AS t2, array_to_string(list_sort(list_distinct(list(a."column"))), '|') AS columns
+      FROM used a JOIN used b ON a."column" = b."column" AND a."table" <> b."table" WHERE a."table" IN ('customer', 'lineitem') GROUP BY 1, 2""", _USED))
+def c1_paths(spark, sf):
+    return c.join_paths(c.join_classes(_used(spark, sf)), ["customer", "lineitem"]).withColumn("columns", joined("columns"))
 
 
 @register("C2_pk_fk_edges", "WITH " + _KEYED + """ SELECT a."table", b."table" AS other, a."column",
@@ -69,18 +84,14 @@ def c2(spark, sf):
 
 @register("C3_tables_with_column", over_log("""SELECT DISTINCT "table" FROM used WHERE "column" = 'o_custkey'""", _USED))
 def c3(spark, sf):
-    return c.tables_with_column(_used(spark, sf), "o_custkey")
+    return c.tables_with_column(c.join_classes(_used(spark, sf)), "o_custkey")
 
 
 @register("C3_join_columns", over_log(
     """SELECT 'orders' AS t1, b."table" AS t2, b."column" FROM used a JOIN used b ON a."column" = b."column"
       AND a."table" <> b."table" WHERE a."table" = 'orders'""", _USED))
 def c3_joins(spark, sf):
-    paths = c.join_paths(_used(spark, sf))
-    near = c.joinable_tables(paths, "orders").withColumnRenamed("table", "t2")
-    return (
-        paths.where("t1 = 'orders'").join(near, "t2", "left_semi")
-        .select("t1", "t2", F.explode("columns").alias("column")))
+    return c.join_paths(c.join_classes(_used(spark, sf)), ["orders"]).select("t1", "t2", F.explode("columns").alias("column"))
 
 
 @register("C4_column_info", over_log(

@@ -1,6 +1,7 @@
-"""Samples of column values that are cut to size in each task."""
+"""Tables that share columns, by classes; C5: samples of column values that are cut to size in each task."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,49 @@ def test_an_empty_table_and_a_catalogue(spark):
     known = spark.createDataFrame([("b", "x")], "table string, column string")
     tables = {"a": _table(spark), "b": spark.range(3).toDF("x")}
     assert {(r.table, r.value) for r in c.sample_tables(tables, known).collect()} == {("b", "0"), ("b", "1"), ("b", "2")}
+
+
+# --- join paths ----------------------------------------------------------------
+
+def _catalogue(spark, seed):
+    draw = random.Random(seed)
+    columns = ["item_id", "items_id", "t3_id", "t4_id", "a", "b", "c"]
+    rows = [(t, col) for t in ["item", "items", "t3", "t3s", "t4", *(f"x{i}" for i in range(15))] for col in columns if draw.random() < 0.4]
+    return rows, spark.createDataFrame(rows + rows[:5], "table string, column string")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_classes_give_all_pairs(spark, seed):
+    rows, catalogue = _catalogue(spark, seed)
+    of = {}
+    for t, col in rows:
+        of.setdefault(t, set()).add(col)
+    want = {(a, b): sorted(of[a] & of[b]) for a in of for b in of if a != b and of[a] & of[b]}
+    classes = c.join_classes(catalogue)
+    assert {(r.t1, r.t2): r.columns for r in c.join_paths(classes).collect()} == want
+    some = {(r.t1, r.t2): r.columns for r in c.join_paths(classes, ["t3", "x1", "none"]).collect()}
+    assert some == {k: v for k, v in want.items() if k[0] in ("t3", "x1")}
+    holders = {col: [t for t in of if col in of[t]] for _, col in rows}
+    links = {r.column: (r.n_tables, r.n_classes, r.links) for r in c.column_links(classes).collect()}
+    assert links == {col: (len(ts), len({frozenset(of[t]) for t in ts}), len(ts) * (len(ts) - 1)) for col, ts in holders.items() if len(ts) > 1}
+    assert sum(n for _, _, n in links.values()) == sum(map(len, want.values()))
+    assert {r.table for r in c.tables_with_column(classes, "a").collect()} == set(holders.get("a", []))
+    assert {r.column for r in c.join_columns(classes, "t3", "t4").collect()} == of.get("t3", set()) & of.get("t4", set())
+    assert {r.table for r in c.joinable_tables(classes, "t3").collect()} == {b for a, b in want if a == "t3"}
+    for singular in (False, True):
+        def named(t, col):
+            return col == f"{t}_id" or singular and col == f"{t.removesuffix('s')}_id"
+        edges = {(a, b, col, "incoming" if named(a, col) else "outgoing") for (a, b), cols in want.items() for col in cols
+                 if col.endswith("_id") and (named(a, col) or named(b, col))}
+        got = [tuple(r) for r in c.key_edges(catalogue, singular).collect()]
+        assert len(got) == len(set(got)) and set(got) == edges
+
+
+def test_a_column_that_every_table_has(spark):
+    """3,000 tables of two classes: 9 million pairs, of which none is made."""
+    catalogue = spark.range(3_000).select(
+        F.concat(F.lit("t"), "id").alias("table"), F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit("id"), F.lit("x"))).otherwise(F.array(F.lit("id")))).alias("column"))
+    classes = c.join_classes(catalogue)
+    assert {tuple(r) for r in c.column_links(classes).collect()} == {("id", 3_000, 2, 8_997_000), ("x", 1_000, 1, 999_000)}
+    assert classes.columns.count() == 3
+    assert c.join_paths(classes, ["t0"]).count() == 2_999

@@ -50,12 +50,13 @@ def _clinical_catalogue(spark):
 def test_clinical_catalogue(spark):
     cat = _clinical_catalogue(spark).cache()
     assert cat.select("table").distinct().count() == 17 and cat.count() == 91
-    paths = c.join_paths(cat)
+    classes = c.join_classes(cat)
+    paths = c.join_paths(classes)
     assert paths.count() == 180
     assert {r["column"]: r["n"] for r in cat.groupBy("column").agg(F.count("*").alias("n")).collect()}["subject_id"] == 13
-    assert c.tables_with_column(cat, "hadm_id").count() == 12 and c.tables_with_column(cat, "stay_id").count() == 4
+    assert c.tables_with_column(classes, "hadm_id").count() == 12 and c.tables_with_column(classes, "stay_id").count() == 4
     assert c.key_edges(cat).count() == 0
-    assert [r["column"] for r in c.join_columns(paths, "d_items", "chartevents").collect()] == ["itemid"]
+    assert [r["column"] for r in c.join_columns(classes, "d_items", "chartevents").collect()] == ["itemid"]
     summary = {r["table"]: r for r in c.schema_summary(cat).collect()}
     assert summary["d_icd_diagnoses"]["kind"] == "diagnosis records with ICD codes"
     assert summary["icustays"]["line"] == "- icustays table: Contains ICU stay information (key columns: subject_id, hadm_id, stay_id)"
