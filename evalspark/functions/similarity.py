@@ -1,8 +1,8 @@
-"""Text, clause and plan similarity (W6, W8, W9): the only Python functions.
+"""Text and plan similarity (W8, W9) in Python.
 
-They run as Arrow UDFs over whole columns.  Identical pairs are common in query
+It runs as Arrow UDFs over whole columns.  Identical pairs are common in query
 logs (empty answers, a popular question asked of many models), so the operators
-in ``workload`` call them on distinct pairs only.
+in ``workload`` call it on distinct pairs only.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-CLAUSES = ("select", "from", "where", "group_by", "having", "order_by", "limit")
+from .clauses import CLAUSES
+
 _OPENERS = {
     "select": r"SELECT", "from": r"FROM", "where": r"WHERE", "group_by": r"GROUP\s+BY",
     "having": r"HAVING", "order_by": r"ORDER\s+BY", "limit": r"LIMIT",
@@ -59,9 +60,9 @@ def _closing(text: str, start: int) -> int:
 
 
 def split_clauses(query: str | None) -> dict:
-    """The seven clauses of the outer query, and its outermost parenthesised sub-selects.
+    """The seven clauses of the outer query, and its outermost parenthesised sub-selects, of one text.
 
-    Sub-selects are taken out before the clauses are read, so their keywords do
+    Scores of a pair need them beside the ratio; for columns see ``clauses.split_clauses``.  Sub-selects are taken out before the clauses are read, so their keywords do
     not end an outer clause, and put back as ``(SELECT <text>)`` afterwards.
     """
     text = re.sub(r"\s+", " ", (query or "").strip())
@@ -128,9 +129,6 @@ def _struct_udf(fn: Callable[..., dict], schema: str):
     return apply
 
 
-clauses_of = _struct_udf(
-    split_clauses, ", ".join([f"{c}_clause string" for c in CLAUSES] + ["subqueries array<string>"])
-)
 similarities = _struct_udf(
     query_ratios,
     ", ".join(["query_similarity double"] + [f"{c}_clause_similarity double" for c in CLAUSES]),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import results as res
 from ..functions import sqltext as sql
-from ..functions.similarity import CLAUSES, clauses_of, compare_plans
+from ..functions.clauses import CLAUSES, split_clauses, subselect_tree
+from ..functions.similarity import compare_plans
 from ..functions.text import concat_all
 from ..operators import workload as w
 from ..operators.profile import sql_components
@@ -246,20 +247,41 @@ _STOPS = {
 }
 
 
-def _clause(name: str) -> str:
+def _clause(name: str, side: str) -> str:
     stops = "".join(f"[ ]+{stop}\\b|" for stop in _STOPS[name])
-    text = f"regexp_extract(o, '(?is){name.replace('_', ' ').upper()}[ ]+(.*?)(?:{stops}\\z)', 1)"
-    return f"replace(trim({text}), 'SUBQUERY_0', concat('SELECT ', s[2:-2])) AS {name}_clause"
+    text = f"regexp_extract({side}_o, '(?is){name.replace('_', ' ').upper()}[ ]+(.*?)(?:{stops}\\z)', 1)"
+    return f"replace(trim({text}), 'SUBQUERY_0', concat('SELECT ', {side}_s[2:-2])) AS {side}_{name}_clause"
+
+
+def _split_sql(side: str, query: str) -> str:
+    return f"""SELECT id, {side}_s, CASE WHEN {side}_s = '' THEN q ELSE replace(q, {side}_s, '(SUBQUERY_0)') END AS {side}_o FROM (
+      SELECT id, q, regexp_extract(q, '{_SUB}') AS {side}_s FROM (SELECT id, coalesce({query}, '') AS q FROM log))"""
 
 
 @register("W6_split_clauses", over_log(
-    f"""SELECT id, {', '.join(_clause(c) for c in CLAUSES)}, s[2:-2] AS subqueries FROM (
-      SELECT id, s, CASE WHEN s = '' THEN q ELSE replace(q, s, '(SUBQUERY_0)') END AS o FROM (
-      SELECT id, q, regexp_extract(q, '{_SUB}') AS s FROM (SELECT id, coalesce(true_query, '') AS q FROM log)))"""))
+    "SELECT id, " + ", ".join(_clause(c, side) for side in ("true", "gen") for c in CLAUSES)
+    + f", true_s[2:-2] AS true_subqueries, gen_s[2:-2] AS gen_subqueries FROM ({_split_sql('true', 'true_query')}) "
+      f"JOIN ({_split_sql('gen', 'generated_sql')}) USING (id)"))
 def w6(spark, sf):
-    rows = query_log(spark, sf).select("id", "true_query")
-    return rows.withColumn("c", clauses_of("true_query")).select(
-        "id", *[f"c.{c}_clause" for c in CLAUSES], joined("c.subqueries").alias("subqueries"))
+    rows = query_log(spark, sf).select(
+        "id", split_clauses(F.col("true_query")).alias("true"), split_clauses(F.col("generated_sql")).alias("gen"))
+    return rows.select("id", *[F.col(f"{side}.{c}_clause").alias(f"{side}_{c}_clause") for side in ("true", "gen") for c in CLAUSES],
+                       *[joined(f"{side}.subqueries").alias(f"{side}_subqueries") for side in ("true", "gen")])
+
+
+# each query two levels deep, so that its own sub-select is on the third
+_DEEP = "concat('SELECT a FROM (SELECT b FROM (', {0}, ') x WHERE c > 0) y')"
+
+
+@register("W6_subselect_tree", over_log(
+    f"""SELECT query_id, CAST(n AS INT) AS id, CASE WHEN n > 0 THEN CAST(n - 1 AS INT) END AS parent, CAST(n + 1 AS INT) AS depth, text FROM (
+      SELECT id AS query_id, unnest(range(0, len(texts))) AS n, unnest(texts) AS text FROM (
+      SELECT id, [concat('SELECT b FROM (', true_query, ') x WHERE c > 0'), true_query]
+        || CASE WHEN s = '' THEN CAST([] AS VARCHAR[]) ELSE [s[2:-2]] END AS texts
+      FROM (SELECT id, true_query, regexp_extract(true_query, '{_SUB}') AS s FROM log WHERE true_query IS NOT NULL)))"""))
+def w6_tree(spark, sf):
+    deep = query_log(spark, sf).where("true_query IS NOT NULL").select(F.col("id").alias("query_id"), F.expr(_DEEP.format("true_query")).alias("q"))
+    return deep.select("query_id", F.inline(subselect_tree(F.col("q"))))
 
 
 @register("W7_set_overlap", over_log(

@@ -11,7 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evalspark.functions.results import compare_results, result_structure
-from evalspark.functions.similarity import CLAUSES, clauses_of, compare_plans, similarities, split_clauses, text_ratio
+from evalspark.functions.clauses import CLAUSES
+from evalspark.functions.clauses import split_clauses as clauses_of
+from evalspark.functions.similarity import compare_plans, similarities, split_clauses, text_ratio
 from evalspark.operators import sensitivity as v
 from evalspark.operators import workload as w
 from evalspark.plans.evaluation import compare_queries, repair_round
@@ -71,7 +73,7 @@ PAIRS = [
 
 def test_similarities_match_difflib(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(PAIRS)], "i int, a string, b string")
-    rows = df.repartition(3).select("i", similarities("a", "b").alias("s"), clauses_of("a").alias("c")).collect()
+    rows = df.repartition(3).select("i", similarities("a", "b").alias("s"), clauses_of(F.col("a")).alias("c")).collect()
     assert len(rows) == len(PAIRS)
     for row in rows:
         a, b = (x or "" for x in PAIRS[row["i"]])
