@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, stored
 
-TRIGGER_BITS = 7
+TRIGGER_BITS = 6
 TRIGGER_BYTES = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
