@@ -142,7 +142,7 @@ def describe(df: DataFrame, value: str, by: list[str] = (), wide: bool = False)
     """Count, mean, sample deviation, minimum, exact quartiles, maximum.
 
     A score has few distinct values, so its quartiles ride along in one pass;
-    ``wide`` is for values of any variety, whose quartiles are ranked in slices.
+    ``wide`` is for values of any variety, whose quartiles come from counts of their digits.
     """
     by, shares = list(by), {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     names = ["count", "mean", "std", "min", *shares, "max"]

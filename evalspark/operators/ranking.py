@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.times import micros
+from ..session import work_path
 
 
 def first_rows(df: DataFrame, by: list[str], order: list[Column], k: int = 1, rank: str = "_rn") -> DataFrame:
@@ -72,40 +74,80 @@ def weight_before(
     return kept.join(counted, [*keys, at])
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], slices: int = 200) -> DataFrame:
-    """Exact interpolated quantiles per group, for values of any variety.
+def ordered_bits(value: Column) -> Column:
+    """A double as a long in the same order: its 64 bits by arithmetic, negated below zero; NaN comes last.
 
-    Distinct values are counted, cut into slices of like size at approximate
-    quantiles, and ranked by running counts over the slices and within each, so
-    a hot group is spread over its slices.  (For values of a small domain, such
+    Powers of two, and products and quotients with them, are exact, so different numbers have different longs.
+    """
+    size = F.abs(value)
+    guess = F.floor(F.log2(size)).cast("int")
+
+    def bits(g: Column) -> Column:  # the logarithm may be off by one next to a power of two
+        exponent = g - F.when(F.pow(F.lit(2.0), g) > size, 1).otherwise(0) + F.when(F.pow(F.lit(2.0), g + 1) <= size, 1).otherwise(0)
+        fraction = let(exponent, lambda e: (
+            (e + 1023).cast("long") * F.lit(1 << 52) + ((size / F.pow(F.lit(2.0), e) - 1.0) * float(1 << 52)).cast("long")))
+        return fraction
+
+    tiny = (size * 2.0 ** 537 * 2.0 ** 537).cast("long")  # below the least normal number
+    positive = F.when(size < 2.0 ** -1022, tiny).when(size > 1.7976931348623157e308, F.lit(2047 << 52)).otherwise(let(guess, bits))
+    return F.when(F.isnan(value), F.lit((1 << 63) - 1)).when(value < 0, -positive).otherwise(positive)
+
+
+_DIGIT_BITS = 16  # a digit of a 64-bit number; four passes look at one each
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Exact interpolated quantiles per group, for values of any variety: (by, quantiles).
+
+    Values are read as 64-bit numbers in the same order.  Four passes count them by their next 16 bits, among those whose
+    higher bits may still hold a wanted rank, so what is shuffled is counters, at most 65,536 of a group and rank
+    however many values there are; no value is sorted.  The counters of a pass are written down before the next one
+    starts.  NULLs do not count, and groups of them alone are left out.  (For values of a small domain, such
     as word counts, the ``percentile`` aggregate does the same in one pass.)
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    steps = [i / slices for i in range(1, slices)]
-    cuts = counted.groupBy(*by).agg(
-        F.percentile_approx(value, steps, 10 * slices).alias("_cuts"), F.sum("_n").alias("_total"))
-    placed = (
-        counted.join(cuts, list(by))
-        .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-        .repartition(*by, "_slice")
-    )
-    lower = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        placed.groupBy(*by, "_slice").agg(F.sum("_n").alias("_sum"))
-        .withColumn("_base", F.coalesce(F.sum("_sum").over(lower), F.lit(0))).drop("_sum")
-    )
-    smaller = Window.partitionBy(*by, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("_base") + F.coalesce(F.sum("_n").over(smaller), F.lit(0))
-    ranked = placed.join(bases, [*by, "_slice"]).withColumn("_first", first)
-
-    def at(position: Column) -> Column:
-        here = (F.col("_first") <= position) & (position < F.col("_first") + F.col("_n"))
-        return F.max(F.when(here, F.col(value).cast("double")))
-
-    def quantile(share: float) -> Column:
-        place = F.col("_total").cast("double") * share - share
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        part = F.max(place - F.floor(place))
+    spark = df.sparkSession
+    number = F.col(value).cast("double")
+    keyed = df.where(F.col(value).isNotNull()).select(*by, number.alias("_value"), ordered_bits(number).alias("_bits"))
+    same = lambda columns: [F.col(c).eqNullSafe(F.col(f"_a{c}")) for c in columns]
+
+    def wanted(total: Column) -> Column:
+        """(rank, part): the ranks from 0 that the shares ask for; part is the place between a share's two."""
+        ranks = []
+        for i, share in enumerate(shares):
+            place = total.cast("double") * share - share
+            for side, rank in enumerate((F.floor(place), F.ceil(place))):
+                ranks.append(F.struct(F.lit(2 * i + side).alias("slot"), rank.alias("rank"), (place - F.floor(place)).alias("part")))
+        return F.array(*ranks)
+
+    targets = None
+    for digit in range(1, 64 // _DIGIT_BITS + 1):
+        prefix = F.shiftright("_bits", 64 - digit * _DIGIT_BITS)
+        rows = keyed.withColumn("_prefix", prefix)
+        if targets is not None:
+            open_ = targets.select(*[F.col(c).alias(f"_a{c}") for c in by], F.col("_prefix").alias("_above")).distinct()
+            rows = rows.withColumn("_before", F.shiftright("_prefix", _DIGIT_BITS)).join(
+                open_, [*same(by), F.col("_before") == F.col("_above")], "left_semi")
+        counts = rows.groupBy(*by, "_prefix").agg(F.count("*").alias("_n"), F.min("_value").alias("_value"))
+        if targets is None:
+            group = Window.partitionBy(*by)
+            below = F.sum("_n").over(group.orderBy("_prefix")) - F.col("_n")
+            placed = counts.select("*", below.alias("_below"), wanted(F.sum("_n").over(group)).alias("_targets"))
+        else:
+            within = Window.partitionBy(*by, F.shiftright("_prefix", _DIGIT_BITS)).orderBy("_prefix")
+            asked = targets.groupBy(*by, "_prefix").agg(F.collect_list(F.struct("slot", "rank", "part")).alias("_targets"))
+            asked = asked.withColumnsRenamed({**{c: f"_a{c}" for c in by}, "_prefix": "_above"})
+            placed = counts.withColumns({"_below": F.sum("_n").over(within) - F.col("_n"), "_before": F.shiftright("_prefix", _DIGIT_BITS)}).join(
+                asked, [*same(by), F.col("_before") == F.col("_above")])
+        here = F.filter("_targets", lambda t: (F.col("_below") <= t["rank"]) & (t["rank"] < F.col("_below") + F.col("_n")))
+        found = placed.select(*by, "_prefix", "_below", "_value", F.explode(here).alias("_t")).select(
+            *by, "_prefix", "_value", F.col("_t.slot").alias("slot"), (F.col("_t.rank") - F.col("_below")).alias("rank"), F.col("_t.part").alias("part"))
+        path = work_path(spark, "ranks")
+        found.write.parquet(path)
+        targets = spark.read.schema(found.schema).parquet(path)
+
+    def quantile(i: int) -> Column:
+        low, high = (F.max(F.when(F.col("slot") == 2 * i + side, F.col("_value"))) for side in (0, 1))
+        part = F.max(F.when(F.col("slot") == 2 * i, F.col("part")))
         return F.when(part == 0, low).otherwise((1 - part) * low + part * high)
 
-    return ranked.groupBy(*by).agg(F.array(*[quantile(s) for s in shares]).alias("quantiles"))
+    return targets.groupBy(*by).agg(F.array(*[quantile(i) for i in range(len(shares))]).alias("quantiles"))

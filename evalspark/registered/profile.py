@@ -175,6 +175,15 @@ def d10_orders(spark, sf):
         p.describe(table(spark, sf, "orders"), "o_totalprice", ["o_orderpriority"], wide=True), "mean", "std", "p25", "p50", "p75")
 
 
+@register("D10_describe_lineitem", f"SELECT l_returnflag, {_describe('l_extendedprice')} FROM lineitem GROUP BY l_returnflag"
+          .replace("quantile_cont(l_extendedprice, 0.25)", "round(quantile_cont(l_extendedprice, 0.25), 6)")
+          .replace("quantile_cont(l_extendedprice, 0.5)", "round(quantile_cont(l_extendedprice, 0.5), 6)")
+          .replace("quantile_cont(l_extendedprice, 0.75)", "round(quantile_cont(l_extendedprice, 0.75), 6)"))
+def d10_lineitem(spark, sf):
+    return rounded(
+        p.describe(table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"], wide=True), "mean", "std", "p25", "p50", "p75")
+
+
 @register("D11_component_means", over_log(
     "SELECT component, round(average, 6) AS average FROM (UNPIVOT (SELECT "
     + ", ".join(f"AVG({c}) AS {c}" for c in p.MEAN_COMPONENTS)

@@ -1,16 +1,17 @@
 """Ordered operators against brute force, with keys that hold most of the rows."""
 
 import datetime as dt
+import math
 import random
+import struct
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions.times import in_years, julian_day_diff, moment, shift, shift_overflow
 from evalspark.operators import clinical as c
 from evalspark.operators import workload as w
-from evalspark.operators.ranking import exact_quantiles, first_rows, top_k_with_ties, weight_before
+from evalspark.operators.ranking import exact_quantiles, first_rows, ordered_bits, top_k_with_ties, weight_before
 
 
 def _times(n, seed, hot_share=0.6):
@@ -70,15 +71,45 @@ def test_first_rows_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-@pytest.mark.parametrize("slices", [3, 50])
-def test_exact_quantiles(spark, slices):
+def test_exact_quantiles(spark):
     rnd = random.Random(7)
+    odd = [0.0, -0.0, 1e-320, -1e-320, 5e-324, 1e300, -1e300, math.inf, 2.0, math.nextafter(2.0, 0), math.nextafter(2.0, 3)]
     rows = [("a" if rnd.random() < 0.8 else "b", round(rnd.gauss(0, 50), 1)) for _ in range(2000)]
-    df = spark.createDataFrame(rows, "g string, v double")
+    rows += [(None, rnd.choice(odd)) for _ in range(300)] + [("one", -7.25), ("none", None), ("c", 1.0), ("c", None)]
+    rows += [("near", 1.0 + i * 2.0 ** -52) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
     shares = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
-    for r in exact_quantiles(df, ["g"], "v", shares, slices).collect():
-        want = np.quantile([v for g, v in rows if g == r["g"]], shares)
-        assert r["quantiles"] == pytest.approx(list(want))
+    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, ["g"], "v", shares).collect()}
+    assert set(got) == {"a", "b", None, "one", "c", "near"}
+    for g, values in got.items():
+        held = sorted(v for k, v in rows if k == g and v is not None)
+        want = []
+        for share in shares:
+            place = len(held) * share - share
+            low, part = held[math.floor(place)], place - math.floor(place)
+            want.append(low if part == 0 else (1 - part) * low + part * held[math.ceil(place)])
+        assert got[g] == want
+
+
+def test_bits_keep_the_order(spark):
+    rnd = random.Random(1)
+    values = [struct.unpack("<d", rnd.randbytes(8))[0] for _ in range(4000)] + [0.0, -0.0, 5e-324, math.inf, -math.inf, 2.0 ** -1022]
+    values += [x for e in range(-1074, 1024, 7) for p in [2.0 ** e] for x in (p, -p, math.nextafter(p, 0), math.nextafter(p, math.inf))]
+    values = [v for v in values if v == v]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_bits(F.col("v")).alias("b")).collect()
+    for r in rows:
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.b == (-bits if r.v < 0 else bits)
+    assert spark.createDataFrame([(math.nan,)], "v double").select(ordered_bits(F.col("v"))).first()[0] == 2**63 - 1
+
+
+def test_quantiles_shuffle_counters_only(spark):
+    """200,000 different values of one group: no sort of values, and the last pass counts those of one digit alone."""
+    df = spark.range(200_000).select(F.lit(1).alias("g"), (F.col("id") * 1.000001).alias("v"))
+    out = exact_quantiles(df, ["g"], "v", [0.5])
+    assert out.first()["quantiles"] == [pytest.approx(99_999.5 * 1.000001)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
 
 
 def test_result_tables(spark):
