@@ -1,16 +1,17 @@
 """Bytes covered by long strings that occur more than once in a corpus, by prefix-free parsing.
 
-A rolling hash over eight bytes fires at about one position in ``2 ** TRIGGER_BITS``.  These triggers cut every text into
-phrases in the same way wherever the same bytes stand, so a string is named by its first trigger, the bytes before it
-and the bytes after it.  The strings of ``length`` bytes whose first trigger is at one place are one unit: a slice of the
-corpus order of suffixes.  Units are put in order by two names, of the suffix from the trigger on as deep as all of the
-unit's strings reach (``core``) and of the unit's whole bytes (``full``), as only ties in that order matter:
+The trigger of a string is the least of the rolling hashes (over eight bytes) in its first third.  It depends on the string alone, so
+it is the same wherever the same bytes stand, every string has one, and the triggers of a text cut it into phrases.  The strings of
+``length`` bytes that share one trigger are one unit: a slice of the corpus order of suffixes.  Units are told apart by two
+names, of the suffix from the trigger on as deep as all strings with that trigger reach (``core``) and of the unit's whole
+bytes (``full``), as only ties in that order matter:
 
 - a core that occurs once: none of the unit's strings occurs elsewhere, and the unit is done;
 - a core with one full name, more than once: all of them do;
 - a core with several full names: the unit lies at the border of a repeat.  Only there the strings are named one by one.
 
-Repetitive text thus costs two rows per phrase, not one per byte.
+Text thus costs one row per phrase, about two per third of ``length``, not one per byte; text with a period costs
+one row per period.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, stored
 
-TRIGGER_BITS = 6
 TRIGGER_BYTES = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,56 +34,54 @@ def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def triggers(data: bytes) -> np.ndarray:
-    """Starts of the eight-byte windows whose hash fires."""
+def window(length: int) -> int:
+    """How many places of a string its trigger is chosen from: a power of two, about a third of its bytes."""
+    places = min(length // 3, length - TRIGGER_BYTES + 1)
+    return 1 << places.bit_length() - 1 if places > 0 else 1
+
+
+def rolling(data: bytes) -> np.ndarray:
+    """Hashes of all eight-byte windows."""
     n = len(data) - TRIGGER_BYTES + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
     value = np.empty(n, np.uint64)
     for k in range(min(TRIGGER_BYTES, n)):
         value[k::TRIGGER_BYTES] = np.frombuffer(data, "<u8", len(range(k, n, TRIGGER_BYTES)), k)
     with np.errstate(over="ignore"):
         mixed = (value ^ (value >> np.uint64(29))) * _ODD
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * _ODD
-    return np.flatnonzero(mixed >> np.uint64(64 - TRIGGER_BITS) == 0)
+        return (mixed ^ (mixed >> np.uint64(32))) * _ODD
 
 
-def units(data: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """(first start, last start, begin of core, end of core) of the units of one text.
+def triggers(data: bytes, length: int) -> np.ndarray:
+    """For each string of ``length`` bytes of a text, the place of its trigger: the first of the least hashes in its window."""
+    strings, places = len(data) - length + 1, window(length)
+    if places == 1:
+        return np.arange(max(strings, 0))
+    least = rolling(data)[:strings + places - 1]
+    at, step = np.arange(len(least)), 1
+    while step < places:
+        right = least[step:] < least[:-step]
+        at = np.where(right, at[step:], at[:-step])
+        least = np.where(right, least[step:], least[:-step])
+        step *= 2
+    return at
 
-    Strings whose first trigger lies within a quarter, a half or the whole of ``length`` after their start have cores of
-    three quarters, a half or none of ``length`` less than that; strings without a trigger are units of their own.
-    """
-    strings = len(data) - length + 1
-    if strings <= 0:
+
+def units(data: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """(first start, last start, begin of core, end of core) of the units of one text: strings that follow each other and have one trigger."""
+    if len(data) < length:
         return (np.empty(0, np.int64),) * 4
-    fire = triggers(data)
-    before = np.concatenate([[-1], fire[:-1]]) if len(fire) else fire
-    last_reach = length - TRIGGER_BYTES  # a string's trigger must lie in it
-    rows = []
-    low = -1
-    for far in (length // 4, length // 2, last_reach):
-        first = np.maximum(before + 1, fire - far)
-        last = np.minimum(fire - low - 1, strings - 1)
-        ok = first <= last
-        rows.append((first[ok], last[ok], fire[ok], fire[ok] + length - far))
-        low = far
-    seen = np.zeros(strings + 1, np.int32)  # strings that have a trigger
-    first, last = np.maximum(before + 1, fire - last_reach), np.minimum(fire, strings - 1)
-    ok = first <= last
-    np.add.at(seen, first[ok], 1)
-    np.add.at(seen, last[ok] + 1, -1)
-    lone = np.flatnonzero(np.cumsum(seen[:-1]) == 0)
-    rows.append((lone, lone, lone, lone + length))
-    return tuple(np.concatenate(x) for x in zip(*rows, strict=True))
+    fire = triggers(data, length)
+    first = np.flatnonzero(np.diff(fire, prepend=-1))
+    last = np.append(first[1:], len(fire)) - 1
+    return first, last, fire[first], fire[first] + length - window(length) + 1
 
 
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _parsed(texts: DataFrame, length: int, places: bool) -> DataFrame:
-    """A row per unit of each text: (core, full) and, with ``places``, (k1, k2, first, last)."""
+def _parsed(texts: DataFrame, length: int) -> DataFrame:
+    """(core, full, k1, k2, first, last): a row per unit of each text."""
     digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,14 +93,11 @@ def _parsed(texts: DataFrame, length: int, places: bool) -> DataFrame:
                     continue
                 core = _signed([digest(data[a:b], 1) for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
                 full = _signed([digest(data[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)])
-                columns = [core, full]
-                if places:
-                    columns += [pa.array(np.full(len(first), batch.column(k)[n].as_py(), np.int64)) for k in (0, 1)]
-                    columns += [pa.array(first, pa.int32()), pa.array(last, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                keys = [pa.array(np.full(len(first), batch.column(k)[n].as_py(), np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([core, full, *keys, pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=names)
 
-    names = ["core", "full", *(["k1", "k2", "first", "last"] if places else [])]
-    return texts.select("k1", "k2", "text").mapInArrow(run, "core long, full long" + (", k1 long, k2 long, first int, last int" if places else ""))
+    names = ["core", "full", "k1", "k2", "first", "last"]
+    return texts.select("k1", "k2", "text").mapInArrow(run, "core long, full long, k1 long, k2 long, first int, last int")
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -115,10 +110,11 @@ def repeated(texts: DataFrame, length: int) -> DataFrame:
 
     ``texts`` has (k1, k2, id, text), a row per document.
     """
-    cores = _parsed(texts, length, False).groupBy("core").agg(
+    parsed = stored(_parsed(texts, length), "parse")
+    cores = parsed.groupBy("core").agg(
         F.count("*").alias("n"), F.min("full").alias("low"), F.max("full").alias("high")).filter("n > 1")
     cores = cores.select("core", (F.col("low") == F.col("high")).alias("same"))
-    met = _parsed(texts, length, True).join(cores, "core")
+    met = parsed.join(cores, "core")
     # copies of a text give equal rows: counted here, one row from now on
     met = stored(met.groupBy("core", "full", "k1", "k2", "first", "last").agg(F.count("*").alias("n"), F.first("same").alias("same")), "units")
     sure = met.filter("same").select("k1", "k2", "first", "last")
