@@ -9,7 +9,8 @@ from pyspark.sql import Window
 from ..functions import sqltext as sql
 from ..functions.results import result_structure
 from ..functions.text import contains_any, let, words
-from .ranking import exact_quantiles, first_rows
+from .heavy import most_frequent
+from .ranking import exact_quantiles
 
 # fixed values: first words that type a question
 QUESTION_STARTERS = ("what", "how", "when", "where", "which", "who", "why", "is", "are", "can", "do", "does")
@@ -89,12 +90,11 @@ def five_numbers(df: DataFrame, by: list[str], value: str = "question_word_count
 def word_frequency(df: DataFrame, by: list[str], text: str, stop_words: list[str], k: int = 15) -> DataFrame:
     """The ``k`` most frequent words per group, ties by word.
 
-    Lower-cases, drops everything but letters, digits, underscores and blanks, then stop words.
+    Lower-cases, drops everything but letters, digits, underscores and blanks, then stop words.  Counts are exact, but only of
+    words that may be among the first; summaries of bounded size tell which.
     """
     clean = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x{85}\p{Z}]", "")
-    each = df.select(*by, F.explode(words(clean)).alias("word")).where(~F.col("word").isin(list(stop_words)))
-    counts = each.groupBy(*by, "word").agg(F.count("*").alias("n"))
-    return first_rows(counts, list(by), [F.desc("n"), F.asc("word")], k, rank="position")
+    return most_frequent(df.select(*by, words(clean).alias("_words")), list(by), "_words", k, list(stop_words))
 
 
 def default_stop_words(spark) -> list[str]:
