@@ -423,22 +423,23 @@ def merge_back(
     """Outcomes of repaired rows replace those of the failed base rows they belong to.
 
     Rows belong together by ``keys`` (default: the model, if both sides have it, and the id).  Of several repaired rows
-    of one key the last by ``order`` counts.  Rows that did not fail stay as they are.
+    of one key the last by ``order`` counts.  Rows that did not fail stay as they are.  A base that was merged before keeps
+    the outcomes it had before any repair, so merging the same repairs again changes nothing.
     """
     keys = _row_keys(base, repaired, keys)
-    taken = ["success", "valid_sql", "error", *(["results"] if "results" in repaired.columns else [])]
+    taken = ["success", "valid_sql", "error", *(["results"] if "results" in repaired.columns and "results" in base.columns else [])]
     one = _one_per_key(repaired, keys, F.struct(*taken), order)
-    hit = F.col("_new").isNotNull() & F.coalesce(~F.col("success_before"), F.lit(False))
-    merged = base.withColumn("success_before", F.col("success")).join(one, keys, "left").withColumn("validation_applied", hit)
-    hit = F.col("validation_applied")
-    updates = {
-        "success": F.when(hit, F.col("_new.success")).otherwise(F.col("success")),
-        "error": F.when(hit, F.col("_new.error")).otherwise(F.col("error")),
-        "final_query": F.when(hit, F.col("_new.valid_sql")).otherwise(F.col(gen)),
-    }
-    if "results" in taken:
-        updates["results"] = F.when(hit, F.col("_new.results")).otherwise(F.col("results"))
-    return merged.withColumns(updates).drop("_new")
+
+    def earlier(column: str, fresh: Column) -> Column:
+        return F.col(column) if column in base.columns else fresh
+
+    merged = base.withColumns({
+        "success_before": earlier("success_before", F.col("success")), "validation_applied": earlier("validation_applied", F.lit(False)),
+        "final_query": earlier("final_query", F.col(gen))}).join(one, keys, "left")
+    merged = merged.withColumn("_hit", F.col("_new").isNotNull() & F.coalesce(~F.col("success_before"), F.lit(False)))
+    new = {"success": "success", "error": "error", "final_query": "valid_sql", **({"results": "results"} if "results" in taken else {})}
+    updates = {column: F.when(F.col("_hit"), F.col(f"_new.{source}")).otherwise(F.col(column)) for column, source in new.items()}
+    return merged.withColumns({**updates, "validation_applied": F.col("_hit") | F.col("validation_applied")}).drop("_new", "_hit")
 
 
 def phase_rates(merged: DataFrame, by: list[str] = ()) -> DataFrame:

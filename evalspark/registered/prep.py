@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import prep as p
@@ -11,9 +13,9 @@ from .base import over_log, query_log, register, table
 # the schema paragraph of the shipped tables
 _TABLES = ("customer", "orders", "lineitem", "part")
 _SCHEMA = "\n".join([
-    "Database Schema:",
+    "Tables:",
     *[f"- {t} table: Contains related healthcare data" for t in _TABLES],
-    "", "Common table joins:", *[f"- {j}" for j in p.COMMON_JOINS], "", p.UNANSWERABLE])
+    "", "Usual joins:", *[f"- {a} and {b} by {', '.join(columns)}" for a, b, columns in p.COMMON_JOINS], "", p.NOTES])
 
 _EXAMPLES = [
     {"question": "how many orders did customer 7 place", "sql": "SELECT COUNT(*) FROM orders WHERE o_custkey = 7"},
@@ -42,9 +44,18 @@ def _chat(system: str, user: str, assistant: str) -> str:
     )
 
 
+def _sql(template: str, **values: str) -> str:
+    """A template as SQL: names in braces are replaced by SQL expressions."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return "concat(" + ", ".join(values[x] if i % 2 else _lit(x) for i, x in enumerate(parts) if i % 2 or x) + ")"
+
+
+def _error(column: str) -> str:
+    return f"CASE WHEN {column} <> '' THEN {_sql(p.ERROR_LINE, error=column)} ELSE '' END"
+
+
 @register("P1_chat_rows", over_log("SELECT id, " + _chat(
-    _lit("You are a SQL assistant specialized in medical database queries. Your task is to convert natural language "
-         f"questions into SQL queries for the clinical medical database.\n\n{_SCHEMA}"),
+    _sql(p.CHAT_SYSTEM, database="'clinical'", schema=_lit(_SCHEMA)),
     "question", f"CASE WHEN true_query IS NULL OR trim(true_query) = '' THEN {_lit(p.REFUSAL)} ELSE true_query END")
     + " AS text FROM log"))
 def p1(spark, sf):
@@ -61,12 +72,8 @@ def p2(spark, sf):
 
 
 @register("P3_repair_chat_rows", over_log("SELECT id, " + _chat(
-    _lit(p.FIXER),
-    "concat(" + _lit(
-        "You are an expert at fixing SQL queries specialized for clinical Database. Fix the SQL query based on the error "
-        f"message and database schema information.\n\n{p.VERIFY}\n\nSchema: {_SCHEMA}\n\nQuestion: ")
-    + f", question, {_lit(chr(10) * 2 + 'Original SQL query: ')}, original_query, CASE WHEN error_info <> '' THEN "
-      f"concat({_lit(chr(10) + 'Error message: ')}, error_info) ELSE '' END, {_lit(chr(10) + 'Fixed SQL query: ')})",
+    _lit(p.REPAIR_SYSTEM),
+    _sql(p.REPAIR_USER, database="'clinical'", schema=_lit(_SCHEMA), question="question", query="original_query", error=_error("error_info")),
     "fixed_query") + " AS text FROM examples", _USABLE))
 def p3(spark, sf):
     return p.repair_chat_rows(p.repair_examples(query_log(spark, sf)), _schema(spark, sf)).select("id", "text")
@@ -85,51 +92,33 @@ def p4_hash(spark, sf):
     return p.split(query_log(spark, sf).select("id", "question", "true_query"))
 
 
-_ASK = "Convert these questions to SQL queries in [brackets]. If the question cannot be answered with a SQL query, respond with "
-_SHOWN = "".join(f"Question: {e['question']}\nSQL: [{e['sql']}]\n\n" for e in _EXAMPLES)
+_SHOWN = "".join(f"Question: {e['question']}\nQuery: [{e['sql']}]\n\n" for e in _EXAMPLES)
 
 
-@register("P5_generation_prompts", over_log(f"""SELECT id,
-  concat({_lit('Convert this question to a SQL query in [brackets]:' + chr(10) + 'Question: ')}, question, {_lit(chr(10) + 'SQL:')}) AS zero_shot,
-  concat({_lit(_ASK + '[No SQL query can answer this]:' + chr(10) * 2 + _SHOWN + 'Question: ')}, question, {_lit(chr(10) + 'SQL:')}) AS few_shot,
-  concat({_lit(_ASK + '[No SQL query can answer this].' + chr(10) * 2 + '    ' + p.VERIFY + chr(10) * 2 + '    Schema:' + chr(10)
-               + '    ' + _SCHEMA + chr(10) * 2 + 'Question: ')}, question, {_lit(chr(10) + 'SQL:')}) AS schema_aware FROM log"""))
+@register("P5_generation_prompts", over_log(f"""SELECT id, {_sql(p.ZERO_SHOT, question="question")} AS zero_shot,
+  {_sql(p.FEW_SHOT, examples=_lit(_SHOWN), question="question", no_answer=_lit(p.NO_ANSWER))} AS few_shot,
+  {_sql(p.SCHEMA_AWARE, schema=_lit(_SCHEMA), question="question", no_answer=_lit(p.NO_ANSWER))} AS schema_aware FROM log"""))
 def p5(spark, sf):
     return query_log(spark, sf).select(
         "id", p.zero_shot_prompt().alias("zero_shot"), p.few_shot_prompt(_EXAMPLES).alias("few_shot"),
         p.schema_aware_prompt(_schema(spark, sf)).alias("schema_aware"))
 
 
-_FIXER = "You are an expert at fixing SQL queries specialized for clinical Database. Fix the SQL query based on "
 _REPAIRED = "".join(
-    f"Example {i}:\nQuestion: {e['question']}\nOriginal SQL query: {e['original_sql']}\n"
-    + (f"Error message: {e['error']}\n" if e["error"] else "") + f"Fixed SQL query: {e['fixed_sql']}\n\n"
+    f"({i}) Question: {e['question']}\nQuery: {e['original_sql']}\n"
+    + (f"Error: {e['error']}\n" if e["error"] else "") + f"Correct query: {e['fixed_sql']}\n\n"
     for i, e in enumerate(_REPAIRS, 1))
-
-
-def _error(end: str) -> str:
-    return f"CASE WHEN error <> '' THEN concat('Error message: ', error, {_lit(end)}) ELSE '' END"
+_FAILED = {"database": "'clinical'", "question": "question", "query": "generated_sql", "error": _error("error")}
+_EMPTY = f"CASE WHEN row_count = 0 THEN {_lit(p.EMPTY_LINE)} ELSE '' END"
 
 
 def _maybe(prompt: str) -> str:
     return f"CASE WHEN generated_sql <> '' THEN {prompt} END"
 
 
-_ZERO = _maybe(
-    "concat(" + _lit("You are an expert at fixing SQL queries specilized for clinical Database. Please fix this SQL query that has "
-                     "errors.\n\nQuestion: ")
-    + f", question, {_lit(chr(10) * 2 + 'Original SQL query: ')}, generated_sql, {_lit(chr(10) * 2)}, {_error(chr(10) * 2)}, 'Fixed SQL query: ')")
-_FEW = _maybe(
-    "concat(" + _lit(f"{_FIXER}the following examples and the error message.\n\n{_REPAIRED}Now fix this query:\nQuestion: ")
-    + f", question, {_lit(chr(10) + 'Original SQL query: ')}, generated_sql, {_lit(chr(10))}, {_error(chr(10))}, CASE WHEN row_count = 0 THEN "
-    + _lit("Note: This query currently returns 0 rows but should return results.\n") + " ELSE '' END, 'Fixed SQL query: ')")
-_AWARE = _maybe(
-    "concat(" + _lit(f"{_FIXER}the error message and database schema information.\n\n    {p.VERIFY}\n\n    Schema: {_SCHEMA}\n\n    Question: ")
-    + f", question, {_lit(chr(10) * 2 + '    Original SQL query: ')}, generated_sql, {_lit(chr(10) + '    ')}, {_error(chr(10))}, 'Fixed SQL query: ')")
-
-
-@register("P6_repair_prompts", over_log(
-    f"SELECT id, {_ZERO} AS zero_shot, {_FEW} AS few_shot, {_AWARE} AS schema_aware FROM log WHERE NOT success"))
+@register("P6_repair_prompts", over_log(f"""SELECT id, {_maybe(_sql(p.ZERO_SHOT_REPAIR, **_FAILED))} AS zero_shot,
+  {_maybe(_sql(p.FEW_SHOT_REPAIR, examples=_lit(_REPAIRED), empty=_EMPTY, **_FAILED))} AS few_shot,
+  {_maybe(_sql(p.SCHEMA_AWARE_REPAIR, schema=_lit(_SCHEMA), **_FAILED))} AS schema_aware FROM log WHERE NOT success"""))
 def p6(spark, sf):
     failed = query_log(spark, sf).where(~F.col("success"))
     return failed.select(

@@ -14,6 +14,7 @@ from ..operators.profile import sql_components
 from ..operators.statements import run_statements
 from ..plans.evaluation import compare_queries, repair_round, score_models
 from ..plans.scores import ScoreStore
+from ..plans.stored_log import StoredLog
 from ..session import shared_folder, work_path
 from .profile import complexity_ctes
 from .base import joined, over_log, query_log, register, rounded, table, truth_runs
@@ -679,6 +680,19 @@ def w25(spark, sf):
     return _merged(spark, sf).select("id", "model_name", "success_before", "success", "final_query", "error", "validation_applied")
 
 
+@register("W25_merge_stored", over_log(
+    "SELECT id, model_name, success_before, success, final_query, error, validation_applied FROM merged", _FIXES, _FIXED, _MERGED))
+def w25_stored(spark, sf):
+    """The log stored by model and bucket, its repairs merged in place, in two parts and one of them twice."""
+    log = _answers(spark, sf)
+    stored = StoredLog(work_path(spark, "log"), "model_name", buckets=4)
+    stored.write(log)
+    repaired = _rerun(w.apply_fix(w.route_failures(log), _fixes(log)))
+    for part in ("model_name = 'm0'", "model_name <> 'm0'", "model_name = 'm0'"):
+        stored.merge(repaired.where(part))
+    return stored.read(spark).select("id", "model_name", "success_before", "success", "final_query", "error", "validation_applied")
+
+
 @register("W26_phase_rates", over_log(
     """SELECT model_name, COUNT(*) AS total, COUNT(*) FILTER (success_before) AS generated_ok,
       round(COUNT(*) FILTER (success_before) / COUNT(*), 6) AS generation_rate, COUNT(*) FILTER (NOT success_before) AS routed,

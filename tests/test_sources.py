@@ -82,7 +82,7 @@ def test_schema_and_dictionary_json(spark, tmp_path):
     entries = catalogues.read_dictionary_map(spark, str(tmp_path / "d.json"))
     assert c.dictionary_info(entries, "labs").first()["dict_table"] == "d_lab"
     text = p.schema_text(cat)
-    assert text.startswith("Database Schema:\n- b table: Contains related healthcare data\n- a table") and text.endswith("why.")
+    assert text.startswith("Tables:\n- b table: Contains related healthcare data\n- a table") and text.endswith(p.NOTES)
 
 
 def test_sample_values(spark):
@@ -108,8 +108,17 @@ def test_prompts_without_sql_or_error(spark):
     df = spark.createDataFrame([("q", None, None, 0), ("q", "S", None, 0), ("q", "S", "bad", 2)], "question string, generated_sql string, error string, row_count int")
     texts = [r[0] for r in df.coalesce(1).select(p.few_shot_repair_prompt([])).collect()]
     assert texts[0] is None
-    assert texts[1].endswith("Original SQL query: S\nNote: This query currently returns 0 rows but should return results.\nFixed SQL query: ")
-    assert texts[2].endswith("Original SQL query: S\nError message: bad\nFixed SQL query: ")
+    assert texts[1].endswith(f"Query: S\n{p.EMPTY_LINE}Correct query: ")
+    assert texts[2].endswith("Query: S\nError: bad\nCorrect query: ")
+
+
+def test_templates_are_arguments(spark):
+    df = spark.createDataFrame([("q?", "S", "bad", 0)], "question string, generated_sql string, error string, row_count int")
+    own = p.few_shot_repair_prompt(
+        [{"question": "x", "original_sql": "y", "error": "", "fixed_sql": "z"}], "shop", template="{database}|{examples}|{question}|{query}|{error}|{empty}",
+        example="{number}{question}{original_sql}{error}{fixed_sql};", error_line="<{error}>", empty_line="none")
+    assert df.select(own).first()[0] == "shop|1xyz;|q?|S|<bad>|none"
+    assert df.select(p.rendered("{a}{b} {a}", a=F.lit(None).cast("string"), b="{a}")).first()[0] == "{a} "
 
 
 def test_run_statements(spark):
