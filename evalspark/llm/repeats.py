@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import stored
 
 TRIGGER_BYTES = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -140,8 +140,9 @@ def repeated(texts: DataFrame, length: int) -> DataFrame:
                         pa.array(at, pa.int32()), pa.array(np.full(len(at), u["weight"], np.int32))], names=["core", "string", "k1", "k2", "at", "weight"])
 
     told = listed.join(speaker, ["k1", "k2"]).join(texts, ["k1", "k2"]).filter(F.col("id").eqNullSafe(F.col("speaker")))
-    strings = told.select("k1", "k2", "text", "units").mapInArrow(spell, "core long, string long, k1 long, k2 long, at int, weight int")
-    strings = cut(strings.groupBy("core", "string", "k1", "k2", "at").agg(F.max("weight").alias("weight")))
+    # rows may repeat with their ids; a start lies in one unit, so a text told once lists no string twice
+    told = told.select("k1", "k2", "text", "units").dropDuplicates(["k1", "k2"])
+    strings = stored(told.mapInArrow(spell, "core long, string long, k1 long, k2 long, at int, weight int"), "strings")
     twice = strings.groupBy("core", "string").agg(F.sum("weight").alias("n")).filter("n > 1").select("core", "string")
     single = strings.join(twice, ["core", "string"]).select("k1", "k2", F.col("at").alias("first"), F.col("at").alias("last"))
     spans = sure.union(again).union(single)
