@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .clauses import CLAUSES
+from .text import let
 
 _OPENERS = {
     "select": r"SELECT", "from": r"FROM", "where": r"WHERE", "group_by": r"GROUP\s+BY",
@@ -155,6 +156,54 @@ def plan_steps(plan_json: Column) -> Column:
     return F.filter(F.transform(steps, lambda s: s["detail"]), lambda d: d.isNotNull())
 
 
+def ordered_steps(plan_json: Column) -> Column:
+    """(level, detail) of a plan's steps in the order of its tree: by id, which counts from the root down, each below its parent.
+
+    The level is the length of the chain of parents that are steps of the plan; a step that names itself or a later one has none.
+    """
+    steps = F.sort_array(F.filter(F.from_json(plan_json, PLAN_STEPS), lambda s: s["detail"].isNotNull()))
+    levels = "array<struct<id: int, level: int, detail: string>>"
+
+    def place(done: Column, s: Column) -> Column:
+        above = F.filter(done, lambda d: d["id"] == s["parent"])
+        level = F.when(F.size(above) > 0, F.element_at(above, -1)["level"] + 1).otherwise(0)
+        return F.concat(done, F.array(F.struct(s["id"].alias("id"), level.alias("level"), s["detail"].alias("detail"))))
+
+    placed = F.aggregate(steps, F.array().cast(levels), place)
+    return F.transform(placed, lambda s: F.concat_ws(" ", s["level"].cast("string"), s["detail"]))
+
+
+def common_order(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays, by one row of the dynamic program after the other."""
+    zeros = F.transform(F.concat(F.array(F.lit("")), b), lambda _: F.lit(0))
+
+    def next_row(row: Column, x: Column) -> Column:
+        def cell(acc: Column, i: Column) -> Column:
+            best = F.when(F.get(b, i) == x, F.get(row, i) + 1).otherwise(F.greatest(F.get(row, i + 1), F.element_at(acc, -1)))
+            return F.concat(acc, F.array(best))
+
+        places = F.when(F.size(b) > 0, F.sequence(F.lit(0), F.size(b) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.array(F.lit(0)), cell)
+
+    return F.aggregate(a, zeros, next_row, lambda row: F.element_at(row, -1))
+
+
+def plan_order_similarity(true_plan: Column, gen_plan: Column) -> Column:
+    """How much of two plans comes in the same order and on the same levels: twice the longest common run of steps, gaps allowed, over all steps.
+
+    Steps count as wholes, letters are not compared.  NULL when neither side has a plan, 0 when only one has; two plans without
+    steps are alike.  JVM only.
+    """
+    def ratio(x: Column) -> Column:
+        every = F.size(x["a"]) + F.size(x["b"])
+        return F.when(every == 0, 1.0).otherwise(2.0 * common_order(x["a"], x["b"]) / every)
+
+    neither = true_plan.isNull() & gen_plan.isNull()
+    both = let(F.struct(ordered_steps(true_plan).alias("a"), ordered_steps(gen_plan).alias("b")), lambda x: F.when(
+        x["a"].isNotNull() & x["b"].isNotNull(), ratio(x)))
+    return F.coalesce(both, F.when(~neither, 0.0))
+
+
 def compare_plans(true_plan: Column, gen_plan: Column, with_sequence: bool = True) -> dict[str, Column]:
     """Overlap of two plans given as JSON; NULL when neither side has one, 0 when only one has.
 

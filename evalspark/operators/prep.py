@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import concat_all, strip
 from .catalogue import schema_summary
+from .groups import question_key, split_components, sql_form, with_component
 
 # fixed values: the turns of a chat text
 TURN_OPEN, TURN_CLOSE = "<|im_start|>{role}\n", "<|im_end|>"
@@ -143,6 +144,18 @@ def split(df: DataFrame, key: str = "id", share: float = 0.1, seed: int = 42, dr
     return df.withColumn("part", F.when(slot < int(share * 10_000), "validation").otherwise("train"))
 
 
+def split_without_leaks(
+    df: DataFrame, share: float = 0.1, seed: int = 42, question: str = "question", query: str = "true_query", forms: bool = True,
+) -> DataFrame:
+    """P4 without leaks: ``component`` and ``part``, so that no question and no query of one side is found on the other.
+
+    Questions are equal without case, punctuation and spacing; queries without case, spacing and, with ``forms``, the
+    values of their literals.  What is joined over any number of such steps goes to one side.
+    """
+    keys = [question_key(F.col(question)), sql_form(F.col(query)) if forms else question_key(F.col(query))]
+    return split_components(with_component(df, keys), share, seed)
+
+
 def zero_shot_prompt(question: str = "question", template: str = ZERO_SHOT) -> Column:
     """P5."""
     return rendered(template, question=F.col(question))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import results as res
 from ..functions import sqltext as sql
 from ..functions.clauses import CLAUSES, split_clauses, subselect_tree
-from ..functions.similarity import compare_plans
+from ..functions.similarity import compare_plans, plan_order_similarity
 from ..functions.text import concat_all
 from ..operators import workload as w
 from ..operators.profile import sql_components
@@ -338,6 +338,18 @@ def w9_full(spark, sf):
         "operation_match", "sequence_similarity", "plan_similarity")
 
 
+# plans of 1 to 7 steps; the second leaves out, changes and swaps some of the first
+_STEPS = """concat('[', array_join(transform(sequence(1, 1 + CAST({0} % 7 AS INT)), i -> concat('{{"id": ', i, ', "parent": ', i div 2,
+  ', "detail": "', CASE WHEN ({0} * i) % 5 = 0 THEN 'SCAN' WHEN (i + {0}) % 3 = 0 THEN 'SEARCH' ELSE 'SORT' END, ' t', i % 4, '"}}')), ', '), ']')"""
+
+
+@register("W9_plan_order")
+def w9_order(spark, sf):
+    """The order of plans of varied lengths, from neighbouring ids of the log."""
+    plans = query_log(spark, sf).select("id", F.expr(_STEPS.format("id")).alias("a"), F.expr(_STEPS.format("(id div 3)")).alias("b"))
+    return rounded(plans.select("id", plan_order_similarity(F.col("a"), F.col("b")).alias("order_similarity")), "order_similarity")
+
+
 # the log's errors and some of every other class
 _ERROR = """CASE WHEN id % 17 = 0 THEN 'near "FROM": Syntax Error' WHEN id % 19 = 0 THEN 'UNIQUE violated'
   WHEN id % 23 = 0 THEN 'datatype mismatch' WHEN id % 29 = 0 THEN 'misuse of aggregate' WHEN id % 31 = 0

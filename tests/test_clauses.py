@@ -1,4 +1,8 @@
-"""Native clause splitting against a plain reader, and the tree of sub-selects."""
+"""Native clause splitting against a plain reader, and the tree of sub-selects; W9: the order of plans."""
+
+import functools
+import json
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,3 +62,44 @@ def test_no_python_and_a_long_query(spark):
     out = df.select(split_clauses(F.col("q")).alias("c"))
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.first().c.where_clause == "a IN (SELECT SELECT 1)" and len(CLAUSES) == 7
+
+
+def _plan(draw, n):
+    return [{"id": i + 1, "parent": draw.randint(0, i), "detail": draw.choice(["SCAN t", "SEARCH u", "SORT", "USE é"])} for i in range(n)]
+
+
+def plain_order(a, b):
+    if a is None or b is None:
+        return None if a is None and b is None else 0.0
+
+    def steps(plan):
+        level = {}
+        for s in sorted(plan, key=lambda s: s["id"]):
+            level[s["id"]] = level.get(s["parent"], -1) + 1
+        return [(level[s["id"]], s["detail"]) for s in sorted(plan, key=lambda s: s["id"])]
+
+    x, y = steps(a), steps(b)
+
+    @functools.lru_cache(None)
+    def common(i, j):
+        if i == len(x) or j == len(y):
+            return 0
+        return 1 + common(i + 1, j + 1) if x[i] == y[j] else max(common(i + 1, j), common(i, j + 1))
+
+    return 2 * common(0, 0) / (len(x) + len(y)) if x or y else 1.0
+
+
+def test_plan_order_of_varied_plans(spark):
+    draw = random.Random(4)
+    pairs = [(None, None), (None, []), ([], []), ([], _plan(draw, 2))]
+    for _ in range(200):
+        a = _plan(draw, draw.randint(0, 12))
+        b = [dict(s) for s in a if draw.random() < 0.8] if draw.random() < 0.6 else _plan(draw, draw.randint(0, 12))
+        draw.shuffle(b)  # ids, not places, give the order
+        pairs.append((a, b))
+    df = spark.createDataFrame([(i, a and json.dumps(a) if a != [] else "[]", b and json.dumps(b) if b != [] else "[]") for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    out = df.select("i", similarity.plan_order_similarity(F.col("a"), F.col("b")).alias("s"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.s for r in out.collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == (None if (w := plain_order(a, b)) is None else w), (a, b)
