@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import results as res
 from ..functions import sqltext as sql
+from ..functions.scopes import resolved_names
 from ..functions.similarity import compare_plans, similarities
 from ..functions.text import digest
 from ..session import work_path
@@ -102,6 +103,15 @@ def with_access_overlap(df: DataFrame, true: str = "true_query", gen: str = "gen
     return out.withColumns(added)
 
 
+def unresolved_share(df: DataFrame, by: list[str] = ("model",), query: str = "generated_sql") -> DataFrame:
+    """W5 by scope: dotted names per model, those whose table no scope of their query knows, and their share."""
+    names = resolved_names(F.col(query))
+    missing = F.size(F.filter("_names", lambda n: n["table"].isNull()))
+    sums = df.select(*by, names.alias("_names")).groupBy(*by).agg(
+        F.sum(F.size("_names")).alias("names"), F.sum(missing).alias("unresolved"))
+    return sums.withColumn("share", F.try_divide("unresolved", "names"))
+
+
 def outcome_measures(
     true_success: Column, gen_success: Column, true_rows: Column, gen_rows: Column,
     true_time: Column, gen_time: Column,
