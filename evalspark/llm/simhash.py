@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, free_name, stored
 
 BITS = 64
 SEED = 42
@@ -488,3 +488,18 @@ def without_copies(docs: DataFrame, **how) -> DataFrame:
     keep = copies(numbered, **how).filter("row = least").select("row")
     out = numbered.join(keep, "row", "left_semi").drop("row")
     return out.withColumnRenamed("_own_row", "row").select(*docs.columns) if "row" in docs.columns else out.select(*docs.columns)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
+    """``docs`` with one row of each group of ``near_groups``: the one with the smallest id (NULL last), of equal ids any one.
+
+    Groups are those of fingerprints of ``words``-word shingles that differ in at most ``budget`` bits; nothing else is compared.
+    All columns stay.  NULL and empty texts and those without words are one group.  The rows are numbered in a written table, so that a
+    number means the same row whenever it is read.
+    """
+    number = free_name(docs, "row")
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    own = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(number).alias("row"))
+    groups = near_groups(numbered.select(own.alias("key"), F.col(f"`{text_col}`").alias("text")), "key", "text", words, budget)
+    kept = groups.filter(F.col("key") == F.col("component_id")).select(F.col("component_id.row").alias(number))
+    return numbered.join(kept, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -179,6 +179,39 @@ def test_orders_suffice_for_the_recall(log_n):
     assert found / 2_000 >= 0.98
 
 
+def one_of_each_by_brute_force(docs):
+    """The least id of each component of fingerprints that differ in at most two bits."""
+    prints = [simhash.fingerprint(text, 3) for _, text in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    groups = {}
+    for i, (doc_id, _) in enumerate(docs):
+        groups.setdefault(find(i), []).append(doc_id)
+    return {min(ids) for ids in groups.values()}
+
+
+def test_one_of_each_group(spark):
+    line = "these words make up a text that is long enough for many shingles of three words each and so on".split()
+    texts = [" ".join(line * 8), " ".join(line * 8 + ["more"]), " ".join(line * 8), "something else altogether that is not near", None, "", " "]
+    rows = [(i if i != 2 else None, t, i, "x") for i, t in enumerate(texts)] + [(3, texts[3], 9, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int, key string").repartition(3)
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    want = one_of_each_by_brute_force([(10**6 if r[0] is None else r[0], r[1]) for r in rows])
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+    assert simhash.one_of_each(docs.limit(0)).collect() == []
+
+
 def test_stages_take_effect(spark, tmp_path):
     tables = "/root/testdata/sf0.001"
     docs = before = table(spark, tables, "documents")
@@ -193,6 +226,7 @@ def test_stages_take_effect(spark, tmp_path):
     assert before.count() > toxic.count() > copies.count() >= leaks.count() == secrets.count()
     texts = [r.text for r in copies.collect()]
     assert len(set(texts)) == len(texts)
+    assert {r.doc_id for r in copies.collect()} == one_of_each_by_brute_force([(r.doc_id, r.text) for r in toxic.collect()])
     assert decontaminate.contaminated(leaks, table(spark, tables, "benchmark")).isEmpty()
     assert secrets.filter(F.col("text").rlike("token = \"[0-9a-f]{12}")).isEmpty()
     assert secrets.filter(F.col("n_chars") != F.length("text")).isEmpty()
@@ -213,4 +247,4 @@ def test_stages_of_odd_rows(spark):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
