@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -26,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 # ASCII letters in lower case, digits and other letters' bytes stay; the rest separates words
 _KEEP = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
+_SLICE = 4_000_000  # bytes of text that one task of ``clean`` looks at together; longer texts are looked at alone
 LEAST_WORDS = 3  # shorter items are no evidence and never match
 
 
@@ -202,16 +204,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def clean(docs: DataFrame, benchmark: DataFrame, lsh: Lsh | None = None) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns kept.
 
-    Decided row by row, so equal or missing ids do not matter.
+    Decided row by row, so equal or missing ids do not matter.  Texts are looked at in slices of a few megabytes.
     """
     lsh = lsh or Lsh()
     at = docs.columns.index("text")
     for items in blocks(benchmark, lsh):
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[m[0] for m in items.matches(batch.column(at).to_pylist())]] = False
-                yield batch.filter(pa.array(keep))
+                sizes = np.cumsum(pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False))
+                cuts = (np.flatnonzero(np.diff(sizes // _SLICE)) + 1).tolist()
+                for first, stop in zip([0, *cuts], [*cuts, batch.num_rows]):
+                    part = batch.slice(first, stop - first)
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[m[0] for m in items.matches(part.column(at).to_pylist())]] = False
+                    yield part.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
