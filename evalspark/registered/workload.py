@@ -247,7 +247,7 @@ _ALIASED = "CASE WHEN id % 2 = 0 THEN replace(generated_sql, 'FROM orders', 'FRO
     f"""SELECT model_name, CAST(SUM(len(refs)) AS BIGINT) AS names, CAST(SUM(len(bad)) AS BIGINT) AS unresolved,
       round(SUM(len(bad)) / SUM(len(refs)), 6) AS share FROM (SELECT model_name, refs, CASE WHEN contains(q, 'FROM orders AS o')
       THEN list_filter(refs, lambda r: starts_with(r, 'orders.')) ELSE [] END AS bad FROM (SELECT model_name, q,
-      regexp_extract_all({_bare('q')}, '([a-zA-Z_][a-zA-Z0-9_]*\.[a-zA-Z_][a-zA-Z0-9_]*)', 1) AS refs
+      regexp_extract_all({_bare('q')}, '([a-zA-Z_][a-zA-Z0-9_]*\\.[a-zA-Z_][a-zA-Z0-9_]*)', 1) AS refs
       FROM (SELECT model_name, {_ALIASED} AS q FROM log))) GROUP BY model_name"""))
 def w5_unresolved(spark, sf):
     aliased = query_log(spark, sf).selectExpr("model_name", f"{_ALIASED} AS generated_sql")
