@@ -137,16 +137,17 @@ class Lattice:
         at, here, node_row = spots, spots.copy(), np.zeros(len(spots), np.int32)
         found = []
         step, row, end = vocab.trie
+        step = step.ravel()
         while len(at):  # all starts walk down the trie together
-            node = step[node_row, data[here]]
-            live = node >= 0
-            at, here, node = at[live], here[live] + 1, node[live]
-            piece = end[node]
-            hit = piece >= 0
-            found.append((at[hit], here[hit], piece[hit]))
-            node_row = row[node]
-            go = (node_row >= 0) & (here < stop[at])
-            at, here, node_row = at[go], here[go], node_row[go]
+            node = step.take(node_row * 256 + data.take(here))
+            live = np.flatnonzero(node >= 0)
+            at, here, node = at.take(live), here.take(live) + 1, node.take(live)
+            piece = end.take(node)
+            hit = np.flatnonzero(piece >= 0)
+            found.append((at.take(hit), here.take(hit), piece.take(hit)))
+            node_row = row.take(node)
+            go = np.flatnonzero((node_row >= 0) & (here < stop.take(at)))
+            at, here, node_row = at.take(go), here.take(go), node_row.take(go)
         found.reverse()  # long pieces first: they are the likely ones
         a, b, piece = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
         # a character without a piece of its own goes byte by byte
@@ -162,7 +163,7 @@ class Lattice:
         a, b = np.concatenate([a, single]), np.concatenate([b, single + 1])
         piece = np.concatenate([piece, vocab.byte_ids[data[single]]])
         order = np.argsort(a, kind="stable")
-        a, self.b, self.piece, weight = a[order], b[order], piece[order].astype(np.int32), weight[order]
+        a, self.b, self.piece, weight = a.take(order), b.take(order), piece.take(order).astype(np.int32), weight.take(order)
         self.many = np.bincount(a, minlength=len(data))  # edges per byte
         self.first = np.cumsum(self.many) - self.many
         # total weight from each byte to its word's end, all words together, from the ends backwards
@@ -171,41 +172,45 @@ class Lattice:
         most = int(left.max(initial=0))
         order = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")
         cuts = np.append(0, np.cumsum(np.bincount(left, minlength=most + 1)))
-        last = self.b == stop[a] if len(a) else a.astype(bool)
+        # what follows an edge: the byte it ends at, or past a word's end the last place of beta, which stays zero
+        then = np.where(self.b == stop.take(a), len(data), self.b) if len(a) else a
+        head = np.append(True, a[1:] != a[:-1])
         for d in range(1, most + 1):
             e = order[cuts[d]:cuts[d + 1]]
             if len(e):
-                x[e] = weight[e] + np.where(last[e], 0.0, beta[self.b[e]])
-                heads = np.flatnonzero(np.append(True, np.diff(a[e]) != 0))
+                value = weight.take(e) + beta.take(then.take(e))
+                heads = np.flatnonzero(head.take(e))
+                top = np.maximum.reduceat(value, heads)
                 n = np.diff(np.append(heads, len(e)))
-                top = np.maximum.reduceat(x[e], heads)
-                beta[a[e[heads]]] = top + np.log(np.add.reduceat(np.exp(x[e] - np.repeat(top, n)), heads))
-        self.log_p = x - beta[a]
+                beta[a.take(e.take(heads))] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), heads))
+                x[e] = value
+        self.log_p = x - beta.take(a)
         total = np.cumsum(np.exp(self.log_p))
-        self.upto = total - np.append(0.0, total)[self.first[a]]
+        self.upto = total - np.append(0.0, total).take(self.first.take(a))
 
     def sample(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One cut of each word: (pieces of all words in order, number of pieces and log probability of each word)."""
-        at, who = self.start[word], np.arange(len(word))
-        stop, key = self.stop[word], seed
+        begin = self.start.take(word)
+        at, who = begin, np.arange(len(word))
+        stop, key = self.stop.take(word), seed
         log_p, count = np.zeros(len(word)), np.zeros(len(word), np.int64)
         steps = []
         while len(who):
-            e = self.first[at]
-            open_ = np.flatnonzero(self.many[at] > 1)
-            spot = at[open_]
-            u = _uniform(key[open_] + (spot - self.start[word[who[open_]]]).astype(np.uint64))
-            final = e[open_] + self.many[spot] - 1
+            e, many = self.first.take(at), self.many.take(at)
+            open_ = np.flatnonzero(many > 1)
+            u = _uniform(key.take(open_) + (at.take(open_) - begin.take(who.take(open_))).astype(np.uint64))
+            edge = e.take(open_)
+            final = edge + many.take(open_) - 1
             while len(open_):  # on to the edge that u falls to
-                on = (u >= self.upto[e[open_]]) & (e[open_] < final)
-                open_, u, final = open_[on], u[on], final[on]
-                e[open_] += 1
-            steps.append((who, self.piece[e]))
-            log_p[who] += self.log_p[e]
+                on = np.flatnonzero((u >= self.upto.take(edge)) & (edge < final))
+                open_, u, final, edge = open_.take(on), u.take(on), final.take(on), edge.take(on) + 1
+                e[open_] = edge
+            steps.append((who, self.piece.take(e)))
+            log_p[who] += self.log_p.take(e)
             count[who] += 1
-            at = self.b[e]
-            go = at < stop
-            at, who, stop, key = at[go], who[go], stop[go], key[go]
+            at = self.b.take(e)
+            go = np.flatnonzero(at < stop)
+            at, who, stop, key = at.take(go), who.take(go), stop.take(go), key.take(go)
         place = np.cumsum(count) - count
         pieces = np.empty(int(count.sum()), np.int32)
         for s, (w, piece) in enumerate(steps):
