@@ -35,11 +35,15 @@ class StoredLog:
         """Stores a log whose rows were not repaired yet, in place of what was there."""
         fresh = log.withColumns({
             "success_before": F.col("success"), "validation_applied": F.lit(False), "final_query": F.col(gen), BUCKET: self.bucket()})
-        fresh.repartition(self.model, BUCKET).write.mode("overwrite").partitionBy(self.model, BUCKET).parquet(self.path)
+        self._gathered(fresh).write.mode("overwrite").partitionBy(self.model, BUCKET).parquet(self.path)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path).drop(BUCKET)
 
+    def _gathered(self, rows: DataFrame) -> DataFrame:
+        """Rows of a partition come together, in several tasks where it is large: a task holds what the advisory size allows."""
+        return rows.hint("rebalance", self.model, BUCKET)
+
     def touched(self, repaired: DataFrame) -> Column | None:
         """The partitions that repairs belong to, as a filter on partition columns; None where there are no repairs.
 
@@ -66,5 +70,5 @@ class StoredLog:
 
     def swap(self, spark: SparkSession, folder: str) -> None:
         """Puts merged rows in place of the partitions they came from; needed by hand only where a merge was killed while it did so."""
-        rows = spark.read.parquet(folder).repartition(self.model, BUCKET)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.model, BUCKET).parquet(self.path)
+        rows = spark.read.parquet(folder)
+        self._gathered(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.model, BUCKET).parquet(self.path)
