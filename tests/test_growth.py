@@ -7,10 +7,10 @@ import random
 from pyspark.sql import functions as F
 
 from evalspark.functions.similarity import edit_distance, text_ratio
-from evalspark.plans.scores import ScoreStore
+from evalspark.plans.scores import KEY, ScoreStore
 from evalspark.plans.stored_log import StoredLog
 from evalspark.registered.base import query_log
-from evalspark.session import INITIAL_PARTS, configure
+from evalspark.session import ADVISORY_MB, INITIAL_PARTS, configure
 
 
 def _texts(r, letters, size):
@@ -76,3 +76,30 @@ def test_a_file_of_one_split_is_read_by_many_tasks(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "events.parquet"))
     tasks = query_log(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().count()
     assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_merged_parts_of_a_shuffle_are_small(spark):
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    try:
+        for before, after in ((None, f"{ADVISORY_MB}m"), ("64MB", f"{ADVISORY_MB}m"), (str(1 << 30), f"{ADVISORY_MB}m"), ("16k", "16k"), ("1048576b", "1048576b")):
+            spark.conf.unset(name)
+            if before:
+                spark.conf.set(name, before)
+            assert configure(spark).conf.get(name) == after
+    finally:
+        spark.conf.unset(name)
+
+
+def test_splits_of_files_are_shuffled_before_they_are_scored_or_made_unique(spark, tmp_path):
+    log = spark.createDataFrame([(i, f"SELECT {i % 15}", f"m{i % 2}") for i in range(40)], "id long, q string, model string")
+    store, plans = ScoreStore(str(tmp_path / "s")), []
+
+    def measure(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows.withColumn("n", F.length("q"))
+
+    scored = store.scored(log, ["q"], measure)
+    assert f"Exchange hashpartitioning({KEY}" in plans[-1]
+    plan = store.read(spark, store.measures(log, ["q"], measure))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan and "Aggregate" not in plan[plan.index(f"Exchange hashpartitioning({KEY}"):]
+    assert sorted((r["id"], r["n"]) for r in scored.collect()) == [(i, len(f"SELECT {i % 15}")) for i in range(40)]
