@@ -441,3 +441,15 @@ def test_pages_with_clashing_columns(spark):
     pages = spark.createDataFrame([(1, None, "old"), (None, "<p>x", "old"), (1, None, "old")], "page_id long, html string, text string")
     assert sorted(r.text for r in extract.extracted(pages).collect()) == ["", "", "x"]
     assert extract.extracted(pages.limit(0)).count() == 0
+
+
+def test_words_are_numbered_as_they_are_split_and_slices_stay_small():
+    import public_tokenizers
+    from evalspark.llm import segment
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        vocab = segment.Vocabulary(f.read())
+    texts = ["one two one", "  one  two ", " ", "   ", "a ", " a", None, "", "one \u2581two", "tab\tone\n two"]
+    for text, cuts in zip(texts, segment.sample_cuts(texts, list(range(len(texts))), vocab, segment.Sampling()), strict=True):
+        assert all(vocab.decode(c.ids) == segment.normalised(text)[1:].decode() if text else len(c.ids) == 0 for c in cuts)
+    assert segment._SLICE <= 500_000
