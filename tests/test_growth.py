@@ -7,6 +7,8 @@ import random
 from pyspark.sql import functions as F
 
 from evalspark.functions.similarity import edit_distance, text_ratio
+from evalspark.operators import workload as w
+from evalspark.plans.evaluation import compare_queries
 from evalspark.plans.scores import KEY, ScoreStore
 from evalspark.plans.stored_log import StoredLog
 from evalspark.registered.base import query_log
@@ -101,3 +103,32 @@ def test_splits_of_files_are_shuffled_before_they_are_scored(spark, tmp_path):
     scored = store.scored(log, ["q"], measure)
     assert f"Exchange hashpartitioning({KEY}" in plans[-1]
     assert sorted((r["id"], r["n"]) for r in scored.collect()) == [(i, len(f"SELECT {i % 15}")) for i in range(40)]
+
+
+def test_rows_of_one_pair_of_plans_go_to_many_tasks(spark):
+    step = '[{"id": 1, "parent": 0, "detail": "SCAN t"}]'
+    log = spark.range(0, 2000, 1, 4).selectExpr(
+        "id", "concat('SELECT ', id) AS true_query", "concat('SELECT ', id % 7) AS generated_sql", "'m' AS model", "true AS success",
+        "1 AS row_count", "CAST(NULL AS STRING) AS error", "'[]' AS results", "'[]' AS results_true", "1.0 AS execution_time",
+        f"'{step}' AS execution_plan", f"CASE WHEN id < 1990 THEN '{step}' END AS execution_plan_true")
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in changed}
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    try:
+        scored = compare_queries(log, text_similarity=False)
+        tasks = scored.where("plan_similarity = 1").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(r["count"] for r in tasks) == 1990
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in tasks) < 1000
+
+
+def test_spread_pairs_of_plans_keep_their_rows(spark):
+    plans = [None, "", "[]", '[{"id": 1, "parent": 0, "detail": "SCAN t"}]', '[{"id": 1, "parent": 0, "detail": "SCAN u"}]']
+    rows = [(i % 9 or None, a, b) for i in range(70) for a in plans for b in plans]
+    rows = spark.createDataFrame(rows, "id int, a string, b string")
+    alone, dealt = w.with_plan_comparison(rows, "a", "b"), w.with_plan_comparison(rows, "a", "b", spread=["id"])
+    assert alone.columns == dealt.columns and alone.count() == dealt.count() == len(plans) ** 2 * 70
+    assert alone.exceptAll(dealt).isEmpty()
