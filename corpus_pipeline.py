@@ -7,16 +7,29 @@ Every stage keeps NULL ids, NULL and empty texts and repeated rows unless its de
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm import decontaminate, secret_spans, segment, simhash, toxicity
-from evalspark.llm.common import fold, free_name, shared_dir, table
+from evalspark.llm.common import fold, free_name, shared_dir, small_batches, table
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """The stage in a session whose rows go to Python in small batches, as five stages share the executors."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose estimated toxicity is below 0.7, by a model of the labels whose fold may be seen."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
@@ -24,16 +37,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, score).filter(~toxicity.rejected(F.col(score))).select(*docs.columns)
 
 
+@in_small_batches
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose fingerprints of three-word shingles differ in at most two bits."""
     return simhash.one_of_each(docs, words=3, budget=2)
 
 
+@in_small_batches
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@in_small_batches
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced; n_chars is the length of the new text."""
     texts = docs.select("text")
@@ -43,6 +59,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@in_small_batches
 def sample_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document."""
     return segment.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
