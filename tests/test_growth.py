@@ -11,7 +11,7 @@ from evalspark.operators import workload as w
 from evalspark.plans.evaluation import compare_queries
 from evalspark.plans.scores import KEY, ScoreStore
 from evalspark.plans.stored_log import StoredLog
-from evalspark.registered.base import query_log
+from evalspark.registered.base import query_log, truth_runs
 from evalspark.session import ADVISORY_MB, INITIAL_PARTS, configure
 
 
@@ -132,3 +132,15 @@ def test_spread_pairs_of_plans_keep_their_rows(spark):
     alone, dealt = w.with_plan_comparison(rows, "a", "b"), w.with_plan_comparison(rows, "a", "b", spread=["id"])
     assert alone.columns == dealt.columns and alone.count() == dealt.count() == len(plans) ** 2 * 70
     assert alone.exceptAll(dealt).isEmpty()
+
+
+def test_the_truth_is_never_broadcast(spark, tmp_path):
+    rows = spark.range(0, 300, 1, 1).selectExpr("id AS event_id", "id % 7 AS user_id", "'view' AS event_type", "CAST(id AS DOUBLE) AS value")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    log, truth = query_log(spark, str(tmp_path)), truth_runs(spark, str(tmp_path))
+    joined = w.truth_join(log, truth)
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # rows without a query keep their truth: NULL keys match
+    assert joined.count() == 300 and joined.where("true_query IS NULL AND success_true").count() == log.where("true_query IS NULL").count() > 0
