@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import math
+import random
 import re
 import zlib
 
@@ -180,6 +181,41 @@ def test_words_encode_like_whole_texts(documents):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_words_are_cut_into_runs_like_whole_texts(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, encoder = Tokenizer.from_file(path), token_files.Encoder(open(path).read())
+    calls = []
+    monkeypatch.setattr(encoder, "whole", lambda text: calls.append(text) or np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+    plain = "a vauxch.\nHeen. c&&& 12ab, x_y... ...z ($5.20) éß! été.\nÉté q-r/s {t}"
+    assert np.frombuffer(encoder.encode(plain), "<u4").tolist() == whole.encode(plain).ids and calls == ["a"]
+    r = random.Random(7)
+    letters = "abé日²½Ⅷ ǅ٣9_.,'&$-\n\t\r\u2028\u200d\xa0\x1f😀"
+    for size in (2, 3, 5, 9):
+        for _ in range(1_500):
+            text = "x " + "".join(r.choice(letters) for _ in range(size)) + " y"
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 20)
+    worked = []
+    words = token_files.Words(lambda word: worked.append(word) or word.encode())
+    for k in range(200):
+        assert words["often"] == b"often" and words[f"w{k}"] == f"w{k}".encode()
+        assert len(words) + len(words.old) <= 20
+    assert worked.count("often") == 1 and len(worked) == 201
+
+
+def test_checksums_are_those_of_the_rows_read(spark, odd, tmp_path):
+    token_files.write(odd, public_tokenizers.path("byte_bpe_50k.json"), f"{tmp_path}/odd", end_id=2)
+    rows = token_files.read(spark, f"{tmp_path}/odd").collect()
+    want = [(r.doc_id, r.start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in rows]
+    sums = token_files.checksums(spark, f"{tmp_path}/odd")
+    assert sorted(map(tuple, sums.collect()), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
+    # the ids never pass through the JVM as rows: one step in Python reads and sums them
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_files_hold_every_document(spark, documents):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     start = 0
