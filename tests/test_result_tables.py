@@ -92,3 +92,78 @@ def test_no_rows_at_all(spark):
     assert w.compare_result_tables(none, none, "k", "row").collect() == []
     alone = w.compare_result_tables(none, none, "k", "row", spark.createDataFrame([(5,)], "k long")).first()
     assert alone.equal and alone.reason == "Both results are empty"
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_rows_of_results_of_other_lengths_are_not_shuffled(spark):
+    """Statement 0 has all but a few rows and one too many: a log's row says so without a look at them."""
+    rows = spark.range(20_000).select(F.when(F.col("id") < 19_990, 0).otherwise(F.col("id")).alias("id"), F.concat(F.lit("row "), F.col("id")).alias("row"))
+    more = rows.union(spark.createDataFrame([(0, "more")], "id long, row string")).withColumn(
+        "row", F.when(F.col("id") == 19_995, "other").otherwise(F.col("row")))
+    log = rows.select("id").distinct().withColumn("success", F.lit(True))
+    out = w.with_result_tables_match(log, "success", rows, more)
+    assert max(_exchanged(out), default=0) < 1_000
+    got = {r.id: r for r in out.collect()}
+    assert (got[0].true_result_rows, got[0].gen_result_rows, got[0].result_reason, got[0].results_match) == (19_990, 19_991, "Different number of rows", 0)
+    assert (got[19_995].result_diff_count, got[19_995].result_example_diff_row) == (2, "row 19995")
+    assert sum(r.results_match for r in got.values()) == 9
+    # asked for by themselves, the rows are counted as before
+    alone = {r.id: r.diff_count for r in w.compare_result_tables(rows, more, "id", "row").collect()}
+    assert alone[0] == 1 and alone[19_995] == 2
+
+
+def test_marks_leave_out_rows_before_the_shuffle(spark, no_broadcast, monkeypatch):
+    """Where the statements that differ are too many to be broadcast, the rows of the others still are not shuffled."""
+    monkeypatch.setattr(w, "MARKED", 1, raising=False)
+    rows = spark.range(30_000).selectExpr("id % 50 AS k", "concat('row ', id) AS row")
+    changed = rows.withColumn("row", F.when(F.col("k") == 7, F.concat("row", F.lit("!"))).otherwise(F.col("row")))
+    apart = w.compare_result_tables(rows, changed, "k", "row")
+    assert max(_exchanged(apart)) < 3_000
+    assert {r.k: r.diff_count for r in apart.collect() if not r.equal} == {7: 1_200}
+
+
+@pytest.mark.parametrize("marked", [1, 100_000])
+def test_null_keys_of_several_columns(spark, no_broadcast, monkeypatch, marked):
+    monkeypatch.setattr(w, "MARKED", marked, raising=False)
+    draw = random.Random(marked)
+    keys = [(i, m) for i in (None, 0, 1, 2, -1) for m in (None, "", "x")]
+    gen_rows = [(*draw.choice(keys), draw.choice("ab")) for _ in range(60)]
+    true_rows = [(draw.choice(keys)[0], draw.choice("ab")) for _ in range(20)]
+    gen = spark.createDataFrame(gen_rows, "id long, model string, row string").repartition(5)
+    true = spark.createDataFrame(true_rows, "id long, row string").repartition(5)
+    log = spark.createDataFrame(keys, "id long, model string")
+    got = {(r.id, r.model): (r.true_rows, r.gen_rows, r.diff_count, r.example_diff_row, r.equal) for r in w.compare_result_tables(true, gen, ["id", "model"], "row", log).collect()}
+    want = _plain([((i, m), r) for i, r in true_rows for m in (None, "", "x")], [((i, m), r) for i, m, r in gen_rows], keys)
+    assert got == want
+
+
+def test_fingerprints_are_joined_where_they_lie(spark, no_broadcast, monkeypatch):
+    """One shuffle each for the statements and the fingerprints of both sides."""
+    plans, written = [], w._written
+    monkeypatch.setattr(w, "_written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    rows = spark.range(100).selectExpr("id % 9 AS k", "nullif(concat('m', id % 2), 'm1') AS model", "concat('row ', id) AS row")
+    w.compare_result_tables(rows, rows, ["k", "model"], "row", rows.select("k", "model"))
+    assert plans[0].count("Exchange hashpartitioning") == 3
+
+
+def test_each_pair_of_queries_is_read_once(spark, monkeypatch):
+    texts = [None, "", "SELECT a FROM t", "SELECT b FROM u WHERE c = 1"]
+    log = spark.createDataFrame(
+        [(i, m, a, b, True, None, None) for i, (a, b) in enumerate((a, b) for a in texts for b in texts for _ in range(3)) for m in "xyz"],
+        "id long, model string, true_query string, generated_sql string, success boolean, row_count long, error string")
+    rows = spark.createDataFrame([(1, "a")], "id long, row string")
+    counts, read = [], w.with_access_overlap
+    monkeypatch.setattr(w, "with_access_overlap", lambda df, *args, **more: counts.append(df.count()) or read(df, *args, **more))
+    out = compare_queries(log, text_similarity=False, result_tables=(rows, rows.withColumn("model", F.lit("x"))))
+    assert counts[-1] == len(texts) ** 2
+    added = [c for c in out.columns if "tables" in c or "columns" in c or c.endswith("accuracy")]
+    want = read(log).select("id", "model", *added)
+    assert out.count() == log.count() and out.select("id", "model", *added).exceptAll(want).isEmpty()
